@@ -26,6 +26,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -76,13 +78,14 @@ def drain(spark: SparkSession, stream: DataFrame, checkpoint: str) -> DataFrame:
     return kept.select(F.col("key.digest").alias("digest"), F.col(f"value.{buffers[0]}").alias("n"), F.col(f"value.{buffers[1]}.id").alias("id"), F.col(f"value.{buffers[1]}.at").alias("at"))
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Column | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Column | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, at``.
 
     Texts are equal when their bytes are; a null text is empty. Of equal texts the row with the
     largest key stays; of repeated rows with that key, one (the last by file and row). Null keys
     count as smallest. Empty tables give no rows; other columns are not read. ``digest`` replaces
-    SHA-256 of ``body`` (in tests, by one that collides).
+    SHA-256 of ``body`` (in tests, by one that collides). The digests that were hit are broadcast if
+    they are at most ``broadcast_rows``; beyond that the texts are shuffled once.
     """
     spark = docs.sparkSession
     seen = arrivals(docs, key, text, digest)
@@ -93,8 +96,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     stream = spark.readStream.schema(log.schema).parquet(folder).select("digest", "id", "at")
     state = staged(drain(spark, stream, shared_dir(spark, "dedup-state")), "dedup-groups")
 
-    keepers = state.where("n > 1")
-    text_of = seen.join(keepers.select("digest", F.col("at").alias("keep_at"), F.col("id").alias("keeper_id")), "digest")
+    # Only rows of groups that were hit are compared; their texts are fetched once and kept apart.
+    keepers = staged(state.where("n > 1").select("digest", F.col("at").alias("keep_at"), F.col("id").alias("keeper_id")), "dedup-hits")
+    bounded = keepers.count() <= broadcast_rows
+    text_of = staged(seen.join(F.broadcast(keepers) if bounded else keepers, "digest"), "dedup-texts")
     first = text_of.where(F.col("at").eqNullSafe(F.col("keep_at")) & F.col("id").eqNullSafe(F.col("keeper_id"))).groupBy("digest").agg(F.max("body").alias("keep_body"))
     checked = text_of.join(first, "digest").where(F.col("body") != F.col("keep_body")).select("digest")
     different = staged(checked.distinct(), "dedup-different")
