@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import sha256, shared_dir
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
 from .packing import pack_documents
 from .secrets import secret_scan
+from .shards import sharded
 from .simhash import simhash_components
 from .token_files import token_files
+from .toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +35,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).drop("loss_tokens")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharded(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), sha256(text).alias("text_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -46,12 +65,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
 }
 
 SQL: dict[str, str] = {
+    "op7_sharding": """
+        SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
     "op2_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
