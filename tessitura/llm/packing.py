@@ -36,7 +36,8 @@ class Packer:
 
     def __init__(self, limits: tuple[int, int, int], pool: int, first_sequence: int, smallest_cut: int = 16) -> None:
         self.limits = np.array(limits, float)
-        self.pool, self.sequence, self.smallest_cut = pool, first_sequence, smallest_cut
+        self.pool, self.smallest_cut = pool, smallest_cut
+        self.next, self.sequence = first_sequence + 1, first_sequence
         self.items: list[tuple] = []  # (id, ids, loss flags, start, tokens, all tokens)
         self.sizes = np.zeros((0, 3))
         self.free = self.limits.copy()
@@ -55,7 +56,8 @@ class Packer:
 
     def _close(self) -> None:
         if self.offset:
-            self.sequence, self.offset, self.free = self.sequence + 1, 0, self.limits.copy()
+            self.next, self.sequence = self.next + 1, self.next
+            self.offset, self.free = 0, self.limits.copy()
 
     def _fits(self, item: tuple) -> int:
         """The most tokens at the start of what is left of an example that the open sequence can take."""
@@ -70,20 +72,13 @@ class Packer:
         whole = int(self.limits[0])
         if flags is None and self.limits[2] >= whole:
             while total - start > whole:
-                kept = self.sequence, self.offset, self.free
-                self.sequence, self.offset, self.free = self._spare(), 0, self.limits.copy()
-                yield self._row((key, ids, None, start, total - start, total), whole)
-                self.sequence, self.offset, self.free = kept
+                yield key, start, whole, zlib.crc32(ids[4 * start : 4 * (start + whole)]), total, self.next, 0, whole
+                self.next += 1
                 start += whole
         self.items.append((key, ids, flags, start, total - start, total))
         if len(self.items) >= 2 * self.pool:
             yield from self._place(self.pool)
 
-    def _spare(self) -> int:
-        """A sequence number for a full sequence, beside the open one."""
-        self.sequence += 1
-        return self.sequence - 1
-
     def _place(self, keep: int) -> Iterator[tuple]:
         """Place examples until ``keep`` of them remain in the pool."""
         items = self.items

@@ -57,8 +57,8 @@ def encode_blocks(ids: np.ndarray, size: int = 256, percentile: float = 90.0) ->
         low[first : first + m], width[first : first + m], more[first : first + m] = least, bits, (over > 0).sum(axis=1)
         for w in np.unique(bits):
             of = np.flatnonzero(bits == w)
-            shifts = np.arange(w, dtype=np.uint32)
-            packed = np.packbits(((delta[of][:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(of), -1), axis=1, bitorder="little") if w else np.zeros((len(of), 0), np.uint8)
+            low_bits = np.unpackbits(delta[of].astype("<u4").view(np.uint8).reshape(len(of), size, 4), axis=2, bitorder="little", count=int(w))
+            packed = np.packbits(low_bits.reshape(len(of), -1), axis=1, bitorder="little")
             for k, row in zip(of, packed, strict=True):
                 at = np.flatnonzero(over[k])
                 parts[first + k] = row.tobytes() + at.astype("<u2").tobytes() + over[k][at].astype("<u4").tobytes()
@@ -98,7 +98,9 @@ def read_chunk(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         for of in (every[i : i + 2048] for i in range(0, len(every), 2048)):
             if w:
                 bits = np.unpackbits(raw[starts[of].astype(np.int64)[:, None] + np.arange(nbytes)], axis=1, bitorder="little").reshape(len(of), size, int(w))
-                out[of] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+                whole = np.zeros((len(of), size, 32), np.uint8)
+                whole[:, :, :w] = bits
+                out[of] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
             for k in of[more[of] > 0]:
                 p = at + int(starts[k]) + nbytes
                 n = int(more[k])

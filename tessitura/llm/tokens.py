@@ -31,10 +31,28 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """A dictionary of the last used ``kept`` to 2 x ``kept`` entries: when it is full, it becomes the old one."""
+
+    def __init__(self, kept: int) -> None:
+        self.kept, self.now, self.old = kept, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys that are in neither dictionary; those in the old one are taken over."""
+        rest = keys.difference(self.now)
+        again = rest.intersection(self.old)
+        self.now.update((k, self.old[k]) for k in again)
+        return list(rest - again)
+
+    def turn(self) -> None:
+        if len(self.now) > self.kept:
+            self.now, self.old = {}, self.now
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, the same as ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, kept_pieces: int = 200_000) -> None:
+    def __init__(self, path: str, kept: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,8 +60,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower = self.tokenizer.normalizer is not None
         self.find = regex.compile(PATTERNS["word_bpe" if self.lower else "byte_bpe"]).findall
-        self.kept_pieces = kept_pieces
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(kept)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,12 +74,11 @@ class PieceEncoder:
                 pieces.append(None)
             else:
                 pieces.append(self.find(text.lower() if self.lower else text))
-        if len(self.known) > self.kept_pieces:
-            self.known.clear()
-        if new := list(set().union(*(p for p in pieces if p)).difference(self.known)):
-            self.known.update(zip(new, self._library(new), strict=True))
+        self.memory.turn()
+        if new := self.memory.lacking(set().union(*(p for p in pieces if p))):
+            self.memory.now.update(zip(new, self._library(new), strict=True))
         rest = iter(self._library(whole) if whole else ())
-        get = self.known.__getitem__
+        get = self.memory.now.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
 
 
