@@ -67,3 +67,17 @@ def arrow_map(schema: pa.Schema, each: Callable[[pa.RecordBatch], dict], rows: i
             yield pa.RecordBatch.from_pydict(each(part), schema=schema)
 
     return run
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``dropped`` (null equals null); all columns stay as they are.
+
+    The dropped keys are broadcast if they are at most ``broadcast_rows``, else both sides are shuffled.
+    """
+    gone = staged(dropped.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)).distinct(), "dropped")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__gone_{k}"))
+    return docs.join(gone, condition, "left_anti")

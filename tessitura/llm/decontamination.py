@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts
+from .common import slices, staged, texts, without
 
 WORD = re.compile(r"\w+")
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64())])
@@ -243,3 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
             yield _batch(out)
 
     return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(tile, FOUND_DDL)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose key has no contaminated text, with all columns as they are."""
+    return without(docs, contaminated(docs, benchmark, **options), ["doc_id"])

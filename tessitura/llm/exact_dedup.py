@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256, shared_dir, staged
+from .common import sha256, shared_dir, staged, without
 
 #: RocksDB on disk, with its memory bounded for the whole executor.
 STATE = {
@@ -47,19 +48,21 @@ def _settings(spark: SparkSession, values: dict[str, str]):
 def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Column | None = None) -> DataFrame:
     """What the state keeps of each row: digest, identifier, and file and row number as the content locator.
 
-    ``docs`` may be a batch or a streaming read of files. Rows that don't come from files have an
-    empty locator.
+    ``docs`` is a batch or a streaming read of files.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    try:
-        where = docs.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), F.col(key).cast("long").alias("id"), body.alias("body"))
-    except Exception as error:
-        if "UNRESOLVED_COLUMN" not in str(error) and "_metadata" not in str(error):
-            raise
-        where = docs.select(F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("row")).alias("at"), F.col(key).cast("long").alias("id"), body.alias("body"))
+    where = docs.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     return where.select((sha256("body") if digest is None else digest).alias("digest"), "id", "at", "body")
 
 
+def from_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain read of files, whose rows have locators; else it is written to the shared folder and read."""
+    try:
+        docs.select("_metadata.file_path").schema  # noqa: B018
+    except AnalysisException:
+        return staged(docs, "dedup-input")
+    return docs
+
+
 def drain(spark: SparkSession, stream: DataFrame, checkpoint: str) -> DataFrame:
     """Run a stream of arrivals until it has no more, then read its state: ``digest, n, id, at``.
 
@@ -88,6 +91,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     they are at most ``broadcast_rows``; beyond that the texts are shuffled once.
     """
     spark = docs.sparkSession
+    docs = from_files(docs)
     seen = arrivals(docs, key, text, digest)
     log = staged(seen.select("digest", "id", "at", *([sha256("body").alias("sha")] if digest is not None else [])), "dedup-arrivals")
     folder = log.inputFiles()[0].rsplit("/", 1)[0] if log.inputFiles() else None
@@ -116,3 +120,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
         sha = F.coalesce(F.col("sha"), F.col("digest")) if digest is None else F.col("sha")
     mine = F.col("id").eqNullSafe(F.col("keep_id")) & F.col("at").eqNullSafe(F.col("keep_at"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), mine.alias("kept"), sha.alias("text_sha256"), "at")
+
+
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns as they are."""
+    docs = from_files(docs)
+    gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
+    located = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return without(located, gone, ["__file", "__row"]).drop("__file", "__row")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, texts
+from .common import arrow_map, staged, texts, without
 from .graph import components
 
 #: Bits of the three segments: first, one past the last.
@@ -163,3 +163,9 @@ def simhash_components(docs: DataFrame, words: int = 4, most: int = 4) -> DataFr
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their component, with all columns as they are."""
+    found = simhash_components(docs, words, most)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), ["doc_id"])

@@ -16,6 +16,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,3 +216,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     scored = texts(docs).mapInArrow(arrow_map(SCORES, each, 256), "doc_id long, score double, predicted int, evidence array<long>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all columns as they are; one pass without a shuffle."""
+    model = fit(docs, labels, **options)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t)[0] for t in text.fillna("")])
+
+    return docs.where(score("text") < threshold)
