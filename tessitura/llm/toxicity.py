@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting uses a bounded sample of labelled rows (``per_class`` of each label, the first by a hash of
-their keys): its terms that depend on the label (chi-square) are the vocabulary, its documents the
+their keys): its terms that depend on the label (chi-square, and in a share of the rows) are the vocabulary, its documents the
 examples. Document frequencies of the vocabulary are counted over the whole corpus. The examples
 form an inverted index cut into blocks of examples; each term has its largest weight in each block.
 A document visits blocks in descending order of their upper bounds and stops when no block can hold
@@ -11,14 +11,13 @@ labelled rows an example stands for, and calibrated by isotonic regression on le
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, texts
@@ -36,39 +35,43 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 class BlockMaxIndex:
-    """Unit vectors over few terms; postings of each block of ``size`` examples, and block maxima per term."""
+    """Unit vectors (rows of ``vectors``) as an inverted index of blocks of ``size`` examples.
 
-    def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], size: int = 128) -> None:
+    A block keeps, for each term that occurs in it, the weights of its examples, and the largest of
+    them; queries come in batches.
+    """
+
+    def __init__(self, vectors: np.ndarray, size: int = 128) -> None:
         self.n, self.size = len(vectors), size
-        self.blocks = -(-self.n // size)
-        self.most = np.zeros((n_terms, self.blocks), np.float64)
-        lists: list[dict[int, list]] = [{} for _ in range(self.blocks)]
-        for i, (at, weight) in enumerate(vectors):
-            b = i // size
-            np.maximum.at(self.most, (at, b), weight)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                lists[b].setdefault(t, []).append((i % size, w))
-        self.postings = [{t: (np.array([x[0] for x in p]), np.array([x[1] for x in p])) for t, p in d.items()} for d in lists]
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` nearest examples with a positive cosine, and their cosines; ties go to the smaller number."""
-        bound = weight @ self.most[at]
-        found = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(score) == k and bound[b] < score[-1] - 1e-12:
-                break
-            dots = np.zeros(self.size)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if (p := self.postings[b].get(t)) is not None:
-                    dots[p[0]] += w * p[1]
-            near = np.flatnonzero(dots > 0)
-            ids = near + b * self.size
-            keep = ids != without
-            found, score = np.concatenate([found, ids[keep]]), np.concatenate([score, dots[near][keep]])
-            best = np.lexsort((found, -np.round(score, 12)))[:k]
-            found, score = found[best], score[best]
-        return found, score
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.most = np.zeros((vectors.shape[1], -(-self.n // size)), np.float32)
+        for b, first in enumerate(range(0, self.n, size)):
+            block = vectors[first : first + size]
+            at = np.flatnonzero(block.any(axis=0))
+            self.postings.append((at, np.ascontiguousarray(block[:, at].T)))
+            self.most[:, b] = block.max(axis=0)
+
+    def nearest(self, queries: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest examples of each query and their cosines; ties go to the smaller number, a cosine of zero is no neighbour."""
+        bound = queries @ self.most
+        # One whole number orders candidates: the cosine in millionths, then the example's number from behind.
+        best = np.zeros((len(queries), k), np.int64)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+            lowest = best.min(axis=1) // self.n
+            go = np.flatnonzero((bound[:, b] > 0) & (np.ceil(bound[:, b] * 1e6) + 2 >= lowest))
+            if not len(go):
+                continue
+            at, weights = self.postings[b]
+            cosine = queries[np.ix_(go, at)] @ weights
+            number = b * self.size + np.arange(weights.shape[1])
+            key = np.rint(cosine * 1e6).astype(np.int64) * self.n + (self.n - 1 - number)
+            key[key < self.n] = 0
+            if without is not None:
+                key[without[go][:, None] == number] = 0
+            both = np.concatenate([best[go], key], axis=1)
+            best[go] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        best = -np.sort(-best, axis=1)
+        return np.where(best > 0, self.n - 1 - best % self.n, -1), best // self.n / 1e6
 
 
 def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,46 +99,54 @@ class Model:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], stand_for: tuple[float, float], k: int) -> None:
         self.at = {t: i for i, t in enumerate(vocabulary)}
         self.idf, self.k = idf, k
-        vectors = [self.vector(tf) for _, _, tf in examples]
-        order = sorted(range(len(examples)), key=lambda i: (examples[i][1], int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, examples[i][0]))
+        tf = np.zeros((len(examples), len(vocabulary)))
+        for i, (_, _, counts) in enumerate(examples):
+            for t, n in counts.items():
+                tf[i, self.at[t]] = n
+        vectors = self.weigh(tf)
+        label = np.array([y for _, y, _ in examples], float)
+        # Alike examples stand together, so that the bounds of blocks are tight.
+        order = np.lexsort((np.array([key for key, _, _ in examples]), vectors.argmax(axis=1) if len(vocabulary) else label, label))
         self.keys = np.array([examples[i][0] for i in order], np.int64)
-        self.label = np.array([examples[i][1] for i in order], float)
-        self.weight = np.where(self.label == 1, *stand_for[::-1])
-        vectors = [vectors[i] for i in order]
-        self.index = BlockMaxIndex(len(vocabulary), vectors)
-        plain = np.array([not len(v[0]) for v in vectors], bool)
+        self.label, vectors = label[order], vectors[order]
+        self.weight = np.where(self.label == 1, stand_for[1], stand_for[0])
+        self.index = BlockMaxIndex(vectors)
         rate = lambda of: float((self.weight[of] * self.label[of]).sum() / self.weight[of].sum()) if of.any() else None
+        plain = ~vectors.any(axis=1)
         self.base = rate(np.ones(len(vectors), bool)) or 0.0
-        plain_rate = rate(plain)
-        self.without_terms = plain_rate if plain_rate is not None else self.base
-        self.known: dict = {}
-        votes = [(self.vote(v, i)[0], i) for i, v in enumerate(vectors) if len(v[0])]
-        if votes:
-            of = np.array([i for _, i in votes])
-            self.points, self.rates = isotonic(np.array([s for s, _ in votes]), self.label[of], self.weight[of])
-        else:
-            self.points, self.rates = np.zeros(1), np.array([self.base])
-
-    def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.at[t], n) for t, n in tf.items() if t in self.at)
-        at = np.array([t for t, _ in found], np.int64)
-        weight = (1 + np.log([float(n) for _, n in found])) * self.idf[at] if found else np.zeros(0)
-        at, weight = at[weight > 0], weight[weight > 0]
-        return (at, weight / np.linalg.norm(weight)) if len(at) else (at, weight)
-
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, np.ndarray]:
-        near, cosine = self.index.nearest(*vector, self.k, without)
-        w = cosine * self.weight[near]
-        return (float((w * self.label[near]).sum() / w.sum()) if len(near) else self.base), near
-
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """The calibrated score, and the keys of the five nearest examples."""
-        vector = self.vector({t: n for t, n in terms(text).items() if t in self.at})
-        if not len(vector[0]):
-            return self.without_terms, []
-        vote, near = self.vote(vector)
-        calibrated = float(np.interp(vote, self.points, self.rates))
-        return 0.98 * calibrated + 0.02 * vote, self.keys[near[:5]].tolist()  # the vote orders what calibration ties
+        self.without_terms = rate(plain) if plain.any() else self.base
+        self.points, self.rates = np.zeros(1), np.array([self.base])
+        if not plain.all():
+            votes, _ = self.votes(vectors, np.arange(len(vectors)))
+            self.points, self.rates = isotonic(votes[~plain], self.label[~plain], self.weight[~plain])
+
+    def weigh(self, tf: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF vectors of rows of counts."""
+        weight = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.idf
+        size = np.sqrt((weight**2).sum(axis=1, keepdims=True))
+        return (weight / np.where(size > 0, size, 1)).astype(np.float32)
+
+    def votes(self, vectors: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        near, cosine = self.index.nearest(vectors, self.k, without)
+        w = np.where(near >= 0, cosine * self.weight[near], 0)
+        total = w.sum(axis=1)
+        return np.where(total > 0, (w * self.label[near]).sum(axis=1) / np.where(total > 0, total, 1), self.base), near
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+        """The calibrated scores, and the keys of the five nearest examples of each text."""
+        n = len(self.at)
+        get = self.at.get
+        cells = [i * n + j for i, t in enumerate(texts) for j in map(get, TERM.findall(t.lower())) if j is not None]
+        vectors = self.weigh(np.bincount(np.array(cells, np.int64), minlength=len(texts) * n).reshape(len(texts), n))
+        out = np.full(len(texts), self.without_terms)
+        evidence: list[list[int]] = [[] for _ in texts]
+        some = np.flatnonzero(vectors.any(axis=1))
+        if len(some):
+            vote, near = self.votes(vectors[some])
+            out[some] = 0.98 * np.interp(vote, self.points, self.rates) + 0.02 * vote  # the vote orders what calibration ties
+            for i, row in zip(some.tolist(), near[:, :5], strict=True):
+                evidence[i] = self.keys[row[row >= 0]].tolist()
+        return np.clip(out, 0, 1), evidence
 
 
 def _sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -172,10 +183,15 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, vocabulary_size: int = 2048, least_df: int = 5, least_chi2: float = 20.0, k: int = 15) -> Model | None:
-    """The model from at most ``per_class`` labelled rows of each label; None without both labels."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, examples_per_class: int = 1024, vocabulary_size: int = 1024, least_df: int = 5, least_share: float = 0.01, least_chi2: float = 20.0, k: int = 15) -> Model | None:
+    """The model from at most ``per_class`` labelled rows of each label, ``examples_per_class`` of them as examples; None without both labels.
+
+    A term of the vocabulary stands in ``least_df`` rows and in ``least_share`` of the rarer label's number of rows or more.
+    """
     sample, counts = _sample(labels, per_class)
-    body = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # at most 2 x per_class keys
+    body = texts(docs).join(F.broadcast(sample), "doc_id")  # at most 2 x per_class keys
+    # Copies say nothing new about a term: of equal texts with equal labels, one stays in the sample.
+    body = body.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "text")
     found = _term_rows(body).cache()
     got = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
     if set(got) != {0, 1}:
@@ -185,15 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, vocabulary_si
     by_term = found.select("toxic", F.explode(F.map_keys("tf")).alias("term")).groupBy("term").agg(F.sum(F.lit(1) - F.col("toxic")).alias("b"), F.sum("toxic").alias("a"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = F.lit(float(n0 + n1)) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    best = by_term.where((a + b >= least_df) & (a + b < n0 + n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
+    best = by_term.where((a + b >= max(least_df, least_share * min(n0, n1))) & (a + b < n0 + n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
     vocabulary = sorted(r["term"] for r in best.collect())
     rows, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + rows) / (1 + df))
-    kept = F.map_filter("tf", lambda t, _: F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), t)) if len(vocabulary) <= 64 else F.col("tf")
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the bounded sample
+    chosen = found.withColumn("order", order).where(F.col("order") <= examples_per_class)
     known = set(vocabulary)
-    examples = [(r["doc_id"], r["toxic"], {t: n for t, n in r["tf"].items() if t in known}) for r in found.select("doc_id", "toxic", kept.alias("tf")).toLocalIterator()]
+    examples = [(r["doc_id"], r["toxic"], {t: n for t, n in r["tf"].items() if t in known}) for r in chosen.select("doc_id", "toxic", "tf").toLocalIterator()]
     found.unpersist()
-    return Model(vocabulary, idf, examples, (counts[0] / n0, counts[1] / n1), k)
+    m1 = sum(y for _, y, _ in examples)
+    return Model(vocabulary, idf, examples, (counts[0] / (len(examples) - m1), counts[1] / m1), k)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
@@ -210,9 +228,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     model = fit(docs, labels, **options)
 
     def each(batch: pa.RecordBatch) -> dict:
-        found = [model.score(t) if model else (0.0, []) for t in batch.column(1).to_pylist()]
-        score = np.array([min(1.0, max(0.0, s)) for s, _ in found])
-        return {"doc_id": batch.column(0), "score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": [e for _, e in found]}
+        score, evidence = model.score(batch.column(1).to_pylist()) if model else (np.zeros(batch.num_rows), [[]] * batch.num_rows)
+        return {"doc_id": batch.column(0), "score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": evidence}
 
     scored = texts(docs).mapInArrow(arrow_map(SCORES, each, 256), "doc_id long, score double, predicted int, evidence array<long>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
@@ -226,6 +243,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opt
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t)[0] for t in text.fillna("")])
+        rows = text.fillna("").tolist()
+        return pd.Series(np.concatenate([model.score(rows[i : i + 256])[0] for i in range(0, len(rows), 256)] or [np.zeros(0)]))
 
     return docs.where(score("text") < threshold)
