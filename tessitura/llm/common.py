@@ -31,6 +31,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession._jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans that are gone
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -101,7 +101,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(n + 8, np.uint64)
     for j in range(8):
         word |= padded[j : j + n + 8].astype(np.uint64) << np.uint64(56 - 8 * j)
-    order = np.argsort(word[:n], kind="stable")
+    order = np.argsort(word[:n])
     new = np.r_[True, word[order[1:]] != word[order[:-1]]]
     rank = np.zeros(n + 1, np.int64)
     rank[n] = -1
@@ -114,7 +114,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         s = order[at]
         group, after = rank[s], rank[np.minimum(s + h, n)]
-        by = np.lexsort((after, group))
+        by = np.argsort(group * (n + 1) + after)
         order[at] = s[by]
         group, after = group[by], after[by]
         new[at] = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
@@ -123,7 +123,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, word
 
 
-def common_prefixes(word: np.ndarray, order: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(word: np.ndarray, order: np.ndarray, most: int, lanes: int = 16384) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, by place, at most ``most``.
 
     Kasai's rule (for a whole sort): from one place to the next the common prefix shrinks by one at most. Many
@@ -271,22 +271,20 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(length: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32())])
+    """Rows (doc, text) to (anchor, doc): each anchor hash of a document, twice if it stands there more than once."""
+    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         for part in slices(batches, 256):
-            found: list = [[], [], [], []]
-            for key, mark, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                hashes = [h for _, _, _, h in anchors.pieces(data)]
+            found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hashes = [h for _, _, _, h in anchors.pieces(text.encode("utf-8", "surrogatepass"))]
                 if hashes:
                     values, counts = np.unique(np.concatenate(hashes), return_counts=True)
-                    for column, x in zip(found, (values, np.full(len(values), key), np.full(len(values), mark), np.minimum(counts, 2)), strict=True):
-                        column.append(x)
-            if found[0]:
-                columns = [np.concatenate(c) for c in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    values = np.concatenate([values, values[counts > 1]])
+                    found.append(values), of.append(np.full(len(values), doc))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(of))], schema=schema)
 
     return run
 
@@ -300,34 +298,46 @@ def _piece_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
+        digest_of = xxhash.xxh3_128_digest
         for part in slices(batches, 64):
-            rows: list[tuple] = []
+            columns: list[list] = [[] for _ in PIECE]
+            anchor, piece, keys, marks, starts, stops, highs, lows = columns
             for i, (key, mark, text) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
                 data = text.encode("utf-8", "surrogatepass")
                 wanted = np.sort(part.column(3)[i].values.to_numpy(zero_copy_only=False))
-                seen: set[int] = set()
+                seen: set[bytes] = set()
                 for at, first, last, h in anchors.pieces(data):
-                    place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    for j in np.flatnonzero(wanted[place] == h).tolist():
-                        start, stop = at + int(first[j]), at + int(last[j]) + length
-                        piece = data[start:stop]
-                        digest = xxhash.xxh3_128_intdigest(piece)
-                        high, low = (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
-                        if digest in seen:
-                            rows.append((None, None, key, mark, start, stop, None, None))
-                        else:
-                            seen.add(digest)
-                            rows.append((int(h[j]), piece, key, mark, start, stop, high, low))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in PIECE]
+                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    start, stop = (first[hit] + at).tolist(), (last[hit] + (at + length)).tolist()
+                    found = [data[a:b] for a, b in zip(start, stop, strict=True)]
+                    digests = [digest_of(x) for x in found]
+                    value = h[hit].tolist()
+                    both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                    high, low = both[:, 0].tolist(), both[:, 1].tolist()
+                    if len(seen.union(digests)) < len(seen) + len(digests):
+                        for j, d in enumerate(digests):
+                            if d in seen:
+                                value[j] = found[j] = high[j] = low[j] = None
+                            seen.add(d)
+                    else:
+                        seen.update(digests)
+                    anchor += value
+                    piece += found
+                    starts += start
+                    stops += stop
+                    highs += high
+                    lows += low
+                    keys += [key] * len(start)
+                    marks += [mark] * len(start)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
 
     return run
 
 
 def _near(docs: DataFrame, keys: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``docs`` without most rows that have no match in ``keys(doc_id, mark)``: by a broadcast if the keys are few."""
+    """``docs`` without the rows that have no match in ``keys(doc)``, if the keys are few enough to broadcast; else ``docs``."""
     if keys.count() <= broadcast_rows:
-        return docs.join(F.broadcast(keys), ["doc_id", "mark"], "left_semi")
+        return docs.join(F.broadcast(keys), "doc", "left_semi")
     return docs
 
 
@@ -335,14 +345,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
     """``doc_id, mark, start, stop``: stretches of bytes to remove, not merged. ``docs`` is from :func:`_ids`."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(docs.select("doc_id", "mark", "text").mapInArrow(_anchor_rows(length), "anchor long, doc_id long, mark long, n int"), "anchors")
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 2").select("anchor")
-    hits = found.join(repeated, "anchor").groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors"))
-    hits = staged(hits, "repeated-anchors")
+    keyed = docs.select("doc_id", "mark", "text", F.xxhash64("doc_id", "mark").alias("doc"))  # documents that share it share candidates
+    found = staged(keyed.select("doc", "text").mapInArrow(_anchor_rows(length), "anchor long, doc long"), "anchors")
+    repeated = found.groupBy("anchor").count().where("count >= 2").select("anchor")
+    hits = staged(found.join(repeated, "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "repeated-anchors")
     release(found)
 
-    near = _near(docs.select("doc_id", "mark", "text"), hits.select("doc_id", "mark"), broadcast_rows)
-    joined = near.join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors")
+    joined = _near(keyed, hits.select("doc"), broadcast_rows).join(hits, "doc").select("doc_id", "mark", "text", "anchors")
     pieces = staged(joined.mapInArrow(_piece_rows(length), PIECE_DDL), "pieces")
     release(hits)
     again = pieces.where("piece IS NULL").select("doc_id", "mark", "start", "stop")
@@ -351,6 +360,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
     unique = staged(first_of.select("anchor", "high", "low", F.col("at.piece").alias("piece"), F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start")), "unique-pieces")
     lead = unique.select("high", "low", F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("s"))
     copies = whole.select("high", "low", "doc_id", "mark", "start", "stop").join(lead, ["high", "low"]).where("doc_id <> d OR mark <> m OR start <> s").select("doc_id", "mark", "start", "stop")
+    again = staged(again.unionByName(copies), "copied-spans")
+    release(pieces)
 
     sizes = unique.groupBy("anchor").count()
     hot = staged(sizes.where(F.col("count") > hot_pieces), "hot-anchors")
@@ -362,7 +373,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
     if n_hot:
         usual = usual.join(small, "anchor", "left_anti")
     spans = usual.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_spans(length, shard_bytes), SPAN_DDL)
-    out = again.unionByName(copies).unionByName(spans)
+    out = again.unionByName(spans)
     if n_hot:
         sized = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "anchor")
         block = F.xxhash64("anchor", F.pmod(F.xxhash64("piece"), F.ceil(F.col("count") / hot_pieces).cast("long")))
