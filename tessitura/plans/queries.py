@@ -11,7 +11,9 @@ from tessitura.functions import expr
 from tessitura.operators import audit, catalog, library, listening, media, recommend, sequence
 from tessitura.plans.sql import SQL  # noqa: F401
 from tessitura.sources import tables
+from tessitura.sources.shared import shared_path
 from tessitura.sources.tables import table
+from tessitura.streaming import radio
 
 NOW, SEED, BALANCE = "2024-01-31 00:00:00", 42, 0.4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,3 +487,45 @@ def private_paths(spark, sf):
     p = table(spark, sf, "pages")
     path = F.concat(F.element_at(F.array(*map(F.lit, ("src/", ".aws/", "a/.env.local/", "node_modules/"))), (F.col("page_id") % 4 + 1).cast("int")), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".py", ".pem", ".LOG"))), (F.col("page_id") % 3 + 1).cast("int")))
     return p.select("page_id", audit.is_private_path(path).alias("private"))
+
+
+# Streams: fixture rows are written as files and read as a stream.
+
+
+def _stream(spark, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    radio.use_rocksdb(spark)
+    folder = shared_path(spark, name)
+    rows.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
+
+
+@query
+def wave_dedup_stream(spark, sf):
+    e = tables.listening_events(spark, sf)
+    k = F.col("id").cast("int")
+    rows = e.select("account", F.concat(F.lit("genre:"), (k % 3).cast("string")).alias("station"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("click", "error"), "play").otherwise("offer").alias("action"), F.floor(F.col("event_id") / 50).cast("string").alias("batch"), (k % 12).cast("string").alias("track"), (k % 13 != 0).alias("available"))
+    stream, folder = _stream(spark, rows, "wave-dedup")
+    return radio.drain(radio.wave_dedup(stream, memory=3), f"{folder}/out", f"{folder}/checkpoint", ["account", "station", "seq", "action", "track"])
+
+
+@query
+def wave_feedback_stream(spark, sf):
+    e = tables.listening_events(spark, sf)
+    signal = F.when(F.col("event_type").isin("view", "purchase"), "started").otherwise(F.col("cause"))
+    rows = e.select("account", F.col("event_id").alias("seq"), (F.col("id").cast("int") % 2).cast("string").alias("track"), signal.alias("signal"))
+    stream, folder = _stream(spark, rows, "wave-feedback")
+    return radio.drain(radio.wave_feedback(stream), f"{folder}/out", f"{folder}/checkpoint", ["account", "seq", "track", "event"])
+
+
+@query
+def event_dedup_stream(spark, sf):
+    e = tables.listening_events(spark, sf).select("account", F.concat_ws("-", "id", F.floor(F.col("event_id") / 40).cast("string")).alias("play"), "at")
+    stream, folder = _stream(spark, e, "event-dedup")
+    return radio.drain(radio.first_plays(stream, "60 days").select("account", "play"), f"{folder}/out", f"{folder}/checkpoint", ["account", "play"])
+
+
+@query
+def stale_results(spark, sf):
+    e = tables.listening_events(spark, sf)
+    rows = e.select(F.concat_ws(":", F.col("account").cast("string"), "event_type").alias("key"), F.floor(F.col("event_id") / 100).alias("version"), "event_id")
+    return radio.current_only(rows, rows)

@@ -272,4 +272,6 @@ SQL = {
           ('SIGNED_AUDIO', 'https?://[^\s"<>]+(?:/get-mp3/|/get-opus/|[?&](?:sign|signature|token|expires)=)[^\s"<>]+')) r(category, rule)),
         hits AS (SELECT doc_id, category, line, len(regexp_extract_all(row, rule)) AS n FROM lines, rules)
         SELECT doc_id, category, line FROM hits, LATERAL unnest(range(n)) WHERE n > 0""",
+    "event_dedup_stream": f"WITH {LISTENED} SELECT DISTINCT account, id || '-' || (event_id // 40) AS play FROM listened",
+    "stale_results": f"""WITH {LISTENED}, r AS (SELECT account || ':' || event_type AS key, event_id // 100 AS version, event_id FROM listened) SELECT * FROM r QUALIFY version = max(version) OVER (PARTITION BY key)""",
 }
