@@ -130,7 +130,7 @@ def idempotent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], No
     """For ``foreachBatch``: each micro-batch replaces its own folder, so a batch that is run again adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
     return write
 
