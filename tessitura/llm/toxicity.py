@@ -184,7 +184,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, examples_per_class: int = 1024, vocabulary_size: int = 1024, least_df: int = 5, least_share: float = 0.01, least_chi2: float = 20.0, k: int = 15) -> Model | None:
-    """The model from at most ``per_class`` labelled rows of each label, ``examples_per_class`` of them as examples; None without both labels.
+    """The model from at most ``per_class`` labelled rows of each label, ``examples_per_class`` of them as examples; None without both labels or without terms that depend on them.
 
     A term of the vocabulary stands in ``least_df`` rows and in ``least_share`` of the rarer label's number of rows or more.
     """
@@ -203,6 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, examples_per_
     chi2 = F.lit(float(n0 + n1)) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
     best = by_term.where((a + b >= max(least_df, least_share * min(n0, n1))) & (a + b < n0 + n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
     vocabulary = sorted(r["term"] for r in best.collect())
+    if not vocabulary:  # nothing in the texts depends on the label
+        found.unpersist()
+        return None
     rows, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + rows) / (1 + df))
     order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the bounded sample
@@ -221,8 +224,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
 
     ``evidence`` has the keys of the nearest examples. A text without any term of the vocabulary,
-    as an empty or null one, gets the rate of toxic rows among examples without such terms. Without
-    labels of both kinds every score is zero. Null keys are scored; of repeated labels of a document
+    as an empty or null one, gets the rate of toxic rows among examples without such terms. Where
+    nothing can be learnt every score is zero. Null keys are scored; of repeated labels of a document
     the larger counts; empty tables give no rows; other columns are not read.
     """
     model = fit(docs, labels, **options)
