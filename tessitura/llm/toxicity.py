@@ -114,11 +114,12 @@ class Model:
         rate = lambda of: float((self.weight[of] * self.label[of]).sum() / self.weight[of].sum()) if of.any() else None
         plain = ~vectors.any(axis=1)
         self.base = rate(np.ones(len(vectors), bool)) or 0.0
-        self.without_terms = rate(plain) if plain.any() else self.base
         self.points, self.rates = np.zeros(1), np.array([self.base])
         if not plain.all():
             votes, _ = self.votes(vectors, np.arange(len(vectors)))
             self.points, self.rates = isotonic(votes[~plain], self.label[~plain], self.weight[~plain])
+        # A text without terms shows nothing toxic: the rate of such examples, or the least rate if there are none.
+        self.without_terms = rate(plain) if plain.any() else float(self.rates.min())
 
     def weigh(self, tf: np.ndarray) -> np.ndarray:
         """Unit TF-IDF vectors of rows of counts."""
@@ -224,7 +225,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
 
     ``evidence`` has the keys of the nearest examples. A text without any term of the vocabulary,
-    as an empty or null one, gets the rate of toxic rows among examples without such terms. Where
+    as an empty or null one, gets the rate of toxic rows among examples without such terms (the least
+    calibrated rate if there are no such examples). Where
     nothing can be learnt every score is zero. Null keys are scored; of repeated labels of a document
     the larger counts; empty tables give no rows; other columns are not read.
     """
