@@ -38,7 +38,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_no_labels_nulls_and_extra_columns(spark):
-    docs = spark.createDataFrame([(1, "a b", 0.5), (None, None, 0.1), (1, "a b", 0.5)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(901, "a b", 0.5), (None, None, 0.1), (901, "a b", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity_scores(docs, none).collect()] == [0.0] * 3
     assert drop_toxic(docs, none).count() == 3 and toxicity_scores(docs.limit(0), none).count() == 0
