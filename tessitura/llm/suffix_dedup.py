@@ -12,9 +12,11 @@ with a smaller key, or before in the same one. Strings are judged on the input.
 3. Shards. Pieces that share an anchor meet in one shard of bounded size. Each shard builds its
    suffix array by Larsson-Sadakane refinement and its common prefixes by Kasai's rule, both in
    numpy; suffixes with a common prefix of ``length`` bytes are equal windows, the first stays.
-4. Merging. Pieces of an anchor that has too many for a shard are dealt over several shards. Their
-   first windows, sorted by the suffix arrays, are cut at common boundaries by binary search and
-   dealt out by range; equal windows of different shards meet there and the first of all stays.
+4. Merging. Pieces of an anchor that has too many for a shard are dealt over several shards. The
+   windows that are first in their shard meet those of the other shards in an aggregation by
+   128-bit digest, and the first of all stays. Binary search of each shard in every other one would
+   do the same work once per pair of shards, which grows with the square of a hot anchor's pieces;
+   the aggregation is linear and has no hot key.
 """
 
 from __future__ import annotations
@@ -237,29 +239,24 @@ def _shard_spans(length: int, most_bytes: int):
     return run
 
 
-FIRST = pa.schema([*SPAN, ("range", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
-FIRST_DDL = SPAN_DDL + ", range int, high long, low long"
+FIRST = pa.schema([*SPAN, ("high", pa.int64()), ("low", pa.int64())])
+FIRST_DDL = SPAN_DDL + ", high long, low long"
 
 
-def _shard_firsts(length: int, most_bytes: int, ranges: int):
-    """Spans (range null) of each shard, and its first windows: by binary search, the range each lies in, and its digest."""
-    cuts = [int(i * 2**64 / ranges).to_bytes(8, "big") for i in range(1, ranges)]
-    cuts = np.array([int.from_bytes(c, "big") for c in cuts], np.uint64)
+def _shard_firsts(length: int, most_bytes: int):
+    """Spans of each shard (without a digest), and its first windows with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces, keys in _groups(batches, most_bytes):
             shard = Shard(pieces, keys, length)
             spans = shard.spans()
-            none = pa.nulls(spans.num_rows, pa.int32()), pa.nulls(spans.num_rows, pa.int64()), pa.nulls(spans.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*spans.columns, *none], schema=FIRST)
+            none = pa.nulls(spans.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*spans.columns, none, none], schema=FIRST)
             rows, key = shard.firsts()
-            digest = np.array([divmod(xxhash.xxh3_128_intdigest(r.tobytes()), 1 << 64) for r in rows], dtype=np.uint64).reshape(-1, 2)
-            head = digest[:, 0]
-            where = np.searchsorted(cuts, head, side="right").astype(np.int32)
             for at in range(0, len(rows), 20_000):
                 part = slice(at, at + 20_000)
-                d = digest[part].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[part, 0]), pa.array(key[part, 1]), pa.array(key[part, 2]), pa.array(key[part, 2] + length), pa.array(where[part]), pa.array(d[:, 0]), pa.array(d[:, 1])], schema=FIRST)
+                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in rows[part]), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part, 0]), pa.array(key[part, 1]), pa.array(key[part, 2]), pa.array(key[part, 2] + length), pa.array(d[:, 0]), pa.array(d[:, 1])], schema=FIRST)
 
     return run
 
@@ -378,11 +375,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
         sized = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "anchor")
         block = F.xxhash64("anchor", F.pmod(F.xxhash64("piece"), F.ceil(F.col("count") / hot_pieces).cast("long")))
         dealt = sized.select(block.alias("group"), "piece", "doc_id", "mark", "start").repartition(n, "group").sortWithinPartitions("group")
-        firsts = staged(dealt.mapInArrow(_shard_firsts(length, shard_bytes, 1024), FIRST_DDL), "first-windows")
-        windows = firsts.where("range IS NOT NULL")
-        least = windows.groupBy("range", "high", "low").agg(F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        later = windows.join(least, ["range", "high", "low"]).where(F.struct("doc_id", "mark", "start") != F.col("least")).select("doc_id", "mark", "start", "stop")
-        out = out.unionByName(firsts.where("range IS NULL").select("doc_id", "mark", "start", "stop")).unionByName(later)
+        firsts = staged(dealt.mapInArrow(_shard_firsts(length, shard_bytes), FIRST_DDL), "first-windows")
+        windows = firsts.where("high IS NOT NULL")
+        least = windows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        later = windows.join(least, ["high", "low"]).where(F.struct("doc_id", "mark", "start") != F.col("least")).select("doc_id", "mark", "start", "stop")
+        out = out.unionByName(firsts.where("high IS NULL").select("doc_id", "mark", "start", "stop")).unionByName(later)
     return out
 
 
