@@ -9,6 +9,10 @@ Equal fingerprints are one row of the index, so groups of copies cost nothing. T
 index sorted by variant and emit, per run of equal variants, the links of a spanning forest, not
 all pairs. A variant with more than ``block`` fingerprints is cut into blocks, and pairs of blocks
 go to different tasks; no link is lost.
+
+Texts that share 80 % of their shingles differ in about ten of 64 bits. To find those, fingerprints
+have several words; each word has its own index by the same variants, and candidates are verified
+on the bits of all words.
 """
 
 from __future__ import annotations
@@ -30,44 +34,65 @@ SEGMENTS = ((0, 21), (21, 42), (42, 64))
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """SimHash of the word shingles of a text, repeats included; zero without words."""
+def _ones(hashes: bytes, n: int, width: int) -> np.ndarray:
+    """Bits that are set in over half of ``n`` hashes of ``width`` bits, as little-endian 64-bit words."""
+    rows = np.frombuffer(hashes, np.uint8).reshape(n, width // 8)
+    ones = np.zeros(width, np.int64)
+    for at in range(0, n, 1 << 14):
+        ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def fingerprint_words(text: str, words: int = 4, k: int = 1) -> np.ndarray:
+    """SimHash of the word shingles of a text, repeats included, in ``k`` words of 64 bits; zero without words.
+
+    One word is made of XXH64 with seed 42, several of XXH3-128 with seeds 42, 43, ...
+    """
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(k, np.uint64)
     whole = b" ".join(parts)
-    digest = partial(xxhash.xxh64_intdigest, seed=42)
     if len(parts) < words:
-        hashes = np.array([digest(whole)], np.uint64)
+        shingles = [whole]
     else:
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         stop = np.cumsum(size + 1) - 1
         start = (stop - size)[: len(parts) - words + 1]
-        hashes = np.fromiter((digest(whole[a:b]) for a, b in zip(start.tolist(), stop[words - 1 :].tolist(), strict=True)), np.uint64, len(start))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        shingles = [whole[a:b] for a, b in zip(start.tolist(), stop[words - 1 :].tolist(), strict=True)]
+    n = len(shingles)
+    if k == 1:
+        digest = partial(xxhash.xxh64_intdigest, seed=42)
+        return _ones(np.fromiter(map(digest, shingles), "<u8", n).tobytes(), n, 64)
+    halves = [_ones(b"".join(map(partial(xxhash.xxh3_128_digest, seed=42 + j), shingles)), n, 128) for j in range(-(-k // 2))]
+    return np.concatenate(halves)[:k]
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint(text: str, words: int = 4) -> int:
+    """The fingerprint of one word as a number."""
+    return int(fingerprint_words(text, words)[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 4, k: int = 1) -> DataFrame:
+    """``doc_id, node, fp0 ...``: the fingerprint as signed 64-bit numbers, and a number for all of it (``fp0`` itself if it is one)."""
+    names = [f"fp{i}" for i in range(k)]
+    schema = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in names)])
 
     def each(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "fp": np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)}
+        found = np.array([fingerprint_words(t, words, k) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, k).view(np.int64)
+        return {"doc_id": batch.column(0)} | {x: np.ascontiguousarray(found[:, i]) for i, x in enumerate(names)}
 
-    return texts(docs).mapInArrow(arrow_map(schema, each, 256), "doc_id long, fp long")
+    rows = texts(docs).mapInArrow(arrow_map(schema, each, 256), ", ".join(f"{x} long" for x in ("doc_id", *names)))
+    return rows.select("doc_id", (F.col("fp0") if k == 1 else F.xxhash64(*names)).alias("node"), *names)
 
 
-def variants(distinct: DataFrame) -> DataFrame:
-    """``key, fp``: one row per bit, the segment of that bit with the bit as a wildcard."""
+def variants(distinct: DataFrame, word: str) -> DataFrame:
+    """One row per bit of a word: ``key`` is the segment of that bit with the bit as a wildcard; all columns of ``distinct`` go along."""
     keys = []
     for first, last in SEGMENTS:
         mask = (1 << (last - first)) - 1
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit(mask))
+        segment = F.shiftrightunsigned(word, first).bitwiseAND(F.lit(mask))
         keys += [segment.bitwiseAND(F.lit(mask & ~(1 << bit))) + F.lit((first + bit) << 22) for bit in range(last - first)]
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return distinct.select(F.explode(F.array(*keys)).alias("key"), *distinct.columns)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +113,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def run_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys whose fingerprints differ in at most ``most`` bits."""
+def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes within runs of equal keys whose fingerprints (rows of words) differ in at most ``most`` bits."""
     found_a, found_b = [], []
     at = np.arange(len(key))
     step = 0
@@ -97,75 +122,93 @@ def run_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, n
         step += 1
         at = at[at + step < len(key)]
         at = at[key[at + step] == key[at]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= most]
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= most]
         if len(near):
-            found_a.append(fp[near]), found_b.append(fp[near + step])
+            found_a.append(node[near]), found_b.append(node[near + step])
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64))
+    return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def _link_sorted(most: int):
-    """For partitions sorted by key: a run that goes on in the next batch is carried over to it."""
+    """Rows (key, node, words) sorted by key to links: a run that goes on in the next batch is carried over to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rows = None
 
-        def links(n: int) -> pa.RecordBatch:
-            a, b = run_links(key[:n], fp[:n], most)
+        def links(part: np.ndarray) -> pa.RecordBatch:
+            a, b = run_links(part[:, 0], part[:, 1], part[:, 2:].view(np.uint64), most)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=LINKS)
 
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            done = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            rows = new if rows is None else np.concatenate([rows, new])
+            done = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
             if done >= 1 << 16:
-                yield links(done)
-                key, fp = key[done:], fp[done:]
-        yield links(len(key))
+                yield links(rows[:done])
+                rows = rows[done:]
+        if rows is not None and len(rows):
+            yield links(rows)
 
     return run
 
 
 def near_links(distinct: DataFrame, most: int = 4, block: int = 2048, broadcast_rows: int = 100_000) -> DataFrame:
-    """``a, b``: links that connect all pairs of ``distinct(fp)`` that differ in at most ``most`` (0 to 5) bits."""
-    if most > 5:
-        raise ValueError("three segments find pairs of at most five differing bits")
-    index = variants(distinct)
+    """``a, b``: links of ``distinct(node, fp0 ...)`` that connect its pairs of at most ``most`` differing bits.
+
+    With one word, all pairs of up to five bits are found. With several words every word is an index
+    of its own, gone through one after the other, and a pair is found that has in any word a segment
+    with at most one differing bit.
+    """
+    words = distinct.columns[1:]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = staged(index.groupBy("key").count().where(F.col("count") > block), "hot-variants")
-    n_hot = hot.count()
-    if not n_hot:
-        return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted(most), "a long, b long")
-    small = F.broadcast(hot) if n_hot <= broadcast_rows else hot
-    usual = index.join(small, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted(most), "a long, b long")
-    # Block i of a hot variant meets every block: it goes to the pairs (i, j) and (j, i), each a key of its own.
-    many = index.join(small, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = many.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    hot_links = dealt.select(pair.alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted(most), "a long, b long")
-    return usual.unionByName(hot_links)
-
-
-def simhash_components(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
+    out = None
+    for i, word in enumerate(words):
+        index = variants(distinct, word)
+        hot = staged(index.groupBy("key").count().where(F.col("count") > block), "hot-variants")
+        n_hot = hot.count()
+        small = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+        usual = index.join(small, "key", "left_anti") if n_hot else index
+        links = usual.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted(most), "a long, b long")
+        if n_hot:
+            # Block i of a hot variant meets every block: it goes to the pairs (i, j), each a key of its own.
+            many = index.join(small, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("long"))
+            own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+            dealt = many.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+            paired = dealt.select(pair.alias("key"), "node", *words).repartition(n, "key").sortWithinPartitions("key")
+            links = links.unionByName(paired.mapInArrow(_link_sorted(most), "a long, b long"))
+        if len(words) > 1:
+            links = staged(links, f"links-{i}")
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
+def simhash_components(docs: DataFrame, words: int = 4, most: int = 4, k: int = 1) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id`` for every row of ``docs``.
 
-    Fingerprints link at ``most`` or fewer differing bits; the component's id is its smallest
-    doc_id. A null or empty text has fingerprint zero and links like any other. Null keys have no
-    part in the minimum. Repeated rows are each returned; an empty table gives none; other columns
-    are not read.
+    Fingerprints of ``k`` words link at ``most`` or fewer differing bits (at most 5 if ``k`` is 1);
+    the component's id is its smallest doc_id; ``fingerprint`` is the first word. A null or empty
+    text has fingerprint zero and links like any other. Null keys have no part in the minimum.
+    Repeated rows are each returned; an empty table gives none; other columns are not read.
     """
-    prints = staged(fingerprints(docs, words), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(near_links(distinct.select("fp"), most))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    if k == 1 and most > 5:
+        raise ValueError("three segments find pairs of at most five differing bits")
+    prints = staged(fingerprints(docs, words, k), "fingerprints")
+    names = [f"fp{i}" for i in range(k)]
+    distinct = staged(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(near_links(distinct.select("node", *names), most)).withColumnRenamed("node", "at")
+    rooted = distinct.join(roots, distinct.node == roots["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = rooted.join(least, "root").select("node", "component_id").distinct()
+    return prints.join(of_print, "node").select("doc_id", F.col("fp0").alias("fp"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, most: int = 46, k: int = 4) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their component, with all columns as they are.
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their component, with all columns as they are."""
-    found = simhash_components(docs, words, most)
+    Fingerprints of 256 bits: at a similarity of 0.8 of the shingle sets about 39 bits differ, give
+    or take 6; at 0.5 about 69. The links are those of ``most`` or fewer.
+    """
+    found = simhash_components(docs, words, most, k)
     return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), ["doc_id"])

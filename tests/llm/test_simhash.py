@@ -56,7 +56,7 @@ def test_links_connect_all_near_fingerprints(spark, block):
             for _ in range(rng.randrange(7)):
                 f ^= 1 << rng.randrange(64)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
-    links = near_links(spark.createDataFrame(signed, "fp long"), block=block)
+    links = near_links(spark.createDataFrame([x * 2 for x in signed], "node long, fp0 long"), block=block)
     found = {r.node: r.root for r in components(links).collect()}
     want = brute_components(prints)
     mine = {x: found.get(x - (1 << 64) if x >> 63 else x, x - (1 << 64) if x >> 63 else x) for x in prints}
@@ -66,8 +66,8 @@ def test_links_connect_all_near_fingerprints(spark, block):
 def test_run_links_stay_in_their_run():
     key = np.array([1, 1, 2, 2, 2])
     fp = np.array([0, 1, 0, 3, 1 << 40 | 255], np.uint64)
-    a, b = run_links(key, fp, 2)
-    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 0), (3, 0)]
+    a, b = run_links(key, np.array([10, 11, 12, 13, 14]), fp[:, None], 2)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(11, 10), (13, 12)]
 
 
 def test_components_of_chains_and_nothing(spark):
@@ -90,6 +90,7 @@ def test_documents(spark):
     assert by[9, "0" * 16] == by[8, "0" * 16] == 8 and by[1, f"{want['other text altogether here']:016x}"] == 1
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns and 9 not in [r.doc_id for r in kept.collect()]
+    assert {5, 3} - {r.doc_id for r in kept.collect()} == {5}
     assert simhash_components(df.limit(0)).count() == 0
 
 
@@ -101,3 +102,22 @@ def test_small_table_has_the_components_of_brute_force(spark):
     for k, f in prints.items():
         least[roots[f]] = min(k, least.get(roots[f], k))
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_components(docs).collect()} == {k: (f"{f:016x}", least[roots[f]]) for k, f in prints.items()}
+
+
+def test_wide_fingerprints_find_near_copies_and_spare_others(spark):
+    rng = random.Random(8)
+    texts, pairs = [], []
+    for i in range(60):
+        words = [f"{rng.randrange(3000)}" for _ in range(rng.randrange(80, 400))]
+        texts.append(" ".join(words))
+        if i % 2:
+            for at in rng.sample(range(len(words)), max(1, len(words) // 80)):
+                words[at] = "changed"
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(" ".join(words))
+    shared = " ".join(f"p{j}" for j in range(60))
+    texts += [f"{shared} " + " ".join(f"{rng.randrange(3000)}" for _ in range(120)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in drop_near_duplicates(df).collect()}
+    assert sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
+    assert all(i in kept for i in range(len(texts)) if i not in {b for _, b in pairs})
