@@ -89,3 +89,30 @@ def play_sessions(signals: DataFrame) -> DataFrame:
     opened = rows.where("signal = 'started'")
     cause = F.when(F.col("next_signal") == "started", "source-change").otherwise(F.col("next_signal"))
     return opened.select("account", F.row_number().over(order).alias("session"), F.col("at").alias("began"), F.col("next_at").alias("ended"), cause.alias("cause"))
+
+
+def accepted_events(events: DataFrame, acks: DataFrame, held: int = 64) -> DataFrame:
+    """Player events (session, n, entry, name) as a session sees them once its entry is acknowledged (session, entry, n).
+
+    Events before the acknowledgement are held, the last ``held`` of them, and replayed then; events
+    of another entry are dropped.
+    """
+    rows = events.join(acks.select("session", F.col("entry").alias("own"), F.col("n").alias("ack")), "session").where("entry = own")
+    early = F.col("n") < F.col("ack")
+    order = Window.partitionBy("session", early).orderBy(F.desc("n"))
+    return rows.withColumn("__n", F.row_number().over(order)).where(~early | (F.col("__n") <= held)).select("session", "n", "entry", "name", early.alias("replayed"))
+
+
+def seed_list(actions: DataFrame, most: int = 10) -> DataFrame:
+    """Seeds after appends (account, seq, id): distinct ids, each where it came last, the last ``most``; position zero is the oldest."""
+    last = actions.groupBy("account", "id").agg(F.max("seq").alias("seq"))
+    newest = Window.partitionBy("account").orderBy(F.desc("seq"), "id")
+    kept = last.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most)
+    oldest = Window.partitionBy("account").orderBy("seq", F.desc("id"))
+    return kept.select("account", "id", (F.row_number().over(oldest) - 1).alias("pos"))
+
+
+def play_reports(plays: DataFrame) -> DataFrame:
+    """Play reports (play, id, album_id, started, length, seconds): the length in whole seconds; without an album or listening they are rejected."""
+    good = (F.coalesce("album_id", F.lit("")) != "") & (F.col("seconds") > 0)
+    return plays.select("play", "id", "album_id", "started", F.round("length").cast("long").alias("length"), "seconds", good.alias("accepted"))

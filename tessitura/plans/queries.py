@@ -529,3 +529,25 @@ def stale_results(spark, sf):
     e = tables.listening_events(spark, sf)
     rows = e.select(F.concat_ws(":", F.col("account").cast("string"), "event_type").alias("key"), F.floor(F.col("event_id") / 100).alias("version"), "event_id")
     return radio.current_only(rows, rows)
+
+
+@query
+def accepted_events(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    rows = li.select(F.col("l_orderkey").alias("session"), n.alias("n"), (F.col("l_partkey") % 2).alias("entry"), F.col("l_returnflag").alias("name"))
+    acks = rows.where("n = 3").select("session", "entry", "n")
+    return listening.accepted_events(rows.select("session", "n", "entry", F.lit("e").alias("name")), acks, 1).drop("name")
+
+
+@query
+def seed_list(spark, sf):
+    e = tables.listening_events(spark, sf)
+    return listening.seed_list(e.where("event_type = 'signup'").select("account", F.col("event_id").alias("seq"), "id"))
+
+
+@query
+def play_reports(spark, sf):
+    p = tables.tracks(spark, sf).select("id", F.when(F.col("id").cast("int") % 3 != 0, F.col("album_id")).alias("album_id"), F.col("duration").alias("length"))
+    e = tables.listening_events(spark, sf).join(p, "id").select("play", "id", "album_id", micros("at").alias("started"), "length", "seconds")
+    return listening.play_reports(e).groupBy("id", "length", "accepted").agg(F.count(F.lit(1)).alias("n"))

@@ -274,4 +274,12 @@ SQL = {
         SELECT doc_id, category, line FROM hits, LATERAL unnest(range(n)) WHERE n > 0""",
     "event_dedup_stream": f"WITH {LISTENED} SELECT DISTINCT account, id || '-' || (event_id // 40) AS play FROM listened",
     "stale_results": f"""WITH {LISTENED}, r AS (SELECT account || ':' || event_type AS key, event_id // 100 AS version, event_id FROM listened) SELECT * FROM r QUALIFY version = max(version) OVER (PARTITION BY key)""",
+    "accepted_events": """WITH r AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 2 AS entry FROM lineitem),
+        a AS (SELECT session, entry AS own, n AS ack FROM r WHERE n = 3), j AS (SELECT *, n < ack AS early FROM r JOIN a USING (session) WHERE entry = own)
+        SELECT session, n, entry, early AS replayed FROM j QUALIFY NOT early OR row_number() OVER (PARTITION BY session, early ORDER BY n DESC) <= 1""",
+    "seed_list": f"""WITH {LISTENED}, g AS (SELECT account, id, max(event_id) AS seq FROM listened WHERE event_type = 'signup' GROUP BY ALL),
+        l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq DESC, id) <= 10)
+        SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY seq, id DESC) - 1 AS pos FROM l""",
+    "play_reports": f"""WITH {TRACKS}, {LISTENED}, j AS (SELECT l.id, CASE WHEN CAST(t.id AS INTEGER) % 3 <> 0 THEN t.album_id END AS album_id, t.duration, l.seconds FROM listened l JOIN tracks t ON l.id = t.id)
+        SELECT id, CAST(round(duration) AS BIGINT) AS length, coalesce(album_id, '') <> '' AND seconds > 0 AS accepted, count(*) AS n FROM j GROUP BY ALL""",
 }
