@@ -286,8 +286,8 @@ def _anchor_rows(length: int):
     return run
 
 
-PIECE = pa.schema([("anchor", pa.int64()), ("piece", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
-PIECE_DDL = "anchor long, piece binary, doc_id long, mark long, start long, stop long, high long, low long"
+PIECE = pa.schema([("anchor", pa.int64()), ("piece", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("high", pa.int64()), ("low", pa.int32())])  # high and low: 96 bits of a digest
+PIECE_DDL = "anchor long, piece binary, doc_id long, mark long, start long, size int, high long, low int"
 
 
 def _piece_rows(length: int):
@@ -298,7 +298,7 @@ def _piece_rows(length: int):
         digest_of = xxhash.xxh3_128_digest
         for part in slices(batches, 64):
             columns: list[list] = [[] for _ in PIECE]
-            anchor, piece, keys, marks, starts, stops, highs, lows = columns
+            anchor, piece, keys, marks, starts, sizes, highs, lows = columns
             for i, (key, mark, text) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
                 data = text.encode("utf-8", "surrogatepass")
                 wanted = np.sort(part.column(3)[i].values.to_numpy(zero_copy_only=False))
@@ -307,10 +307,11 @@ def _piece_rows(length: int):
                     hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                     start, stop = (first[hit] + at).tolist(), (last[hit] + (at + length)).tolist()
                     found = [data[a:b] for a, b in zip(start, stop, strict=True)]
+                    sizes += map(len, found)
                     digests = [digest_of(x) for x in found]
                     value = h[hit].tolist()
                     both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                    high, low = both[:, 0].tolist(), both[:, 1].tolist()
+                    high, low = both[:, 0].tolist(), (both[:, 1] >> 32).tolist()
                     if len(seen.union(digests)) < len(seen) + len(digests):
                         for j, d in enumerate(digests):
                             if d in seen:
@@ -321,7 +322,6 @@ def _piece_rows(length: int):
                     anchor += value
                     piece += found
                     starts += start
-                    stops += stop
                     highs += high
                     lows += low
                     keys += [key] * len(start)
@@ -351,12 +351,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
     joined = _near(keyed, hits.select("doc"), broadcast_rows).join(hits, "doc").select("doc_id", "mark", "text", "anchors")
     pieces = staged(joined.mapInArrow(_piece_rows(length), PIECE_DDL), "pieces")
     release(hits)
-    again = pieces.where("piece IS NULL").select("doc_id", "mark", "start", "stop")
+    stop = (F.col("start") + F.col("size")).alias("stop")
+    again = pieces.where("piece IS NULL").select("doc_id", "mark", "start", stop)
     whole = pieces.where("piece IS NOT NULL")
     first_of = whole.groupBy("anchor", "high", "low").agg(F.min(F.struct("doc_id", "mark", "start", "piece")).alias("at"))
     unique = staged(first_of.select("anchor", "high", "low", F.col("at.piece").alias("piece"), F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start")), "unique-pieces")
     lead = unique.select("high", "low", F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("s"))
-    copies = whole.select("high", "low", "doc_id", "mark", "start", "stop").join(lead, ["high", "low"]).where("doc_id <> d OR mark <> m OR start <> s").select("doc_id", "mark", "start", "stop")
+    copies = whole.select("high", "low", "doc_id", "mark", "start", "size").join(lead, ["high", "low"]).where("doc_id <> d OR mark <> m OR start <> s").select("doc_id", "mark", "start", stop)
     again = staged(again.unionByName(copies), "copied-spans")
     release(pieces)
 
