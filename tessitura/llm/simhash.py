@@ -12,7 +12,8 @@ go to different tasks; no link is lost.
 
 Texts that share 80 % of their shingles differ in about ten of 64 bits. To find those, fingerprints
 have several words; each word has its own index by the same variants, and candidates are verified
-on the bits of all words.
+on the bits of all words. What the first word connects is contracted to trees, and the other words
+only emit links between different trees, so a large group is not linked anew by every variant.
 """
 
 from __future__ import annotations
@@ -113,8 +114,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of nodes within runs of equal keys whose fingerprints (rows of words) differ in at most ``most`` bits."""
+def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes within runs of equal keys whose fingerprints (rows of words) differ in at most ``most`` bits; with ``tree``, between trees only."""
     found_a, found_b = [], []
     at = np.arange(len(key))
     step = 0
@@ -122,7 +123,8 @@ def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> t
         step += 1
         at = at[at + step < len(key)]
         at = at[key[at + step] == key[at]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= most]
+        apart = at if tree is None else at[tree[at] != tree[at + step]]
+        near = apart[np.bitwise_count(fp[apart] ^ fp[apart + step]).sum(axis=1) <= most]
         if len(near):
             found_a.append(node[near]), found_b.append(node[near + step])
     if not found_a:
@@ -131,13 +133,13 @@ def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> t
 
 
 def _link_sorted(most: int):
-    """Rows (key, node, words) sorted by key to links: a run that goes on in the next batch is carried over to it."""
+    """Rows (key, node, tree, words) sorted by key to links: a run that goes on in the next batch is carried over to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = None
 
         def links(part: np.ndarray) -> pa.RecordBatch:
-            a, b = run_links(part[:, 0], part[:, 1], part[:, 2:].view(np.uint64), most)
+            a, b = run_links(part[:, 0], part[:, 1], part[:, 3:].view(np.uint64), most, part[:, 2])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=LINKS)
 
         for batch in batches:
@@ -161,6 +163,7 @@ def near_links(distinct: DataFrame, most: int = 4, block: int = 2048, broadcast_
     with at most one differing bit.
     """
     words = distinct.columns[1:]
+    distinct = distinct.select("node", F.col("node").alias("tree"), *words)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = None
     for i, word in enumerate(words):
@@ -176,9 +179,14 @@ def near_links(distinct: DataFrame, most: int = 4, block: int = 2048, broadcast_
             own = F.pmod(F.xxhash64("node"), F.col("blocks"))
             dealt = many.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
             pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-            paired = dealt.select(pair.alias("key"), "node", *words).repartition(n, "key").sortWithinPartitions("key")
+            paired = dealt.select(pair.alias("key"), "node", "tree", *words).repartition(n, "key").sortWithinPartitions("key")
             links = links.unionByName(paired.mapInArrow(_link_sorted(most), "a long, b long"))
-        if len(words) > 1:
+        if i == 0 and len(words) > 1:
+            roots = staged(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "trees")
+            links = roots.where("a <> b")
+            tree = F.coalesce("b", "node").alias("tree")
+            distinct = staged(distinct.join(roots, distinct.node == roots.a, "left").select("node", tree, *words), "nodes-of-trees")
+        elif len(words) > 1:
             links = staged(links, f"links-{i}")
         out = links if out is None else out.unionByName(links)
     return out
