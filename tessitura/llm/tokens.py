@@ -22,7 +22,8 @@ PATTERNS = {
     "word_bpe": r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+",
 }
 #: Outside of these blocks (and for capital sigma, whose lower case depends on its place) the library gets the text whole.
-UNUSUAL = regex.compile("[^\x00-ʯͰ-΢Τ-՗‐-⁮₠-₿　-ゖァ-ヿ一-龥가-힣\U0001f300-\U0001f64f]")
+# So it does with the four separators that only Python takes for white space.
+UNUSUAL = regex.compile("[^\x00-\x1b\x20-ʯͰ-΢Τ-՗‐-⁮₠-₿　-ゖァ-ヿ一-龥가-힣\U0001f300-\U0001f64f]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -62,10 +63,25 @@ class PieceEncoder:
         self.lower = self.tokenizer.normalizer is not None
         self.find = regex.compile(PATTERNS["word_bpe" if self.lower else "byte_bpe"]).findall
         self.memory = Memory(kept)
+        self.words = Memory(kept)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remember(self, pieces: set[str]) -> None:
+        self.memory.turn()
+        if new := self.memory.lacking(pieces):
+            self.memory.now.update(zip(new, self._library(new), strict=True))
+
+    def _remember_words(self, words: set[str]) -> None:
+        """Where white space is dropped, no piece reaches over it: only new words are split into pieces."""
+        self.words.turn()
+        if new := self.words.lacking(words):
+            pieces = [self.find(w) for w in new]
+            self._remember(set().union(*pieces))
+            get = self.memory.now.__getitem__
+            self.words.now.update(zip(new, (b"".join(map(get, p)) for p in pieces), strict=True))
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         whole: list[str] = []
         pieces: list[list[str] | None] = []
@@ -74,12 +90,10 @@ class PieceEncoder:
                 whole.append(text)
                 pieces.append(None)
             else:
-                pieces.append(self.find(text.lower() if self.lower else text))
-        self.memory.turn()
-        if new := self.memory.lacking(set().union(*(p for p in pieces if p))):
-            self.memory.now.update(zip(new, self._library(new), strict=True))
+                pieces.append(text.lower().split() if self.lower else self.find(text))
+        (self._remember_words if self.lower else self._remember)(set().union(*(p for p in pieces if p)))
         rest = iter(self._library(whole) if whole else ())
-        get = self.memory.now.__getitem__
+        get = (self.words if self.lower else self.memory).now.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
 
 
