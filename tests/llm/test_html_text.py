@@ -29,6 +29,22 @@ def test_pages_by_hand(page, want):
     assert main_text(page) == want
 
 
+CARD = "<article><h3>Card</h3><p>A few words.</p></article>"
+COMMENT = f"<article class='comment'><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div class=body><h1>T</h1><p>{LONG}</p><p>Hm.</p><p>{LONG}</p></div>{CARD * 4}", f"T {LONG.strip()} Hm. {LONG.strip()}"),
+    (f"{CARD * 4}<div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<main><div><p>{LONG}</p><p>{LONG}</p></div>{CARD * 2}</main>", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div>{COMMENT}", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>{LONG}</p></article>", " ".join([LONG.strip()] * 3)),
+    (f"<article class='post category-social'><h1>A</h1><section><p>{LONG}</p></section><div><p>x</p></div></article><div>Few words</div>", f"A {LONG.strip()} x"),
+])
+def test_clusters_overrule_article_and_main(page, want):
+    assert main_text(page) == want
+
+
 def test_smoothing_and_clusters():
     assert np.allclose(smooth(np.full(5, 3.0), 1.0), 3)
     assert 1 < split(np.array([0.0, 1, 9, 10])) < 9
