@@ -10,16 +10,21 @@ index sorted by variant and emit, per run of equal variants, the links of a span
 all pairs. A variant with more than ``block`` fingerprints is cut into blocks, and pairs of blocks
 go to different tasks; no link is lost.
 
-Texts that share 80 % of their shingles differ in about ten of 64 bits. To find those, fingerprints
-have several words; each word has its own index by the same variants, and candidates are verified
-on the bits of all words. What the first word connects is contracted to trees, and the other words
-only emit links between different trees, so a large group is not linked anew by every variant.
+Fingerprints of several words have an index for each word by the same variants, and candidates are
+verified on the bits of all words. What the first word connects is contracted to trees, and the
+other words only emit links between different trees, so a large group is not linked anew by every
+variant.
+
+The pipeline's stage (:func:`drop_near_duplicates`) goes by the Jaccard similarity of the sets of
+word shingles itself: candidates are found by prefixes of the sets, so that no pair is missed, and
+every link is verified on the shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, texts, without
+from .common import arrow_map, release, slices, staged, texts, without
+from .exact_dedup import from_files
 from .graph import components
 
 #: Bits of the three segments: first, one past the last.
@@ -44,22 +50,28 @@ def _ones(hashes: bytes, n: int, width: int) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
+def shingles_of(text: str, words: int) -> list[bytes]:
+    """All runs of ``words`` words, repeats included; a shorter text is one run, a text without words has none."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return []
+    whole = b" ".join(parts)
+    if len(parts) < words:
+        return [whole]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    stop = np.cumsum(size + 1) - 1
+    start = (stop - size)[: len(parts) - words + 1]
+    return [whole[a:b] for a, b in zip(start.tolist(), stop[words - 1 :].tolist(), strict=True)]
+
+
 def fingerprint_words(text: str, words: int = 4, k: int = 1) -> np.ndarray:
     """SimHash of the word shingles of a text, repeats included, in ``k`` words of 64 bits; zero without words.
 
     One word is made of XXH64 with seed 42, several of XXH3-128 with seeds 42, 43, ...
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    shingles = shingles_of(text, words)
+    if not shingles:
         return np.zeros(k, np.uint64)
-    whole = b" ".join(parts)
-    if len(parts) < words:
-        shingles = [whole]
-    else:
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        stop = np.cumsum(size + 1) - 1
-        start = (stop - size)[: len(parts) - words + 1]
-        shingles = [whole[a:b] for a, b in zip(start.tolist(), stop[words - 1 :].tolist(), strict=True)]
     n = len(shingles)
     if k == 1:
         digest = partial(xxhash.xxh64_intdigest, seed=42)
@@ -212,11 +224,205 @@ def simhash_components(docs: DataFrame, words: int = 4, most: int = 4, k: int =
     return prints.join(of_print, "node").select("doc_id", F.col("fp0").alias("fp"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, most: int = 46, k: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their component, with all columns as they are.
+def shingle_set(text: str, words: int) -> frozenset[bytes]:
+    """The distinct shingles; texts without words are alike, so they have one empty shingle."""
+    return frozenset(shingles_of(text, words)) or frozenset([b""])
+
+
+def _digests(shingles: frozenset[bytes]) -> bytes:
+    return b"".join(map(partial(xxhash.xxh3_128_digest, seed=42), shingles))
+
+
+def _keys(digests: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(digests, "<i8")[::2])
+
+
+def common_shingles(rows: DataFrame, words: int, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of shingles that three or more of about ``sample`` rows share, and their counts; the ``most`` frequent ones."""
+    schema = pa.schema([("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            keys = [_keys(_digests(shingle_set(t, words))) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], schema=schema)
+
+    share = max(1, rows.count() // sample)
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(run, "key long")
+    found = some.groupBy("key").count().where("count >= 3").orderBy(F.desc("count"), "key").limit(most).collect()
+    keys = np.array([x["key"] for x in found], np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.array([x["count"] for x in found], np.int64)[order]
+
 
-    Fingerprints of 256 bits: at a similarity of 0.8 of the shingle sets about 39 bits differ, give
-    or take 6; at 0.5 about 69. The links are those of ``most`` or fewer.
+def prefixes(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """``key, node, n, fp0, fp1``: the shingles of each set's prefix, the set's size and a SimHash of 128 bits of the set.
+
+    Shingles have one order in all sets, common ones last. Two sets of a Jaccard similarity of ``least``
+    or more share at least ``ceil(least * n)`` of either's ``n`` shingles, so each one's first
+    ``n - ceil(least * n) + 1`` have a shingle in common. The order needs no exact counts.
+    """
+    common, counts = common_shingles(rows, words)
+    schema = pa.schema([(x, pa.int64()) for x in ("key", "node", "n", "fp0", "fp1")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            out = []
+            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                shingles = shingle_set(text, words)
+                digests = _digests(shingles)
+                keys, fp = _keys(digests), _ones(digests, len(shingles), 128).view(np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                    keys = keys[np.argsort(np.where(common[at] == keys, counts[at], 0), kind="stable")]
+                keys = keys[: len(keys) - math.ceil(least * len(keys) - 1e-9) + 1]
+                rest = np.array([node, len(shingles), *fp], np.int64)
+                out.append(np.concatenate([keys[:, None], np.broadcast_to(rest, (len(keys), 4))], axis=1))
+            if out:
+                table = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)], schema=schema)
+
+    return rows.mapInArrow(run, "key long, node long, n long, fp0 long, fp1 long")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column as arrays that hold whole runs of it."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        cut = int(np.searchsorted(new[:, 0], new[-1, 0]))
+        if held and (cut or held[-1][-1, 0] != new[0, 0]) and sum(map(len, held)) + cut >= rows:
+            yield np.concatenate([*held, new[:cut]])
+            held = [new[cut:]]
+        else:
+            held.append(new)
+    if held:
+        yield np.concatenate(held)
+
+
+def _alike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Which pairs of rows (key, node, n, fp0, fp1, ...) may reach the similarity ``least``, by their sizes and at most ``most`` differing bits."""
+    n, m = rows[i, 2], rows[j, 2]
+    bits = np.bitwise_count((rows[i, 3:5] ^ rows[j, 3:5]).view(np.uint64)).sum(axis=1)
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (bits <= most)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)], schema=LINKS)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key another row has too."""
+    for rows in _whole_runs(batches):
+        same = rows[1:, 0] == rows[:-1, 0]
+        kept = rows[np.append(same, False) | np.append(False, same)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, i])) for i in range(5)], names=["key", "node", "n", "fp0", "fp1"])
+
+
+def _stars(least: float, most: int, rounds: int = 16):
+    """Per run, pairs of its first row and the rows like it, then the same for the rows left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            left = np.arange(len(rows))
+            for _ in range(rounds):
+                if not len(left):
+                    break
+                first = np.append(True, rows[left[1:], 0] != rows[left[:-1], 0])
+                leader, others = left[first][np.cumsum(first) - 1][~first], left[~first]
+                ok = _alike(rows, leader, others, least, most)
+                yield _pairs(rows[leader[ok], 1], rows[others[ok], 1])
+                left = others[~ok]
+
+    return run
+
+
+def _between_trees(least: float, most: int):
+    """All pairs of rows (key, node, n, fp0, fp1, tree) of a run that stand in different trees and may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            several = np.minimum.reduceat(rows[:, 5], first) != np.maximum.reduceat(rows[:, 5], first)
+            rows = rows[np.repeat(several, np.diff(np.append(first, len(rows))))]
+            at, step = np.arange(len(rows)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(rows)]
+                at = at[rows[at + step, 0] == rows[at, 0]]
+                apart = at[rows[at, 5] != rows[at + step, 5]]
+                near = apart[_alike(rows, apart, apart + step, least, most)]
+                if len(near):
+                    yield _pairs(rows[near, 1], rows[near + step, 1])
+
+    return run
+
+
+def jaccard_links(pairs: DataFrame, rows: DataFrame, words: int, least: float, broadcast_rows: int = 500_000) -> DataFrame:
+    """The pairs (a, b) of ``rows(node, text)`` whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = staged(nodes, "pair-nodes")
+    body = staged(rows.join(F.broadcast(nodes) if nodes.count() <= broadcast_rows else nodes, "node"), "pair-texts")
+    both = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("of_a")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("of_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(256)(partial(shingle_set, words=words))
+        for part in slices(batches, 256):
+            ok = []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                x, y = of(x), of(y)
+                common = len(x & y)
+                ok.append(common / (len(x) + len(y) - common) >= least)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in part.columns[:2]], schema=LINKS)
+
+    links = staged(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "jaccard-links")
+    release(body, nodes)
+    return links
+
+
+def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most: int = 48) -> DataFrame:
+    """``node, root`` of the nodes of ``rows(node, text)`` that have a row of similarity ``least`` or more.
+
+    Of each run of an equal prefix shingle, first stars are verified; then all pairs between trees that
+    these left apart. Pairs with over ``most`` of 128 differing bits are not verified: at a similarity of
+    0.8 about 20 bits differ, give or take 4.5, at 0 about 64.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = prefixes(rows, words, least).repartition(n, "key").sortWithinPartitions("key")
+    shared = staged(index.mapInArrow(_shared, "key long, node long, n long, fp0 long, fp1 long"), "shared-prefixes")
+    sort = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "node")
+    stars = staged(sort(shared).mapInArrow(_stars(least, most), "a long, b long").distinct(), "star-pairs")
+    links = jaccard_links(stars, rows, words, least)
+    trees = components(links).withColumnRenamed("node", "at")
+    of_trees = staged(shared.join(trees, shared.node == trees["at"], "left").select("key", "node", "n", "fp0", "fp1", F.coalesce("root", "node").alias("tree")), "prefixes-of-trees")
+    rest = sort(of_trees).mapInArrow(_between_trees(least, most), "a long, b long").distinct()
+    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "other-pairs")
+    release(shared, of_trees)
+    return components(links.unionByName(jaccard_links(rest, rows, words, least)))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of near copies, with all columns as they are.
+
+    Rows are linked where the sets of their word shingles have a Jaccard similarity of ``least`` or more;
+    null and empty texts are alike. The row that stays is that with the smallest key, null keys last, and
+    of equal keys the first by file and row. Rows are told apart by file and row, so a key that is null or
+    repeated stands for no other row.
     """
-    found = simhash_components(docs, words, most, k)
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), ["doc_id"])
+    docs = from_files(docs)
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = sorted(r[0] for r in docs.select(file).distinct().collect())
+    if not files:
+        return docs
+    number = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __path string")
+    located = docs.select("*", file.alias("__file"), row.alias("__row"))
+    numbered = located.join(F.broadcast(number), F.col("__file") == F.col("__path")).withColumn("node", F.shiftleft("__number", 40) + F.col("__row"))
+    found = jaccard_components(numbered.select("node", F.coalesce("text", F.lit("")).alias("text")), words, least)
+    found = found.withColumnRenamed("node", "__node")
+    ranked = numbered.select("node", "__file", "__row", F.col("doc_id").alias("id")).join(found, F.col("node") == F.col("__node"))
+    ranked = staged(ranked.select("root", "node", "__file", "__row", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank")), "component-rows")
+    kept = ranked.groupBy("root").agg(F.min("rank").alias("first"))
+    gone = ranked.join(kept.select(F.col("first.node").alias("node")), "node", "left_anti")
+    return without(located, gone, ["__file", "__row"]).drop("__file", "__row")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from tessitura.llm.graph import components
-from tessitura.llm.simhash import drop_near_duplicates, fingerprint, near_links, run_links, simhash_components
+from tessitura.llm.simhash import drop_near_duplicates, fingerprint, jaccard_components, near_links, run_links, simhash_components
 
 
 def plain_fingerprint(text, n=4):
@@ -121,3 +121,43 @@ def test_wide_fingerprints_find_near_copies_and_spare_others(spark):
     kept = {r.doc_id for r in drop_near_duplicates(df).collect()}
     assert sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
     assert all(i in kept for i in range(len(texts)) if i not in {b for _, b in pairs})
+
+
+def near_texts():
+    """Texts around a similarity of 0.8, chains, copies, texts that share one much repeated line, short and empty ones."""
+    rng = random.Random(3)
+    line = " ".join(f"l{j}" for j in range(14))
+    texts = ["", " ", "a b", "A  b", "a b c"]
+    for _ in range(60):
+        words = [f"{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
+        for _ in range(rng.randrange(1, 5)):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.015, 0.03)))):
+                words[at] = f"c{rng.randrange(10**6)}"
+    texts += [" ".join([line] * 40 + [f"{rng.randrange(5000)}" for _ in range(200)]) for _ in range(8)]
+    return texts
+
+
+def jaccard_roots(texts, least=0.8):
+    def shingles(t, n=5):
+        w = t.lower().split()
+        return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def test_near_duplicates_are_the_components_of_brute_force_jaccard(spark):
+    texts = near_texts()
+    root = jaccard_roots(texts)
+    assert len(set(root)) < len(root) - 20 and all(root[-i] == len(texts) - i for i in range(1, 9))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r.node: r.root for r in jaccard_components(df).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == root
+    kept = {r.doc_id for r in drop_near_duplicates(df.withColumnRenamed("node", "doc_id")).collect()}
+    assert kept == set(root)
