@@ -5,6 +5,9 @@ A sequence is a relation with (seq_id, pos); nothing relies on the order of rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,30 +124,47 @@ def history_positions(history: DataFrame, queue: DataFrame) -> DataFrame:
     return history.join(first, ["seq_id", "id"], "left").select("seq_id", "at", "id", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
-def history_fold(actions: DataFrame, most: int = 10_000) -> DataFrame:
+def history_fold(actions: DataFrame) -> DataFrame:
     """History after actions (seq_id, n, action, id): ``seq_id, history array<string>, cursor``.
 
     ``start`` of an id cuts what lies after the cursor and appends it; ``previous`` and ``forward``
     move the cursor; ``previous`` at the first entry with an id puts that id, the queue's
-    predecessor, before all others. A fold over the actions of one session, in order.
+    predecessor, before all others. A fold over all actions of one session, in order: rows sorted by
+    session and n go through a task one batch at a time, so only the history itself is held.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "action", "id"))), lambda x: F.struct(x["action"].alias("action"), x["id"].alias("id")))
-    empty = F.struct(F.array().cast("array<string>").alias("history"), F.lit(-1).alias("cursor"))
-
-    def step(s: Column, a: Column) -> Column:
-        h, c = s["history"], s["cursor"]
-        make = lambda history, cursor: F.struct(history.alias("history"), cursor.cast("int").alias("cursor"))
-        appended = F.concat(F.slice(h, F.lit(1), c + 1), F.array(a["id"]))
-        return (
-            F.when(a["action"] == "start", make(appended, F.size(appended) - 1))
-            .when((a["action"] == "previous") & (c > 0), make(h, c - 1))
-            .when((a["action"] == "previous") & a["id"].isNotNull(), make(F.concat(F.array(a["id"]), h), F.lit(0)))
-            .when((a["action"] == "forward") & (c + 1 < F.size(h)), make(h, c + 1))
-            .otherwise(s)
-        )
-
-    folded = actions.groupBy("seq_id").agg(F.slice(ordered, 1, most).alias("a")).select("seq_id", F.aggregate("a", empty, step).alias("s"))
-    return folded.select("seq_id", "s.history", "s.cursor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, before, after, cursor = None, [], [], -1  # ids put before all others (last first), and those appended
+
+        def folded() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([session[0]], kind), pa.array([before[::-1] + after], pa.list_(pa.string())), pa.array([cursor], pa.int32())], names=["seq_id", "history", "cursor"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, action, track in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if session is None or session[0] != key:
+                    if session is not None:
+                        yield folded()
+                    session, before, after, cursor = (key,), [], [], -1
+                if action == "start":
+                    keep = cursor + 1 - len(before)
+                    if keep < 0:
+                        del before[:-keep]
+                    del after[max(keep, 0) :]
+                    after.append(track)
+                    cursor = len(before) + len(after) - 1
+                elif action == "previous" and cursor > 0:
+                    cursor -= 1
+                elif action == "previous" and track is not None:
+                    before.append(track)
+                    cursor = 0
+                elif action == "forward" and cursor + 1 < len(before) + len(after):
+                    cursor += 1
+        if session is not None:
+            yield folded()
+
+    rows = actions.select("seq_id", "action", F.col("id").cast("string").alias("id"), "n").repartition("seq_id").sortWithinPartitions("seq_id", "n", "action", "id").select("seq_id", "action", "id")
+    return rows.mapInArrow(run, f"seq_id {actions.schema['seq_id'].dataType.simpleString()}, history array<string>, cursor int")
 
 
 def advance(natural: str | Column, repeat: str | Column, forward: str | Column, following: str | Column) -> Column:

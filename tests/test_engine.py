@@ -120,6 +120,13 @@ def test_history_fold(spark):
     assert (list(r.history), r.cursor) == (["45", "60"], 1)
 
 
+def test_history_fold_takes_all_actions_of_a_session(spark):
+    rows = spark.range(12_000).selectExpr("id % 12000 AS n", "IF(id < 11990, 'start', 'previous') AS action", "IF(id < 11990, CAST(id AS STRING), NULL) AS id").selectExpr("1 AS seq_id", "n", "action", "id")
+    r = sequence.history_fold(rows).first()
+    assert list(r.history) == [str(i) for i in range(11_990)] and r.cursor == 11_979
+
+
+
 def test_station_groups(spark):
     s = spark.createDataFrame([("genre:rock", "", "Rock", 0), ("genre:regional_child", "genre:children", "Child", 1), ("unknown:other", "", "Other", 2)], "id string, parent_id string, title string, pos int")
     pins = spark.createDataFrame([(1, "genre:rock", 0)], "account long, id string, pos int")
