@@ -161,3 +161,11 @@ def test_near_duplicates_are_the_components_of_brute_force_jaccard(spark):
     assert [found.get(i, i) for i in range(len(texts))] == root
     kept = {r.doc_id for r in drop_near_duplicates(df.withColumnRenamed("node", "doc_id")).collect()}
     assert kept == set(root)
+
+
+def test_null_and_repeated_keys_stand_for_no_other_row(spark):
+    rng = random.Random(5)
+    body = [" ".join(str(rng.randrange(10**6)) for _ in range(100)) for _ in range(4)]
+    rows = [(1, body[0], "a"), (None, body[0] + " x", "b"), (None, body[1], "c"), (None, body[2], "d"), (None, body[2] + " x", "e"), (7, body[0] + " y", "f"), (7, body[3], "g"), (9, body[3] + " x", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").coalesce(1)
+    assert {r.tag for r in drop_near_duplicates(df).collect()} == {"a", "c", "d", "g"}
