@@ -3,7 +3,8 @@
 Every text is a layer. A worklist takes layers one by one: it scans the layer, finds the encoded
 segments in it (percent escapes, Unicode escapes, base64, and compressed bytes inside of those),
 and puts each decoded segment back as a new layer, until no layer yields another. A layer that was
-seen before in the same text, as a compressed file that holds itself gives, is not taken again.
+seen before at the same place of the text, as a compressed file that holds itself gives, is not taken
+again; the same content at another place is.
 Every layer carries, for each of its characters, the span of the original text it came from, so
 findings in any layer are spans of the original.
 """
@@ -91,24 +92,29 @@ class Worklist:
 
     def __init__(self, text: str, most: int) -> None:
         self.most, self.skipped = most, 0
-        self.seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+        self.seen: set[bytes] = set()
         self.todo: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
 
+    def _new(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether content at a place of the original comes for the first time."""
+        mark = hashlib.sha256(data + starts.tobytes() + ends.tobytes()).digest()
+        if mark in self.seen:
+            return False
+        self.seen.add(mark)
+        return True
+
     def put(self, text: str, starts, ends) -> None:
-        mark = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-        if text and mark not in self.seen:
-            self.seen.add(mark)
-            self.todo.append((text, np.asarray(starts, np.int64), np.asarray(ends, np.int64)))
+        starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+        if text and self._new(text.encode("utf-8", "surrogatepass"), starts, ends):
+            self.todo.append((text, starts, ends))
 
     def put_bytes(self, data: bytes, start: int, end: int) -> bool:
         """Compressed bytes: unpack as often as it goes; their characters all come from the whole segment."""
         try:
             inner = unpacked(data, self.most)
             while inner is not None and (deeper := unpacked(inner, self.most)) is not None:
-                mark = hashlib.sha256(inner).digest()
-                if mark in self.seen:
+                if not self._new(inner, np.array([start]), np.array([end])):
                     return True
-                self.seen.add(mark)
                 inner = deeper
         except TooLarge:
             self.skipped += 1
