@@ -1,17 +1,20 @@
 """Token ids of whole texts with files of the ``tokenizers`` library.
 
 The library splits a text into pieces and runs byte-pair merges on each piece alone, so the ids of
-a text are the joined ids of its pieces. Prose repeats its pieces; :class:`PieceEncoder` therefore
-asks the library once per distinct piece and remembers the answer (bounded). Texts with characters
-whose class differs between Unicode versions go to the library whole.
+a text are the joined ids of its pieces, and of its words (runs that no piece reaches over). Prose
+repeats its words; :class:`PieceEncoder` therefore splits a word and asks the library's model once,
+and remembers the answer (bounded). Texts with characters whose class differs between Unicode
+versions go to the library whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import regex
 
@@ -21,6 +24,8 @@ PATTERNS = {
     "byte_bpe": r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "word_bpe": r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+",
 }
+#: Words of the byte vocabulary keep a space before them; the white space left over is cut as its pattern cuts it.
+SPACED_WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Outside of these blocks (and for capital sigma, whose lower case depends on its place) the library gets the text whole.
 # So it does with the four separators that only Python takes for white space.
 UNUSUAL = regex.compile("[^\x00-\x1b\x20-ʯͰ-΢Τ-՗‐-⁮₠-₿　-ゖァ-ヿ一-龥가-힣\U0001f300-\U0001f64f]")
@@ -33,75 +38,83 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Memory:
-    """A dictionary of the last used ``kept`` to 2 x ``kept`` entries: when it is full, it becomes the old one."""
+def byte_characters() -> str:
+    """The characters by which byte-level vocabularies name the 256 bytes: printable Latin-1 stands for itself, the others for 256 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
 
-    def __init__(self, kept: int) -> None:
-        self.kept, self.now, self.old = kept, {}, {}
 
-    def lacking(self, keys: set[str]) -> list[str]:
-        """The keys that are in neither dictionary; those in the old one are taken over."""
-        rest = keys.difference(self.now)
-        again = rest.intersection(self.old)
-        self.now.update((k, self.old[k]) for k in again)
-        return list(rest - again)
+class Memory(dict):
+    """Answers of ``ask`` for the last used ``kept`` to 2 x ``kept`` keys: when it is full, it becomes the old one."""
+
+    def __init__(self, ask: Callable[[str], bytes], kept: int) -> None:
+        super().__init__()
+        self.ask, self.kept, self.old = ask, kept, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.ask(key)
+        self[key] = found
+        return found
 
     def turn(self) -> None:
-        if len(self.now) > self.kept:
-            self.now, self.old = {}, self.now
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, the same as ``encode(text, add_special_tokens=False)``."""
+    """Encodes texts to little-endian unsigned 32-bit ids, the same as ``encode(text, add_special_tokens=False)``.
+
+    The strings of special tokens in a text are ordinary text (``encode_special_tokens``), as the
+    public vocabularies' description has it; with ``specials`` they are their own ids, as by the
+    library's default.
+    """
 
-    def __init__(self, path: str, kept: int = 350_000) -> None:
+    def __init__(self, path: str, kept: int = 250_000, specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.special = re.compile("|".join(added), re.IGNORECASE) if added else None
+        self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.find = regex.compile(PATTERNS["word_bpe" if self.lower else "byte_bpe"]).findall
-        self.memory = Memory(kept)
-        self.words = Memory(kept)
+        self.names = byte_characters()
+        self.memory = Memory(self._word, kept)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _remember(self, pieces: set[str]) -> None:
-        self.memory.turn()
-        if new := self.memory.lacking(pieces):
-            self.memory.now.update(zip(new, self._library(new), strict=True))
-
-    def _remember_words(self, words: set[str]) -> None:
-        """Where white space is dropped, no piece reaches over it: only new words are split into pieces."""
-        self.words.turn()
-        if new := self.words.lacking(words):
-            pieces = [self.find(w) for w in new]
-            self._remember(set().union(*pieces))
-            get = self.memory.now.__getitem__
-            self.words.now.update(zip(new, (b"".join(map(get, p)) for p in pieces), strict=True))
+    def _word(self, word: str) -> bytes:
+        letters = word[1:] if word[0] == " " and not self.lower else word
+        if not letters.isalpha():
+            pieces = self.find(word)
+            if len(pieces) > 1:
+                return b"".join(map(self.memory.__getitem__, pieces))
+        named = codecs.charmap_decode(word.encode(), "strict", self.names)[0]
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        whole: list[str] = []
-        pieces: list[list[str] | None] = []
+        self.memory.turn()
+        get, out = self.memory.__getitem__, []
         for text in texts:
-            if UNUSUAL.search(text) or self.lower and not unicodedata.is_normalized("NFC", text):
-                whole.append(text)
-                pieces.append(None)
+            if UNUSUAL.search(text) or self.lower and not unicodedata.is_normalized("NFC", text) or self.special and self.special.search(text):
+                out += self._library([text])
             else:
-                pieces.append(text.lower().split() if self.lower else self.find(text))
-        (self._remember_words if self.lower else self._remember)(set().union(*(p for p in pieces if p)))
-        rest = iter(self._library(whole) if whole else ())
-        get = (self.words if self.lower else self.memory).now.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
+                out.append(b"".join(map(get, text.lower().split() if self.lower else SPACED_WORDS.findall(text))))
+        return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(name: str) -> PieceEncoder:
+def encoder(name: str, specials: bool = False) -> PieceEncoder:
     """One encoder per Python worker and vocabulary file."""
-    if name not in _encoders:
-        _encoders[name] = PieceEncoder(name if os.path.isabs(name) else vocabulary_path(name))
-    return _encoders[name]
+    if (name, specials) not in _encoders:
+        _encoders[name, specials] = PieceEncoder(name if os.path.isabs(name) else vocabulary_path(name), specials=specials)
+    return _encoders[name, specials]

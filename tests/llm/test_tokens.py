@@ -14,11 +14,11 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def library(name):
+def library(name, specials=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -34,6 +34,21 @@ def test_pieces_give_the_library_ids(name, spark):
     assert got == lib(texts)
 
 
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("specials", [False, True])
+def test_strings_of_special_tokens(name, specials):
+    enc, lib = PieceEncoder(vocabulary_path(name), specials=specials), library(name, specials)
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "<| endoftext|>", "plain"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == lib(texts)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_full_memory_forgets(name, spark):
+    enc, lib = PieceEncoder(vocabulary_path(name), kept=50), library(name)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:40]
+    assert [np.frombuffer(enc.encode([t])[0], "<u4").tolist() for t in texts] == lib(texts)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_every_usual_character_splits_alike(name):
     enc, lib = PieceEncoder(vocabulary_path(name)), library(name)
