@@ -126,7 +126,7 @@ def packed(df: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple]], l
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
-        for part in slices(batches, 256):
+        for part in slices(batches, 1024):
             for example in ids_of(part):
                 rows.extend(packer.add(*example))
             if len(rows) >= 4096:

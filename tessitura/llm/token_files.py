@@ -75,6 +75,19 @@ def write_chunk(keys: list, lengths: list[int], ids: np.ndarray, size: int = 256
     ))
 
 
+def unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    """Values of ``width`` bits from rows of packed bytes: eight values lie in every ``width`` bytes."""
+    groups = packed.reshape(len(packed), -1, width).astype(np.uint64)
+    out = np.empty((*groups.shape[:2], 8), np.uint32)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        value = groups[:, :, first]
+        for b in range(first + 1, (j * width + width - 1) // 8 + 1):
+            value = value | groups[:, :, b] << np.uint64(8 * (b - first))
+        out[:, :, j] = value >> np.uint64(shift) & np.uint64((1 << width) - 1)
+    return out.reshape(len(packed), -1)
+
+
 def read_chunk(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Keys, lengths and ids of a chunk."""
     magic, docs, tokens, blocks, size = struct.unpack_from(HEAD, data)
@@ -97,10 +110,7 @@ def read_chunk(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         every = np.flatnonzero(width == w)
         for of in (every[i : i + 2048] for i in range(0, len(every), 2048)):
             if w:
-                bits = np.unpackbits(raw[starts[of].astype(np.int64)[:, None] + np.arange(nbytes)], axis=1, bitorder="little").reshape(len(of), size, int(w))
-                whole = np.zeros((len(of), size, 32), np.uint8)
-                whole[:, :, :w] = bits
-                out[of] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+                out[of] = unpack(raw[starts[of].astype(np.int64)[:, None] + np.arange(nbytes)], int(w))
             for k in of[more[of] > 0]:
                 p = at + int(starts[k]) + nbytes
                 n = int(more[k])
@@ -113,6 +123,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
     """Encode every text, append ``end_id`` and write the ids in ascending ``doc_id`` order to ``path``.
 
     One range shuffle of the texts by doc_id; rows of one doc_id keep the order of their texts.
+    Compressed texts are smaller than their ids, so it is the texts that move.
     A chunk closes at the first document end past ``chunk_tokens``.
     """
 
@@ -132,7 +143,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             chunk, held = chunk + 1, 0
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, CHUNK, strict=True)], schema=CHUNK)
 
-        for part in slices(batches, 256):
+        for part in slices(batches, 1024):
             for k, ids in zip(part.column(0).to_pylist(), encoder(vocabulary).encode(part.column(1).to_pylist()), strict=True):
                 keys.append(k)
                 parts.append(ids + end)
@@ -151,7 +162,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     """One row per document of the files at ``path``: ``doc_id, start, n_tokens, ids_crc32, file_no, chunk``.
 
     ``start`` counts the ids of all documents before it. The sums run over files and over the
-    chunks of a file, never over documents in one task.
+    chunks of a file, never over documents; those over files are in one task, which gets a row per file.
     """
     files = spark.read.schema(CHUNK_DDL).parquet(path)
 

@@ -2,9 +2,9 @@
 
 The library splits a text into pieces and runs byte-pair merges on each piece alone, so the ids of
 a text are the joined ids of its pieces, and of its words (runs that no piece reaches over). Prose
-repeats its words; :class:`PieceEncoder` therefore splits a word and asks the library's model once,
-and remembers the answer (bounded). Texts with characters whose class differs between Unicode
-versions go to the library whole.
+repeats its words; :class:`PieceEncoder` therefore numbers the words of a batch with Arrow, looks
+up only distinct ones, splits a new word and asks the library's model once, and remembers the answer
+(bounded). Texts with characters whose class differs between Unicode versions go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The split patterns of the two public vocabularies, with the commonest alternative first
@@ -29,6 +32,10 @@ SPACED_WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Outside of these blocks (and for capital sigma, whose lower case depends on its place) the library gets the text whole.
 # So it does with the four separators that only Python takes for white space.
 UNUSUAL = regex.compile("[^\x00-\x1b\x20-ʯͰ-΢Τ-՗‐-⁮₠-₿　-ゖァ-ヿ一-龥가-힣\U0001f300-\U0001f64f]")
+#: Of the usual characters, those that may stand in a text whose words are parted by plain replacement: no control
+#: characters, and of white space only the space and the line feed.
+UNPARTED = regex.compile("[^\n\x20-\x7e\xa1-ʯͰ-΢Τ-՗\u2010-\u2027\u202a-\u202e\u2030-\u205e\u2060-⁮₠-₿、-ゖァ-ヿ一-龥가-힣\U0001f300-\U0001f64f]")
+MARK = "\0"
 
 
 def vocabulary_path(name: str) -> str:
@@ -73,7 +80,7 @@ class PieceEncoder:
     library's default.
     """
 
-    def __init__(self, path: str, kept: int = 250_000, specials: bool = False) -> None:
+    def __init__(self, path: str, kept: int = 400_000, specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,22 +98,71 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        letters = word[1:] if word[0] == " " and not self.lower else word
+        if not word:
+            return b""
+        if self.lower:
+            word = word.lower()
+        letters = word if self.lower or word[0] != " " else word[1:]
         if not letters.isalpha():
-            pieces = self.find(word)
+            core = letters.rstrip(",.;:!?")
+            pieces = [word[: len(core) - len(letters)], letters[len(core) :]] if core != letters and core.isalpha() else self.find(word)
             if len(pieces) > 1:
                 return b"".join(map(self.memory.__getitem__, pieces))
+            if not pieces:  # white space that the vocabulary drops
+                return b""
+            word = pieces[0]
         named = codecs.charmap_decode(word.encode(), "strict", self.names)[0]
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        self.memory.turn()
-        get, out = self.memory.__getitem__, []
+    def _parted(self, text: str) -> str | None:
+        """``text`` with a mark between its words; None where that takes the library or the pattern."""
+        if UNPARTED.search(text) or self.lower and not unicodedata.is_normalized("NFC", text) or self.special and self.special.search(text):
+            return None
+        if self.lower:
+            return text.replace("\n", MARK).replace(" ", MARK)
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return None
+        return text.replace("\n", f"{MARK}\n{MARK}").replace(" ", f"{MARK} ")
+
+    def _other(self, text: str) -> bytes:
+        if UNUSUAL.search(text) or self.lower and not unicodedata.is_normalized("NFC", text) or self.special and self.special.search(text):
+            return self._library([text])[0]
+        return b"".join(map(self.memory.__getitem__, text.split() if self.lower else SPACED_WORDS.findall(text)))
+
+    def _batch(self, parted: list[str]) -> list[bytes]:
+        """Ids of texts of marked words: each distinct word of the batch is looked up once."""
+        words = pc.split_pattern(pa.array(parted, pa.string()), MARK)
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(list(map(self.memory.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.binary()).take(coded.indices)
+        stops = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[words.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2]) if stops[-1] else memoryview(b"")
+        return [bytes(data[i:j]) for i, j in zip(stops, stops[1:], strict=False)]
+
+    def encode(self, texts: Iterable[str], at_once: int = 1 << 23) -> list[bytes]:
+        """Ids of each text; batches of about ``at_once`` characters bound the memory."""
+        out: list[bytes | None] = []
+        parted: list[str] = []
+        places: list[int] = []
+        held = 0
+
+        def place() -> None:
+            nonlocal held
+            self.memory.turn()
+            for i, ids in zip(places, self._batch(parted), strict=True):
+                out[i] = ids
+            parted.clear(), places.clear()
+            held = 0
+
         for text in texts:
-            if UNUSUAL.search(text) or self.lower and not unicodedata.is_normalized("NFC", text) or self.special and self.special.search(text):
-                out += self._library([text])
-            else:
-                out.append(b"".join(map(get, text.lower().split() if self.lower else SPACED_WORDS.findall(text))))
+            marked = self._parted(text)
+            out.append(self._other(text) if marked is None else None)
+            if marked is not None:
+                places.append(len(out) - 1), parted.append(marked)
+                held += len(text)
+                if held >= at_once:
+                    place()
+        if parted:
+            place()
         return out
 
 
