@@ -5,7 +5,9 @@ A store is a folder with ``data/<run>/`` (Parquet shards that never change) and
 small shards. Compaction merges ``fan_in`` runs of a size tier (each tier is ``fan_in`` times as
 large as the one below) into one run of files of about ``target_bytes``. Every change is committed
 by renaming a new manifest to the next version, which fails if that version exists; readers see one
-version whole. A job that dies before its commit leaves files that no manifest names.
+version whole. Every manifest names the one it follows, so a commit on a base that is no longer the
+last is refused even where a vacuum has freed the number it would take. Old manifests and runs go by
+age only, and a job that dies before its commit leaves files that no manifest names, until they are old.
 
 Lists of shards are metadata and live in the driver; rows never do.
 """
@@ -14,11 +16,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import from_files
+
 
 class Conflict(RuntimeError):
     """Another writer has committed the version."""
@@ -54,9 +59,11 @@ class ShardStore:
             stream.close()
 
     def commit(self, base: dict, runs: list[dict], schema: str) -> dict:
-        """Make ``runs`` the version after ``base``; Conflict if another writer was first."""
-        new = {"version": base["version"] + 1, "runs": runs, "schema": schema}
-        temporary = self._path(f"manifest/.{uuid.uuid4().hex}")
+        """Make ``runs`` the version after ``base``; Conflict if ``base`` is not the last version any more."""
+        new = {"version": base["version"] + 1, "id": uuid.uuid4().hex, "parent": base.get("id"), "runs": runs, "schema": schema}
+        if max(self.versions(), default=0) != base["version"]:
+            raise Conflict(f"version {base['version']} is not the last one")
+        temporary = self._path(f"manifest/.{new['id']}")
         out = self._fs.create(temporary, True)
         try:
             out.write(json.dumps(new).encode())
@@ -72,6 +79,11 @@ class ShardStore:
             if "FileAlreadyExists" in str(error) or "exist" in str(error).lower():
                 raise Conflict(f"version {new['version']} exists") from error
             raise
+        # Others may have gone on, and a vacuum may have freed this number, between the look and the rename.
+        later = [v for v in self.versions() if v > new["version"]]
+        if later and (later[0] != new["version"] + 1 or self.manifest(later[0])["parent"] != new["id"]):
+            self._fs.delete(final, False)
+            raise Conflict(f"version {base['version']} is not the last one")
         return new
 
     # Runs
@@ -134,21 +146,27 @@ class ShardStore:
                 continue
 
     def compact(self) -> dict:
-        """Merge until no tier has ``fan_in`` runs, then the last runs of small shards together."""
+        """Merge until no tier has ``fan_in`` runs. Runs that were merged stay for readers of older versions, until :meth:`vacuum`."""
         while (runs := self._mergeable(self.manifest()["runs"])) is not None:
             self.merge(runs)
-            self.vacuum()
         return self.manifest()
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Drop all but the last ``keep`` manifests, and the runs that no manifest names any more."""
-        versions = self.versions()
-        kept = {r["run"] for v in versions[-keep:] for r in self.manifest(v)["runs"]}
-        gone = {r["run"] for v in versions[:-keep] for r in self.manifest(v)["runs"]} - kept
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"manifest/{v:010d}.json"), False)
-        for run in gone:
-            self._fs.delete(self._path(f"data/{run}"), True)
+    def vacuum(self, older_than: float = 7 * 86_400) -> None:
+        """Drop manifests that were followed by another one over ``older_than`` seconds ago, and runs as old that no manifest names.
+
+        Readers of a version and writers of a run have as many seconds; the last manifest always stays.
+        """
+        before = (time.time() - older_than) * 1000
+        written = {int(s.getPath().getName()[:-5]): s.getModificationTime() for s in self._fs.listStatus(self._path("manifest")) if s.getPath().getName().endswith(".json")}
+        order = sorted(written)
+        for version, after in zip(order, order[1:], strict=False):
+            if written[after] <= before:
+                self._fs.delete(self._path(f"manifest/{version:010d}.json"), False)
+        named = {r["run"] for v in self.versions() for r in self.manifest(v)["runs"]}
+        if self._fs.exists(self._path("data")):
+            for run in self._fs.listStatus(self._path("data")):
+                if run.getPath().getName() not in named and run.getModificationTime() <= before:
+                    self._fs.delete(run.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, with the shard each row lies in as ``_metadata.file_name``; None if it has no runs."""
@@ -157,11 +175,14 @@ class ShardStore:
 
 
 def arrivals_of(docs: DataFrame, arrivals: int) -> list[DataFrame]:
-    """A table as ``arrivals`` appends: groups of its files, or of hashed rows where it has fewer files."""
-    files = sorted(docs.inputFiles())
-    if len(files) >= arrivals:
-        return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::arrivals]) for i in range(arrivals)]
-    part = F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals))
+    """The rows of ``docs`` as ``arrivals`` parts, dealt by the file they come from, or by file and row where there are fewer files.
+
+    Filters and expressions of ``docs`` hold; Spark prunes files by their path, so that each is read
+    by one part. What is no read of files is written to the shared folder first.
+    """
+    docs = from_files(docs)
+    place = ["_metadata.file_path"] if len(docs.inputFiles()) >= arrivals else ["_metadata.file_path", "_metadata.row_index"]
+    part = F.pmod(F.xxhash64(*place), F.lit(arrivals))
     return [docs.where(part == i) for i in range(arrivals)]
 
 
