@@ -1,12 +1,16 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting uses a bounded sample of labelled rows (``per_class`` of each label, the first by a hash of
-their keys): its terms that depend on the label (chi-square, and in a share of the rows) are the vocabulary, its documents the
-examples. Document frequencies of the vocabulary are counted over the whole corpus. The examples
-form an inverted index cut into blocks of examples; each term has its largest weight in each block.
-A document visits blocks in descending order of their upper bounds and stops when no block can hold
-a nearer example, so its neighbours are exact. Votes are weighted by similarity and by how many
-labelled rows an example stands for, and calibrated by isotonic regression on leave-one-out votes.
+their keys). All of them are examples, with all their terms. A term's weight in a text is
+``(1 + log tf) * idf * chi2``: document frequencies are counted over the whole corpus, and chi2 is
+the chi-square of term and label in the sample, so that terms count by how much they depend on the
+label (the plain cosine finds texts of a topic, not of a tone); no term is left out.
+
+The examples form an inverted index cut into blocks: each term has its postings and its largest
+weight in each block it occurs in. A document visits blocks in descending order of its own upper
+bounds and stops when no block can hold a nearer example, so its neighbours are exact. Votes are
+weighted by similarity and by how many labelled rows an example stands for, and calibrated by
+isotonic regression on leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, texts
@@ -34,44 +38,90 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ranges (start, count), and the range that each belongs to."""
+    of = np.repeat(np.arange(len(start)), count)
+    return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of], of
+
+
 class BlockMaxIndex:
-    """Unit vectors (rows of ``vectors``) as an inverted index of blocks of ``size`` examples.
+    """Sparse unit vectors, given as (example, term, weight), as an inverted index of blocks of ``size`` examples.
 
-    A block keeps, for each term that occurs in it, the weights of its examples, and the largest of
-    them; queries come in batches.
+    Terms of over a ``wide`` share of the examples lie in a dense matrix, all others in postings: a
+    term has an entry for each block it occurs in, with the largest weight there and the place of its
+    postings. Queries come in batches of (query, term, weight).
     """
 
-    def __init__(self, vectors: np.ndarray, size: int = 128) -> None:
-        self.n, self.size = len(vectors), size
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        self.most = np.zeros((vectors.shape[1], -(-self.n // size)), np.float32)
-        for b, first in enumerate(range(0, self.n, size)):
-            block = vectors[first : first + size]
-            at = np.flatnonzero(block.any(axis=0))
-            self.postings.append((at, np.ascontiguousarray(block[:, at].T)))
-            self.most[:, b] = block.max(axis=0)
-
-    def nearest(self, queries: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` nearest examples of each query and their cosines; ties go to the smaller number, a cosine of zero is no neighbour."""
-        bound = queries @ self.most
-        # One whole number orders candidates: the cosine in millionths, then the example's number from behind.
-        best = np.zeros((len(queries), k), np.int64)
-        for b in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
-            lowest = best.min(axis=1) // self.n
-            go = np.flatnonzero((bound[:, b] > 0) & (np.ceil(bound[:, b] * 1e6) + 2 >= lowest))
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, size: int = 128, wide: float = 1 / 32) -> None:
+        self.n, self.size, self.blocks = n, size, -(-n // size)
+        of_term = np.bincount(term, minlength=terms)
+        self.wide = np.full(terms, -1, np.int64)
+        dense = np.flatnonzero(of_term > wide * n)
+        self.wide[dense] = np.arange(len(dense))
+        is_wide = self.wide[term] >= 0
+        self.matrix = np.zeros((len(dense), n))
+        self.matrix[self.wide[term[is_wide]], example[is_wide]] = weight[is_wide]
+        self.matrix_most = np.stack([self.matrix[:, b * size : (b + 1) * size].max(axis=1) for b in range(self.blocks)], axis=1) if len(dense) else np.zeros((0, self.blocks))
+        example, term, weight = example[~is_wide], term[~is_wide], weight[~is_wide]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        cell = term[order] * self.blocks + self.example // size
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.entry_block = cell[first] % self.blocks
+        self.entry_start, self.entry_count = first, np.diff(np.append(first, len(cell)))
+        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(terms + 1))
+
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest examples of each query and their cosines; ties go to the smaller number, a cosine of zero is no neighbour.
+
+        Cosines are compared after rounding to nine digits, so that equal texts tie whatever the order of additions.
+        """
+        n, nb = self.n, self.blocks
+        at_wide = self.wide[term]
+        dense = np.zeros((queries, len(self.matrix)))
+        dense[query[at_wide >= 0], at_wide[at_wide >= 0]] = weight[at_wide >= 0]
+        query, term, weight = query[at_wide < 0], term[at_wide < 0], weight[at_wide < 0]
+        entry, of = spread(self.term_start[term], self.term_start[term + 1] - self.term_start[term])
+        e_query, e_weight, e_block = query[of], weight[of], self.entry_block[entry]
+        bound = np.bincount(e_query * nb + e_block, e_weight * self.entry_most[entry], minlength=queries * nb).reshape(queries, nb) + dense @ self.matrix_most
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        place = np.empty_like(turn)
+        np.put_along_axis(place, turn, np.arange(nb)[None, :], axis=1)
+        e_turn = place[e_query, e_block]
+        by_turn = np.argsort(e_turn, kind="stable")
+        turns = np.searchsorted(e_turn[by_turn], np.arange(nb + 1))
+        # One whole number orders candidates: the rounded cosine, then the example's number from behind.
+        best = np.zeros((queries, k), np.int64)
+        active = np.ones(queries, bool)
+        local = np.arange(self.size)
+        for r in range(nb):
+            block = turn[:, r]
+            reach = bound[np.arange(queries), block]
+            active &= (reach > 0) & (np.ceil(reach * 1e9) + 2 >= best.min(axis=1) // n)
+            go = np.flatnonzero(active)
             if not len(go):
-                continue
-            at, weights = self.postings[b]
-            cosine = queries[np.ix_(go, at)] @ weights
-            number = b * self.size + np.arange(weights.shape[1])
-            key = np.rint(cosine * 1e6).astype(np.int64) * self.n + (self.n - 1 - number)
-            key[key < self.n] = 0
+                break
+            row = np.full(queries, -1)
+            row[go] = np.arange(len(go))
+            mine = by_turn[turns[r] : turns[r + 1]]
+            mine = mine[active[e_query[mine]]]
+            posting, of = spread(self.entry_start[entry[mine]], self.entry_count[entry[mine]])
+            cell = row[e_query[mine]][of] * self.size + self.example[posting] % self.size
+            cosine = np.bincount(cell, e_weight[mine][of] * self.weight[posting], minlength=len(go) * self.size).reshape(len(go), self.size).astype(float)
+            for b in np.unique(block[go]).tolist():
+                here = np.flatnonzero(block[go] == b)
+                part = self.matrix[:, b * self.size : (b + 1) * self.size]
+                cosine[here, : part.shape[1]] += dense[go[here]] @ part
+            number = block[go][:, None] * self.size + local
+            key = np.rint(cosine * 1e9).astype(np.int64) * n + (n - 1 - number)
+            key[(key < n) | (number >= n)] = 0
             if without is not None:
                 key[without[go][:, None] == number] = 0
             both = np.concatenate([best[go], key], axis=1)
             best[go] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
         best = -np.sort(-best, axis=1)
-        return np.where(best > 0, self.n - 1 - best % self.n, -1), best // self.n / 1e6
+        return np.where(best > 0, n - 1 - best % n, -1), best // n / 1e9
 
 
 def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,59 +144,66 @@ def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 class Model:
-    """Vocabulary, index, labels and calibration; small enough to travel with a task (bounded by the sample)."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], stand_for: tuple[float, float], k: int) -> None:
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.idf, self.k = idf, k
-        tf = np.zeros((len(examples), len(vocabulary)))
-        for i, (_, _, counts) in enumerate(examples):
-            for t, n in counts.items():
-                tf[i, self.at[t]] = n
-        vectors = self.weigh(tf)
-        label = np.array([y for _, y, _ in examples], float)
-        # Alike examples stand together, so that the bounds of blocks are tight.
-        order = np.lexsort((np.array([key for key, _, _ in examples]), vectors.argmax(axis=1) if len(vocabulary) else label, label))
-        self.keys = np.array([examples[i][0] for i in order], np.int64)
-        self.label, vectors = label[order], vectors[order]
+    """Terms and their weights, index, labels and calibration; small enough to travel with a task (bounded by the sample)."""
+
+    def __init__(self, at: dict[str, int], weight: np.ndarray, examples: list[tuple[int, int]], cells: tuple[np.ndarray, np.ndarray, np.ndarray], stand_for: tuple[float, float], k: int) -> None:
+        """``cells`` are (example, term, count); ``stand_for`` is how many labelled rows an example of each label stands for."""
+        self.at, self.term_weight, self.k = at, weight, k
+        example, term, w = self.weigh(*cells, len(examples))
+        label, keys = np.array([y for _, y in examples], float), np.array([key for key, _ in examples], np.int64)
+        # Examples with the same heaviest term stand together, so that the bounds of blocks are tight.
+        heaviest = np.full(len(examples), -1)
+        by = np.lexsort((term, w))
+        heaviest[example[by]] = term[by]
+        order = np.lexsort((keys, label, heaviest))
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        self.keys, self.label, example = keys[order], label[order], new[example]
         self.weight = np.where(self.label == 1, stand_for[1], stand_for[0])
-        self.index = BlockMaxIndex(vectors)
+        self.index = BlockMaxIndex(example, term, w, len(examples), len(weight))
         rate = lambda of: float((self.weight[of] * self.label[of]).sum() / self.weight[of].sum()) if of.any() else None
-        plain = ~vectors.any(axis=1)
-        self.base = rate(np.ones(len(vectors), bool)) or 0.0
+        plain = np.bincount(example, minlength=len(order)) == 0
+        self.base = rate(np.ones(len(order), bool)) or 0.0
         self.points, self.rates = np.zeros(1), np.array([self.base])
         if not plain.all():
-            votes, _ = self.votes(vectors, np.arange(len(vectors)))
+            votes = np.concatenate([self._left_out(example, term, w, first) for first in range(0, len(order), 256)])
             self.points, self.rates = isotonic(votes[~plain], self.label[~plain], self.weight[~plain])
         # A text without terms shows nothing toxic: the rate of such examples, or the least rate if there are none.
         self.without_terms = rate(plain) if plain.any() else float(self.rates.min())
 
-    def weigh(self, tf: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF vectors of rows of counts."""
-        weight = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.idf
-        size = np.sqrt((weight**2).sum(axis=1, keepdims=True))
-        return (weight / np.where(size > 0, size, 1)).astype(np.float32)
+    def _left_out(self, example: np.ndarray, term: np.ndarray, w: np.ndarray, first: int, rows: int = 256) -> np.ndarray:
+        mine = (example >= first) & (example < first + rows)
+        n = min(rows, len(self.label) - first)
+        return self.votes(example[mine] - first, term[mine], w[mine], n, np.arange(first, first + n))[0]
 
-    def votes(self, vectors: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        near, cosine = self.index.nearest(vectors, self.k, without)
+    def weigh(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of unit vectors; terms of no weight go."""
+        w = (1 + np.log(count)) * self.term_weight[term]
+        size = np.sqrt(np.bincount(row, w * w, minlength=rows))
+        some = w > 0
+        return row[some], term[some], w[some] / size[row[some]]
+
+    def votes(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        near, cosine = self.index.nearest(row, term, w, rows, self.k, without)
         w = np.where(near >= 0, cosine * self.weight[near], 0)
         total = w.sum(axis=1)
         return np.where(total > 0, (w * self.label[near]).sum(axis=1) / np.where(total > 0, total, 1), self.base), near
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
         """The calibrated scores, and the keys of the five nearest examples of each text."""
-        n = len(self.at)
-        get = self.at.get
-        cells = [i * n + j for i, t in enumerate(texts) for j in map(get, TERM.findall(t.lower())) if j is not None]
-        vectors = self.weigh(np.bincount(np.array(cells, np.int64), minlength=len(texts) * n).reshape(len(texts), n))
+        n, get = len(self.at), self.at.get
+        each = [[j for j in map(get, TERM.findall(t.lower())) if j is not None] for t in texts]
+        cells = np.concatenate([np.asarray(found, np.int64) + i * n for i, found in enumerate(each)] or [np.zeros(0, np.int64)])
+        cells, count = np.unique(cells, return_counts=True)
+        row, term, w = self.weigh(cells // max(n, 1), cells % max(n, 1), count, len(texts))
         out = np.full(len(texts), self.without_terms)
         evidence: list[list[int]] = [[] for _ in texts]
-        some = np.flatnonzero(vectors.any(axis=1))
+        some = np.flatnonzero(np.bincount(row, minlength=len(texts)))
         if len(some):
-            vote, near = self.votes(vectors[some])
-            out[some] = 0.98 * np.interp(vote, self.points, self.rates) + 0.02 * vote  # the vote orders what calibration ties
-            for i, row in zip(some.tolist(), near[:, :5], strict=True):
-                evidence[i] = self.keys[row[row >= 0]].tolist()
+            vote, near = self.votes(row, term, w, len(texts))
+            out[some] = 0.98 * np.interp(vote[some], self.points, self.rates) + 0.02 * vote[some]  # the vote orders what calibration ties
+            for i in some.tolist():
+                evidence[i] = self.keys[near[i, :5][near[i, :5] >= 0]].tolist()
         return np.clip(out, 0, 1), evidence
 
 
@@ -184,38 +241,33 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, examples_per_class: int = 1024, vocabulary_size: int = 1024, least_df: int = 5, least_share: float = 0.01, least_chi2: float = 20.0, k: int = 15) -> Model | None:
-    """The model from at most ``per_class`` labelled rows of each label, ``examples_per_class`` of them as examples; None without both labels or without terms that depend on them.
+def chi_square(with_0: np.ndarray, with_1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Chi-square of term and label from the numbers of examples of each label that have the term."""
+    a, b = with_1.astype(float), with_0.astype(float)
+    return (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n0 + n1 - a - b) * n0 * n1, 1)
 
-    A term of the vocabulary stands in ``least_df`` rows and in ``least_share`` of the rarer label's number of rows or more.
-    """
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1024, k: int = 15) -> Model | None:
+    """The model from at most ``per_class`` labelled rows of each label; None without both labels or without terms that depend on them."""
     sample, counts = _sample(labels, per_class)
     body = texts(docs).join(F.broadcast(sample), "doc_id")  # at most 2 x per_class keys
     # Copies say nothing new about a term: of equal texts with equal labels, one stays in the sample.
     body = body.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "text")
-    found = _term_rows(body).cache()
-    got = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
+    found = sorted(((r["doc_id"], r["toxic"], r["tf"]) for r in _term_rows(body).toLocalIterator()), key=lambda r: r[:2])
+    got = Counter(y for _, y, _ in found)
     if set(got) != {0, 1}:
-        found.unpersist()
         return None
-    n0, n1 = got[0], got[1]
-    by_term = found.select("toxic", F.explode(F.map_keys("tf")).alias("term")).groupBy("term").agg(F.sum(F.lit(1) - F.col("toxic")).alias("b"), F.sum("toxic").alias("a"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = F.lit(float(n0 + n1)) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    best = by_term.where((a + b >= max(least_df, least_share * min(n0, n1))) & (a + b < n0 + n1)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
-    vocabulary = sorted(r["term"] for r in best.collect())
-    if not vocabulary:  # nothing in the texts depends on the label
-        found.unpersist()
+    at = {t: i for i, t in enumerate(sorted({t for *_, tf in found for t in tf}))}
+    example = np.repeat(np.arange(len(found)), [len(tf) for *_, tf in found])
+    term = np.fromiter((at[t] for *_, tf in found for t in tf), np.int64, len(example))
+    count = np.fromiter((n for *_, tf in found for n in tf.values()), np.int64, len(example))
+    toxic = np.array([y for _, y, _ in found])[example] == 1
+    chi2 = chi_square(np.bincount(term[~toxic], minlength=len(at)), np.bincount(term[toxic], minlength=len(at)), got[0], got[1])
+    rows, df = document_frequencies(docs, list(at))
+    weight = np.log((1 + rows) / (1 + df)) * chi2
+    if not weight.any():  # nothing in the texts depends on the label
         return None
-    rows, df = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + rows) / (1 + df))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the bounded sample
-    chosen = found.withColumn("order", order).where(F.col("order") <= examples_per_class)
-    known = set(vocabulary)
-    examples = [(r["doc_id"], r["toxic"], {t: n for t, n in r["tf"].items() if t in known}) for r in chosen.select("doc_id", "toxic", "tf").toLocalIterator()]
-    found.unpersist()
-    m1 = sum(y for _, y, _ in examples)
-    return Model(vocabulary, idf, examples, (counts[0] / (len(examples) - m1), counts[1] / m1), k)
+    return Model(at, weight, [(key, y) for key, y, _ in found], (example, term, count), (counts[0] / got[0], counts[1] / got[1]), k)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
@@ -224,11 +276,12 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
 
-    ``evidence`` has the keys of the nearest examples. A text without any term of the vocabulary,
-    as an empty or null one, gets the rate of toxic rows among examples without such terms (the least
-    calibrated rate if there are no such examples). Where
-    nothing can be learnt every score is zero. Null keys are scored; of repeated labels of a document
-    the larger counts; empty tables give no rows; other columns are not read.
+    ``evidence`` has the keys of the nearest examples; ties go to the one that stands first in the
+    index. A text without any term of the examples, as an empty or null one, gets the rate of toxic
+    rows among examples without terms (the least calibrated rate if there are no such examples).
+    Where nothing can be learnt every score is zero. Long texts count whole. Null keys are scored; of
+    repeated labels of a document the larger counts; repeated rows are scored each; empty tables give
+    no rows; other columns are not read.
     """
     model = fit(docs, labels, **options)
 
@@ -241,7 +294,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all columns as they are; one pass without a shuffle."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all columns as they are; one pass without a shuffle.
+
+    Null and empty texts are scored as in :func:`toxicity_scores`; null keys and repeated rows are
+    judged each by their text; without labels of both kinds all rows stay.
+    """
     model = fit(docs, labels, **options)
     if model is None:
         return docs
