@@ -1,10 +1,18 @@
 """Secrets in texts, also under nested encodings.
 
-Every text is a layer. A worklist takes layers one by one: it scans the layer, finds the encoded
-segments in it (percent escapes, Unicode escapes, base64, and compressed bytes inside of those),
-and puts each decoded segment back as a new layer, until no layer yields another. A layer that was
-seen before at the same place of the text, as a compressed file that holds itself gives, is not taken
-again; the same content at another place is.
+Every text is a layer. A worklist takes layers one by one: it scans the layer, finds what is encoded
+in it, and puts each decoded layer back, until no layer yields another:
+
+* percent and Unicode escapes are decoded in their whole line, so that a finding may begin before an
+  escape and end behind it;
+* base64, plain or URL-safe, also wrapped over lines, is decoded from each of four characters on,
+  because a separator before it may belong to its alphabet;
+* gzip, zlib, bzip2, xz and Zstandard bytes, of one or several members and also cut off, are unpacked
+  as a stream and scanned in overlapping windows.
+
+Decoded bytes become characters one by one (Latin-1): all that is looked for is ASCII, and so every
+character keeps its place. A layer that was seen before at the same place of the text, as a compressed
+file that holds itself gives, is not taken again; the same content at another place is.
 Every layer carries, for each of its characters, the span of the original text it came from, so
 findings in any layer are spans of the original.
 """
@@ -12,15 +20,18 @@ findings in any layer are spans of the original.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import gzip
 import hashlib
+import io
 import lzma
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, texts
@@ -32,11 +43,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs: a run of fewer never matches, a longer one is taken from its start
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
+LINE = re.compile(r"[^\n]+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-TOKEN = re.compile(r"[^\s\"'<>]+")
+UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Decoded bytes without any of these hold neither a secret nor another layer.
+LEADS = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{16}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -51,152 +64,169 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-class TooLarge(ValueError):
-    pass
-
-
-def unpacked(data: bytes, most: int) -> bytes | None:
-    """The content of compressed bytes (gzip, zlib, bzip2, xz, Zstandard), None if they are none."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, most + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-        else:
-            return None
-    except Exception:  # bytes that only look compressed
+def zlib_members(data: bytes, n: int) -> Iterator[bytes]:
+    while data[:1] == b"\x78":
+        member, rest = zlib.decompressobj(), data
+        while not member.eof and (chunk := member.decompress(rest, n)):
+            yield chunk
+            rest = member.unconsumed_tail
+        data = member.unused_data if member.eof else b""
+
+
+def opened(data: bytes, n: int = 1 << 20) -> Iterator[bytes] | None:
+    """The content of compressed bytes in chunks of at most ``n``, None if they don't look compressed."""
+    source = io.BytesIO(data)
+    if data[:3] == b"\x1f\x8b\x08":
+        read: Callable[[int], bytes] = gzip.GzipFile(fileobj=source).read1
+    elif data[:3] == b"BZh":
+        read = bz2.BZ2File(source).read1
+    elif data[:6] == b"\xfd7zXZ\x00":
+        read = lzma.LZMAFile(source).read1
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        read = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True).read1
+    elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib_members(data, n)
+    else:
         return None
-    if len(out) > most:
-        raise TooLarge
-    return out
+    return iter(lambda: read(n), b"")
 
 
-def readable(data: bytes) -> str | None:
-    """UTF-8 text without control characters, else None."""
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """What can be unpacked of ``data``: a stream that is cut off or only looks compressed ends where it breaks."""
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        yield from opened(data) or ()
+    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+        return
 
 
 class Worklist:
-    """Layers of one text; ``most`` bounds the bytes of an unpacked layer, larger ones are counted in ``skipped``."""
+    """Layers of one text: (characters, their starts, their ends), without numbers for the text itself, two numbers for unpacked bytes.
 
-    def __init__(self, text: str, most: int) -> None:
-        self.most, self.skipped = most, 0
-        self.seen: set[bytes] = set()
-        self.todo: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    ``window`` bounds what is unpacked and scanned at once; windows overlap by ``overlap``. Compressed
+    bytes inside of compressed bytes are unpacked if they are at most ``most``, else counted in ``skipped``.
+    """
 
-    def _new(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
-        """Whether content at a place of the original comes for the first time."""
-        mark = hashlib.sha256(data + starts.tobytes() + ends.tobytes()).digest()
-        if mark in self.seen:
-            return False
-        self.seen.add(mark)
-        return True
+    def __init__(self, text: str, most: int = 64 << 20, window: int = 4 << 20, overlap: int = 1 << 16) -> None:
+        self.most, self.window, self.overlap, self.skipped = most, window, overlap, 0
+        self.seen: set[bytes] = set()
+        self.todo: list[tuple] = [(text, None, None)]
 
     def put(self, text: str, starts, ends) -> None:
-        starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-        if text and self._new(text.encode("utf-8", "surrogatepass"), starts, ends):
+        mark = hashlib.sha256(text.encode("utf-8", "surrogatepass"))
+        mark.update(np.asarray(starts, np.int64).tobytes() + b"|" + np.asarray(ends, np.int64).tobytes())
+        if text and mark.digest() not in self.seen:
+            self.seen.add(mark.digest())
             self.todo.append((text, starts, ends))
 
-    def put_bytes(self, data: bytes, start: int, end: int) -> bool:
-        """Compressed bytes: unpack as often as it goes; their characters all come from the whole segment."""
-        try:
-            inner = unpacked(data, self.most)
-            while inner is not None and (deeper := unpacked(inner, self.most)) is not None:
-                if not self._new(inner, np.array([start]), np.array([end])):
-                    return True
-                inner = deeper
-        except TooLarge:
-            self.skipped += 1
-            return True
-        if inner is None:
+    def put_packed(self, data: bytes, start: int, end: int) -> bool:
+        """Unpack compressed bytes; all of their characters come from the whole segment. False if they are not compressed."""
+        chunks = unpacked(data)
+        held = next(chunks, b"")
+        if not held:
             return False
-        text = inner.decode("utf-8", "replace")
-        self.put(text, np.full(len(text), start), np.full(len(text), end))
+        mark = hashlib.sha256(data + b"%d:%d" % (start, end)).digest()
+        if mark in self.seen:
+            return True
+        self.seen.add(mark)
+        if opened(held) is not None:  # compressed again
+            inner = bytearray(held)
+            while len(inner) <= self.most and (chunk := next(chunks, b"")):
+                inner += chunk
+            if len(inner) > self.most:
+                self.skipped += 1
+                return True
+            if self.put_packed(bytes(inner), start, end):
+                return True
+            held, chunks = bytes(inner), iter(())
+        for chunk in chunks:
+            held += chunk
+            if len(held) >= self.window:
+                self.put_bytes(held, start, end)
+                held = held[-self.overlap :]
+        self.put_bytes(held, start, end)
         return True
 
+    def put_bytes(self, data: bytes, starts, ends) -> None:
+        if LEADS.search(data):
+            self.put(data.decode("latin-1"), starts, ends)
+
     def run(self) -> set[tuple[int, int, int]]:
         found = set()
         while self.todo:
             text, starts, ends = self.todo.pop()
             for s, kind, e in scan(text):
-                found.add((s, kind, e) if starts is None else (int(starts[s]), kind, int(ends[s:e].max())))
+                if starts is None:
+                    found.add((s, kind, e))
+                elif isinstance(starts, int):
+                    found.add((starts, kind, ends))
+                else:
+                    found.add((int(starts[s]), kind, int(ends[s:e].max())))
             self.unwrap(text, starts, ends)
         return found
 
     def unwrap(self, text: str, starts, ends) -> None:
-        at = (lambda i: i) if starts is None else (lambda i: int(starts[i]))
-        to = (lambda i: i + 1) if ends is None else (lambda i: int(ends[i]))
-        if "%" in text and PERCENT.search(text) or "\\" in text and UNICODE.search(text):
-            for token in TOKEN.finditer(text):
-                for escape, decode in ((PERCENT, self.percent), (UNICODE, self.unicode)):
-                    if escape.search(token[0]):
-                        decode(token[0], token.start(), at, to)
+        if starts is None:
+            of = lambda at: (at, at + 1)
+        elif isinstance(starts, int):
+            of = lambda at: (np.full(len(at), starts), np.full(len(at), ends))
+        else:
+            of = lambda at: (starts[at], ends[at])
+        for sign, escape, decode in (("%", PERCENT, self.percent), ("\\", UNICODE, self.unicode)):
+            if sign in text and escape.search(text):
+                for line in LINE.finditer(text):
+                    if sign in line[0] and escape.search(line[0]):
+                        decode(line[0], line.start(), of)
         for m in BASE64.finditer(text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except binascii.Error:
+            self.base64(m[0], np.arange(m.start(), m.end()), of)
+        if "\n" in text:
+            for m in WRAPPED.finditer(text):
+                at = np.array([i for i, c in enumerate(m[0], m.start()) if c not in "\r\n \t"])
+                self.base64("".join(m[0].split()), at, of)
+                # Where the first line is no part of it, base64 begins with the second.
+                rest = m[0].index("\n")
+                if len(m[0]) - rest > 17:
+                    self.base64("".join(m[0][rest:].split()), at[len("".join(m[0][:rest].split())) :], of)
+
+    def base64(self, run: str, at: np.ndarray, of: Callable) -> None:
+        """Decode a run at the places ``at``, the padding at its end included."""
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for phase in range(4):
+            body = run[phase:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            if len(body) < 8:
                 continue
-            first = m.start()
-            if self.put_bytes(data, at(first), to(m.end() - 1)):
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            starts, ends = of(at[[phase, -1]])
+            if self.put_packed(data, int(starts[0]), int(ends[1])) or not LEADS.search(data):
                 continue
-            inner = readable(data)
-            if inner is not None:
-                sizes = [len(c.encode()) for c in inner]
-                stops = np.cumsum(sizes)
-                lo = (stops - sizes) * 4 // 3
-                hi = np.minimum((stops * 4 + 2) // 3, len(body)) - 1
-                self.put(inner, [at(first + int(i)) for i in lo], [to(first + int(i)) for i in hi])
-
-    def percent(self, token: str, base: int, at, to) -> None:
+            byte = np.arange(len(data))
+            self.put(data.decode("latin-1"), of(at[phase + byte * 4 // 3])[0], of(at[phase + ((byte + 1) * 4 + 2) // 3 - 1])[1])
+
+    def _decoded(self, line: str, base: int, of: Callable, parts: list[tuple[int, int, str, np.ndarray]]) -> None:
+        """Put a line in which each part (first, last, characters, the places that begin them) is decoded."""
         out, starts, ends, last = [], [], [], 0
-        for m in PERCENT.finditer(token):
+        for first, stop, characters, places in [*parts, (len(line), len(line), "", np.zeros(0, np.int64))]:
+            s, e = of(np.arange(base + last, base + first))
+            out += [line[last:first], characters]
+            starts += [s, of(base + places)[0]]
+            ends += [e, of(base + np.append(places[1:], stop)[: len(places)] - 1)[1]]
+            last = stop
+        self.put("".join(out), np.concatenate(starts), np.concatenate(ends))
+
+    def percent(self, line: str, base: int, of: Callable) -> None:
+        parts = []
+        for m in PERCENT.finditer(line):
             data = bytes.fromhex(m[0].replace("%", ""))
-            for i in range(last, m.start()):
-                out.append(token[i]), starts.append(at(base + i)), ends.append(to(base + i))
-            last = m.end()
-            if self.put_bytes(data, at(base + m.start()), to(base + m.end() - 1)):
-                continue
-            i = m.start()
-            for c in data.decode("utf-8", "replace"):
-                n = 3 * (1 if c == "�" else len(c.encode()))
-                out.append(c), starts.append(at(base + min(i, m.end() - 1))), ends.append(to(base + min(i + n, m.end()) - 1))
-                i += n
-        for i in range(last, len(token)):
-            out.append(token[i]), starts.append(at(base + i)), ends.append(to(base + i))
-        self.put("".join(out), starts, ends)
-
-    def unicode(self, token: str, base: int, at, to) -> None:
-        out, starts, ends, last, high = [], [], [], 0, None
-        for m in UNICODE_ONE.finditer(token):
-            for i in range(last, m.start()):
-                out.append(token[i]), starts.append(at(base + i)), ends.append(to(base + i))
-            code = int(next(x for x in m.groups() if x), 16)
-            if high is not None and high[1] == m.start() and 0xDC00 <= code < 0xE000:
-                code = 0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00
-                out.pop(), ends.pop()
-                ends.append(to(base + m.end() - 1))
-                out.append(chr(code))
-            else:
-                out.append(chr(code) if code < 0x110000 else "�"), starts.append(at(base + m.start())), ends.append(to(base + m.end() - 1))
-            high = (code, m.end()) if 0xD800 <= code < 0xDC00 else None
-            last = m.end()
-        for i in range(last, len(token)):
-            out.append(token[i]), starts.append(at(base + i)), ends.append(to(base + i))
-        self.put("".join(out), starts, ends)
+            starts, ends = of(np.array([base + m.start(), base + m.end() - 1]))
+            if not self.put_packed(data, int(starts[0]), int(ends[1])):
+                parts.append((m.start(), m.end(), data.decode("latin-1"), np.arange(m.start(), m.end(), 3)))
+        if parts:
+            self._decoded(line, base, of, parts)
+
+    def unicode(self, line: str, base: int, of: Callable) -> None:
+        code = lambda m: int(next(x for x in m.groups() if x), 16)
+        character = lambda n: chr(n) if n < 0x110000 else "\ufffd"
+        self._decoded(line, base, of, [(m.start(), m.end(), character(code(m)), np.array([m.start()])) for m in UNICODE.finditer(line)])
 
 
 def joined(spans) -> str:
@@ -207,13 +237,14 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access"
 FOUND_DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_unscanned long"
 
 
-def secret_scan(docs: DataFrame, most_unpacked: int = 64 << 20) -> DataFrame:
+def secret_scan(docs: DataFrame, most_packed: int = 64 << 20) -> DataFrame:
     """Secrets of every whole text, in one pass without a shuffle.
 
     ``n_*`` and ``base_sha256`` are those of the text itself, ``spans`` has the decoded layers'
-    findings too. ``most_unpacked`` bounds the bytes that one compressed segment may unpack to;
-    segments beyond it are counted in ``n_unscanned``. A null text is empty; null keys stay;
-    repeated rows give repeated rows; an empty table gives none; other columns are not read.
+    findings too. Unpacked bytes are scanned whole, in windows that overlap: only an encoded run of
+    over 64 KB across a border of 4 MB, or compressed bytes of over ``most_packed`` inside of compressed
+    bytes, is not unwrapped; the latter are counted in ``n_unscanned``. A null text is empty; null
+    keys stay; repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -221,7 +252,7 @@ def secret_scan(docs: DataFrame, most_unpacked: int = 64 << 20) -> DataFrame:
         out["doc_id"] = batch.column(0)
         for text in batch.column(1).to_pylist():
             base = scan(text)
-            work = Worklist(text, most_unpacked)
+            work = Worklist(text, most_packed)
             spans = work.run()
             kinds = [k for _, k, _ in base]
             for k, name in enumerate(KINDS):
