@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,30 +107,46 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+PICKS_DDL = "account long, pick int, id string, score double, reason string"
+
+
+def pick_diverse(artists: list[list[str] | None], limit: int, per_artist: int) -> list[int]:
+    """Places in a ranked pool that greedy diversity takes, in the order it takes them."""
+    left, picks, last = list(range(len(artists))), [], set()
+    used: dict[str, int] = {}
+    while len(picks) < limit:
+        free = (i for i in left if not last.intersection(artists[i] or ()) and all(used.get(a, 0) < per_artist for a in artists[i] or ()))
+        best = next(free, None)
+        if best is None:
+            break
+        picks.append(best)
+        left.remove(best)
+        last = set(artists[best] or ())
+        for a in last:
+            used[a] = used.get(a, 0) + 1
+    return picks
+
+
 def greedy(rows: DataFrame, limit: int = 30, per_artist: int = 3) -> DataFrame:
-    """``account, pick, id, score, reason`` by greedy diversity over scored rows.
+    """``account, pick, id, score, reason`` by greedy diversity over scored rows, one row per id of an account.
 
     Again and again the best row is taken that shares no artist with the pick before and whose
     artists all have fewer than ``per_artist`` picks; it ends after ``limit`` picks or when no row
     is left that may be taken. Rows without artists are never in the way. An account's pool has at
-    most 180 rows, so the fold over it is bounded.
+    most 180 rows, so a task holds a bounded pool at a time; pools are ranked before they get there.
     """
     item = F.struct((-F.col("score")).alias("order"), "id", "artists", "reason")
-    pools = rows.groupBy("account").agg(F.array_sort(F.collect_list(item)).alias("pool"))
-    kind = dict(pools.dtypes)["pool"]
-    start = F.struct(F.col("pool").alias("left"), F.array().cast(kind).alias("picked"), F.array().cast("array<string>").alias("used"), F.lit(False).alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        last = F.coalesce(F.try_element_at(s["picked"], F.lit(-1))["artists"], F.array().cast("array<string>"))
-        free = lambda r: ~F.arrays_overlap(r["artists"], last) & F.forall(r["artists"], lambda a: F.size(F.filter(s["used"], lambda u: u == a)) < per_artist)
-        best = F.get(F.filter(s["left"], free), F.lit(0))
-        found = F.struct(
-            F.filter(s["left"], lambda r: r["id"] != best["id"]).alias("left"), F.concat(s["picked"], F.array(best)).alias("picked"),
-            F.concat(s["used"], F.array_distinct(best["artists"])).alias("used"), F.lit(False).alias("done"),
-        )
-        ended = F.struct(s["left"].alias("left"), s["picked"].alias("picked"), s["used"].alias("used"), F.lit(True).alias("done"))
-        return F.when(s["done"] | best.isNull(), ended).otherwise(found)
-
-    picked = pools.select("account", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step, lambda s: s["picked"]).alias("picked"))
-    each = picked.select("account", F.posexplode("picked").alias("at", "p"))
-    return each.select("account", (F.col("at") + 1).alias("pick"), "p.id", (-F.col("p.order")).alias("score"), "p.reason")
+    pools = rows.groupBy(F.col("account").cast("long").alias("account")).agg(F.array_sort(F.collect_list(item)).alias("pool"))
+    ranked_pools = pools.select("account", *(F.col(f"pool.{c}").alias(c) for c in ("artists", "id", "order", "reason")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for account, artists, ids, order, why in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, at in enumerate(pick_diverse(artists, limit, per_artist)):
+                    for column, value in zip(out, (account, n + 1, ids[at], -order[at], why[at]), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["account", "pick", "id", "score", "reason"])
+
+    return ranked_pools.mapInArrow(run, PICKS_DDL)
