@@ -54,6 +54,38 @@ def microseconds(seconds: Col) -> Column:
     return (col(seconds) * F.lit(1_000_000)).cast("long")
 
 
+def round_2(value: Col) -> Column:
+    """A number rounded to two digits as its exact binary value demands, ties to even: 2.675 is 2.67, 0.125 is 0.12.
+
+    ``value * 100`` is split in what a double holds and the rest, so that no digit decides wrongly.
+    """
+    x = col(value)
+    wide = x * F.lit(134_217_729.0)
+    high = wide - (wide - x)
+    low = x - high
+    product = x * F.lit(100.0)
+    rest = (high * F.lit(100.0) - product) + low * F.lit(100.0)
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    over = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2.0)) == 1.0))))
+    return (whole + F.when(over, 1.0).otherwise(0.0)) / F.lit(100.0)
+
+
+def iso_utc(at: Col) -> Column:
+    """A time as ISO-8601 in UTC with microseconds, ``2024-01-01T00:00:00.000000+00:00``; the session's zone has no say."""
+    us = F.unix_micros(col(at))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")), "yyyy-MM-dd")
+    rest = F.pmod(us, F.lit(86_400_000_000))
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    clock_ = F.concat_ws(":", two(F.floor(rest / 3_600_000_000)), two(F.floor(rest / 60_000_000) % 60), two(F.floor(rest / 1_000_000) % 60))
+    return F.concat(day, F.lit("T"), clock_, F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("+00:00"))
+
+
+def play_id() -> Column:
+    """A new random UUID (version 4) per row."""
+    return F.uuid()
+
+
 def volume_fraction(volume: Col, muted: Col) -> Column:
     return F.when(col(muted), F.lit(0.0)).otherwise(col(volume) / F.lit(100.0))
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.functions.expr import Col, col, nonempty
+
 #: What the scan looks for; without look-around, so that Java and RE2 agree.
 RULES = {
     "OAUTH_TOKEN": r"\b(?:y[01]_|gh[pousr]_|github_pat_)[A-Za-z0-9_-]{24,}",
@@ -18,20 +26,44 @@ PRIVATE_SUFFIX = r"\.(db|sqlite|sqlite3|log|pem|key|bundle)$"
 
 
 def secret_lines(docs: DataFrame, rules: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, category, line``: a row per finding with its line from one; texts with a NUL are BINARY, line 0.
+    """``doc_id, category, line``: a row per finding in the whole content, with the line it begins in, from one.
 
-    Lines are counted by splitting, so a finding is given the line it begins in.
+    A finding may reach over lines. Texts with a NUL are BINARY, line 0; a null text is empty. The line is counted
+    from the line feeds in the texts between the findings and in the findings before.
     """
     found = rules or RULES
     body = F.coalesce(F.col(text), F.lit(""))
     binary = F.contains(body, F.lit("\0"))
-    lines = docs.where(~binary).select(F.col(key), F.posexplode(F.split(body, "\n")).alias("at", "row"))
-    hits = F.array(*[F.struct(F.lit(name).alias("category"), F.size(F.regexp_extract_all("row", F.lit(rule), F.lit(0))).alias("n")) for name, rule in found.items()])
-    each = lines.select(key, (F.col("at") + 1).alias("line"), F.inline(hits)).where("n > 0")
-    rows = each.select(key, "category", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).drop("k")
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def hits(name: str, rule: str) -> Column:
+        between = F.transform(F.split(body, rule, -1), feeds)
+        inside = F.transform(F.regexp_extract_all(body, F.lit(rule), F.lit(0)), feeds)
+        total = lambda counts, n: F.aggregate(F.slice(counts, 1, n), F.lit(0), lambda a, x: a + x)
+        line = lambda _, i: F.struct(F.lit(name).alias("category"), (1 + total(between, i + 1) + total(inside, i)).alias("line"))
+        none = F.array().cast("array<struct<category:string,line:int>>")
+        return F.when(body.rlike(rule), F.transform(inside, line)).otherwise(none)
+
+    rows = docs.where(~binary).select(F.col(key), F.inline(F.flatten(F.array(*[hits(n, r) for n, r in found.items()]))))
     return rows.unionByName(docs.where(binary).select(F.col(key), F.lit("BINARY").alias("category"), F.lit(0).alias("line")))
 
 
+def object_label(name: Col) -> Column:
+    """The path of a blob, or what stands for one in the metadata of a commit."""
+    return nonempty(name, "(commit metadata)")
+
+
+def is_image(name: Col) -> Column:
+    return F.lower(F.coalesce(col(name), F.lit(""))).rlike(r"\.(png|jpg|jpeg|webp)$")
+
+
+def audit_counts(objects: DataFrame, findings: DataFrame) -> DataFrame:
+    """``kind, scanned, images, findings``: counters of objects (object, kind, name) and of findings (object)."""
+    by_object = findings.groupBy("object").agg(F.count(F.lit(1)).alias("n"))
+    rows = objects.join(by_object, "object", "left")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("scanned"), F.count_if((F.col("kind") == "blob") & is_image("name")).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
 def is_private_path(path: Column) -> Column:
     return path.rlike(PRIVATE_PARTS) | F.lower(path).rlike(PRIVATE_SUFFIX)
 
@@ -58,6 +90,42 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("a").isNull(), "ADDED").when(F.col("b").isNull(), "REMOVED").otherwise("CHANGED").alias("change"))
 
 
+def missing_required(entries: DataFrame, required: DataFrame) -> DataFrame:
+    """Required paths that a manifest or listing lacks."""
+    return required.select("path").distinct().join(entries.select("path"), "path", "left_anti")
+
+
+def distinct_files(files: DataFrame) -> DataFrame:
+    """Each path once, sorted."""
+    return files.select("path").distinct().orderBy("path")
+
+
+def archive_listing(archives: DataFrame) -> DataFrame:
+    """``archive, entry, size`` of the files in tar (plain or compressed) and zip archives (path, content) as ``binaryFile`` reads them.
+
+    What is no archive, or null, has no entries.
+    """
+
+    def entries(content: bytes) -> list[tuple[str, int]]:
+        if zipfile.is_zipfile(io.BytesIO(content)):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return [(i.filename, i.file_size) for i in z.infolist() if not i.is_dir()]
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                return [(m.name, m.size) for m in t if m.isfile()]
+        except tarfile.TarError:
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = entries(batch.column(1)[i].as_py() or b"")
+                columns = [[batch.column(0)[i].as_py()] * len(found), [n for n, _ in found], [n for _, n in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["archive", "entry", "size"])
+
+    return archives.select("path", "content").mapInArrow(run, "archive string, entry string, size long")
+
+
 def is_frozen(changed: DataFrame, untracked: DataFrame) -> bool:
     """Whether a tree has neither changed nor untracked paths."""
     return changed.select("path").union(untracked.select("path")).isEmpty()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.expr import col, contains_folded, nonempty
+from tessitura.operators.library import has_more, page_of
 
 #: The ids behind each station group, in order of precedence, and the order of groups.
 KIDS = ("genre:children", "genre:childrens", "genre:kids", "genre:lullaby", "activity:children")
@@ -14,7 +15,6 @@ GUITAR = ("genre:rock", "genre:metal", "genre:punk")
 PIANO = ("genre:piano", "genre:classicalpiano")
 MOON = ("activity:sleep", "mood:sleep", "activity:relax")
 SPORT = ("activity:sport", "activity:running", "activity:workout")
-MOST_STATIONS = 2000
 GROUPS = ("KIDS", "WORLD", "GENRE", "MOOD", "ACTIVITY", "OTHER")
 
 
@@ -59,12 +59,11 @@ def station_groups(stations: DataFrame, pins: DataFrame, hidden: DataFrame, rece
     last = Window.partitionBy("id").orderBy(F.desc("pos"))
     rows = rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     accounts = recent.select("account").union(pins.select("account")).distinct()
-    # Every account sees the whole catalogue, a few hundred stations; it travels as a literal of checked size.
-    catalogue = rows.limit(MOST_STATIONS + 1).collect()
-    if len(catalogue) > MOST_STATIONS:
-        raise ValueError(f"more than {MOST_STATIONS} stations")
-    literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in rows.columns]) for r in catalogue])
-    every = accounts.select("account", F.inline(literal))
+    # Every account sees the whole catalogue: that is the result's size. Accounts and stations meet by the
+    # number of a part of the catalogue, so no row of it has to hold, and no side to fit, the whole.
+    parts = 32
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    every = accounts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(dealt, "part").drop("part")
     hide = hidden.select("account", "id", F.lit(True).alias("hide")).distinct()
     facts = (
         every.join(pins.select("account", "id", F.col("pos").alias("pin")), ["account", "id"], "left")
@@ -140,6 +139,24 @@ def grid_lines(rows: DataFrame, group: str, order: list[str], width: int) -> Dat
     return placed.groupBy(group, "line").agg(F.array_join(ids, ",").alias("ids"))
 
 
+def grid_headings(rows: DataFrame, group: str, order: list[str], width: int, collapsed: DataFrame, filtering: bool = False) -> DataFrame:
+    """The lines of :func:`grid_lines` under a heading (line -1, no ids) per group; a collapsed group (group) keeps the heading alone unless filtering."""
+    lines = grid_lines(rows, group, order, width)
+    if not filtering:
+        lines = lines.join(collapsed.select(F.col(group)).distinct(), group, "left_anti")
+    headings = rows.select(group).distinct().select(group, F.lit(-1).cast("long").alias("line"), F.lit("").alias("ids"))
+    return headings.unionByName(lines)
+
+
+def service_page(rows: DataFrame, key: str, page: int, size: int, known_total: bool = True) -> DataFrame:
+    """A page of ``size`` rows of every ``key`` by ``pos``, with ``total`` (-1 if the service does not tell) and ``more``.
+
+    Tracks of an artist come in pages of 50, an artist's albums in pages of 20, search results in the service's size.
+    """
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total")) if known_total else rows.select(key).distinct().withColumn("total", F.lit(-1).cast("long"))
+    return page_of(rows, page, size).join(counted, key).withColumn("more", has_more(page, size, F.col("total")))
+
+
 def section_breaks(rows: DataFrame, partition: str, order: list[str], section: str) -> DataFrame:
     """Rows with ``starts_section``: a non-empty section that differs from the row before."""
     before = F.lag(section).over(Window.partitionBy(partition).orderBy(*order))

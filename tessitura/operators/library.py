@@ -90,6 +90,32 @@ def likes_overlay(likes: DataFrame, changes: DataFrame) -> DataFrame:
     return both.where(liked).select("account", "base", F.coalesce(F.col("w.pending"), F.lit(False)).alias("pending"))
 
 
+def shown_likes(log: DataFrame) -> DataFrame:
+    """What is shown after each step of a log (account, base, seq, step, liked): ``account, base, seq, shown``.
+
+    A change shows as soon as it begins (``begin``); one that ends ``failed`` rolls back to what was before it,
+    which is the opposite; ``ok`` leaves it.
+    """
+    order = Window.partitionBy("account", "base").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.last(F.when(F.col("step") == "begin", F.col("liked")), ignorenulls=True).over(order)
+    return log.select("account", "base", "seq", F.when(F.col("step") == "failed", ~wanted).otherwise(wanted).alias("shown"))
+
+
+def like_refreshes(log: DataFrame) -> DataFrame:
+    """``account, seq``: the steps of a log (account, seq, step) after which the first page is loaded anew.
+
+    That is when no change is pending any more and one was ``ok`` since the last time none was: once per burst.
+    """
+    order = Window.partitionBy("account").orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    pending = F.sum(F.when(F.col("step") == "begin", 1).otherwise(-1)).over(so_far)
+    idle = log.select("account", "seq", "step", ((F.col("step") != "begin") & (pending <= 0)).alias("idle"))
+    before = F.coalesce(F.sum(F.col("idle").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bursts = idle.withColumn("burst", before)
+    changed = F.max(F.col("step") == "ok").over(Window.partitionBy("account", "burst").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return bursts.withColumn("changed", changed).where("idle AND changed").select("account", "seq")
+
+
 def first_of(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in a total order."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -28,6 +28,27 @@ def retained(events: DataFrame, now: str, days: int = 90, most: int = 5000) -> D
     return events.where(F.col("at") >= since).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
+def cleared(rows: DataFrame, clears: DataFrame) -> DataFrame:
+    """Rows (account, at, ...) of a profile after the account's last clearing (account, at); ``enabled`` and the balance, kept elsewhere, stay."""
+    last = clears.groupBy("account").agg(F.max("at").alias("__cleared"))
+    return rows.join(last, "account", "left").where(F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared"))).drop("__cleared")
+
+
+def radio_requests(plays: DataFrame) -> DataFrame:
+    """Requests for the next radio batch, one per play (account, station, seq, track): ``previous`` is the cursor, the track played before.
+
+    The first request of a station has none and announces the station once (``radio_started``).
+    """
+    order = Window.partitionBy("account", "station").orderBy("seq")
+    return plays.select("account", "station", "seq", F.lag("track").over(order).alias("previous"), (F.row_number().over(order) == 1).alias("radio_started"))
+
+
+def batch_tracks(batches: DataFrame) -> DataFrame:
+    """The tracks of radio batches (station, batch, sequence array<(type, track)>), in order; what is no track, or null, goes."""
+    rows = batches.select("station", "batch", F.posexplode("sequence").alias("pos", "s"))
+    return rows.where((F.col("s.type") == "track") & F.col("s.track").isNotNull()).select("station", "batch", "pos", F.col("s.track").alias("track"))
+
+
 def last_heard(events: DataFrame) -> DataFrame:
     """``account, id, at``: when each track was heard last (plays of zero seconds don't count)."""
     return events.where("seconds > 0").groupBy("account", "id").agg(F.max("at").alias("at"))

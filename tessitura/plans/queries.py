@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import expr
-from tessitura.operators import audit, catalog, library, listening, media, recommend, sequence
+from tessitura.operators import audit, catalog, library, listening, media, recommend, sequence, view
 from tessitura.plans.sql import SQL  # noqa: F401
 from tessitura.sources import tables
 from tessitura.sources.shared import shared_path
@@ -112,6 +112,33 @@ def property_metadata(spark, sf):
     return p.select("p_partkey", F.explode(m).alias("name", "value"))
 
 
+@query
+def round_half_even(spark, sf):
+    """Prices whose third digit is a five, and exact ties in eighths."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", expr.round_2(F.col("p_partkey") * F.lit(0.005) + F.col("p_size")).alias("price"), expr.round_2((F.col("p_partkey") - F.lit(40)) / F.lit(8.0)).alias("eighths"), expr.round_2(F.col("p_retailprice") * F.lit(1.005)).alias("raised"))
+
+
+@query
+def iso_times(spark, sf):
+    return tables.listening_events(spark, sf).select("event_id", expr.iso_utc("at").alias("started"))
+
+
+@query
+def derived_state(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    states = e.select(
+        "event_id", pick(4, "likes", "search", "artist:7", "album:8").alias("view"), F.when(k % 3 == 0, F.concat(F.lit("T"), k.cast("string"))).alias("title"),
+        pick(5, "ready", "loading", "error", "ready", "ready").alias("status"), F.when(k % 2 == 0, k % 7 == 0).alias("auth_busy"), F.when(k % 6 == 0, "genre:rock").otherwise("").alias("wave"),
+        (k % 9).alias("queued"), pick(5, "playing", "paused", "error", "empty", "buffering").alias("playback"), F.when(k % 8 != 0, k.cast("string")).alias("current_id"),
+        pick(3, "off", "one", "all").alias("repeat"), (k % 2 == 1).alias("shuffle"), F.when(k % 5 == 0, 1).alias("rating"), (k % 4 - 1).alias("history_at"), (k % 3).alias("history_size"),
+        (k % 5 - 1).alias("previous_pos"), F.when(k % 4 != 0, k % 7 == 1).alias("available_after"), (k % 2 == 0).alias("available_any"),
+    )
+    return view.derived_state(states).select("event_id", "heading", "kind", "busy", "can_pause", "finite_queue", "repeat_mode", "shuffled", "can_previous", "can_next", "own_rating")
+
+
 # Predicates
 
 
@@ -122,7 +149,7 @@ def station_classify(spark, sf):
 
 @query
 def station_search(spark, sf):
-    return catalog.station_search(tables.stations(spark, sf), "  AN ").select("id", "title", "group")
+    return catalog.station_search(tables.stations(spark, sf), "  ION_1 ").select("id", "title", "group")
 
 
 def _preferences(spark, sf):
@@ -130,7 +157,7 @@ def _preferences(spark, sf):
     e = tables.listening_events(spark, sf)
     k = F.col("id").cast("int")
     of_pos = s.select(F.col("id").alias("station"), "pos")
-    starts = e.withColumn("pos", (k % 25).cast("int")).join(F.broadcast(of_pos.limit(2000)), "pos").select("account", "station", "at")
+    starts = e.withColumn("pos", (k % 25).cast("int")).join(of_pos, "pos").select("account", "station", "at")
     recent = listening.recent_stations(starts).select("account", F.col("station").alias("id"), "count", "last")
     users = e.select("account").distinct()
     pins = users.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("n", ((F.col("account") + F.col("pos") * 3) % 25).cast("int")).join(of_pos.withColumnRenamed("pos", "n"), "n").select("account", F.col("station").alias("id"), F.col("pos"))
@@ -154,6 +181,36 @@ def grid_chunks(spark, sf):
     return catalog.grid_lines(catalog.station_rows(tables.stations(spark, sf)), "group", ["pos"], 4)
 
 
+@query
+def grid_headings(spark, sf):
+    collapsed = spark.createDataFrame([("WORLD",), ("MOOD",)], "group string")
+    return catalog.grid_headings(catalog.station_rows(tables.stations(spark, sf)), "group", ["pos"], 4, collapsed)
+
+
+@query
+def artist_pages(spark, sf):
+    """The second page of 50 tracks of every artist."""
+    t = tables.tracks(spark, sf).select(F.explode("artists.id").alias("artist_id"), "id", "title")
+    order = Window.partitionBy("artist_id").orderBy(F.length("id"), "id")
+    return catalog.service_page(t.withColumn("pos", F.row_number().over(order) - 1), "artist_id", 1, 50)
+
+
+@query
+def artist_albums(spark, sf):
+    """The first page of 20 albums of every artist; the service tells no total."""
+    t = tables.tracks(spark, sf).select(F.explode("artists.id").alias("artist_id"), F.concat_ws("-", "album_id", F.right("id", F.lit(1))).alias("album_id")).distinct()
+    order = Window.partitionBy("artist_id").orderBy("album_id")
+    return catalog.service_page(t.withColumn("pos", F.row_number().over(order) - 1), "artist_id", 0, 20, known_total=False)
+
+
+@query
+def search_pages(spark, sf):
+    """Page three of a search for tracks, 20 rows a page."""
+    p = table(spark, sf, "part").where(expr.contains_folded("p_name", expr.check_query(" SMALL", "track")) | expr.contains_folded("p_name", "e"))
+    rows = p.select(F.lit("track").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), (F.row_number().over(Window.partitionBy(F.lit("track")).orderBy("p_partkey")) - 1).alias("pos"))
+    return catalog.service_page(rows, "kind", 2, 20)
+
+
 @query
 def section_breaks(spark, sf):
     rows = album_flatten(spark, sf)
@@ -173,7 +230,7 @@ def url_allowlist(spark, sf):
 def id_validation(spark, sf):
     p = table(spark, sf, "part")
     full = F.when(F.col("p_size") % 3 == 0, F.concat_ws(":", F.col("p_partkey").cast("string"), F.lit("7"))).when(F.col("p_size") % 3 == 1, F.col("p_partkey").cast("string")).otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(":")))
-    return p.select("p_partkey", expr.is_track_id(full).alias("track_id"), expr.is_entity_id("p_brand").alias("entity_id"), expr.base_id(full).alias("base"), expr.is_commit_id(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 40)).alias("commit_id"))
+    return p.select("p_partkey", expr.is_track_id(full).alias("track_id"), expr.is_entity_id(F.when(F.col("p_size") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_brand"))).alias("entity_id"), expr.base_id(full).alias("base"), expr.is_commit_id(F.substring(F.sha2(F.col("p_name").cast("binary"), 256), 1, F.when(F.col("p_size") % 4 == 0, 40).otherwise(41))).alias("commit_id"))
 
 
 @query
@@ -228,6 +285,28 @@ def likes_pending_overlay(spark, sf):
     return library.likes_overlay(tables.like_ids(spark, sf), _like_changes(spark, sf))
 
 
+def _like_log(spark, sf):
+    """Changes that begin at an event and end one to seven half events later, so that some overlap."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).where("event_type IN ('view', 'click', 'error')")
+    end = F.when(F.col("k") % 5 == 0, "failed").otherwise("ok")
+    base = F.col("k").cast("string")
+    steps = F.array(
+        F.struct((F.col("event_id") * 200 + 100).alias("seq"), F.lit("begin").alias("step")),
+        F.struct((F.col("event_id") * 200 + 101 + (F.col("k") * 331) % 10_000 * 2).alias("seq"), end.alias("step")),
+    )
+    return e.select(F.col("user_id").alias("account"), base.alias("base"), (F.col("event_type") != "error").alias("liked"), F.inline(steps))
+
+
+@query
+def likes_shown(spark, sf):
+    return library.shown_likes(_like_log(spark, sf))
+
+
+@query
+def likes_refresh(spark, sf):
+    return library.like_refreshes(_like_log(spark, sf))
+
+
 @query
 def page_merge(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -337,7 +416,7 @@ def history_positions(spark, sf):
 def history_fold(spark, sf):
     e = tables.listening_events(spark, sf)
     action = F.when(F.col("event_type").isin("view", "click"), "start").when(F.col("event_type") == "error", "previous").when(F.col("event_type") == "signup", "forward")
-    rows = e.select(F.col("account").alias("seq_id"), F.col("event_id").alias("n"), action.alias("action"), F.when(action == "start", F.col("id")).alias("id")).where("action IS NOT NULL")
+    rows = e.select(F.col("account").alias("seq_id"), F.col("event_id").alias("n"), action.alias("action"), F.when((action == "start") | (F.col("id").cast("int") % 3 != 0), F.col("id")).alias("id")).where("action IS NOT NULL")
     return sequence.history_fold(rows).select("seq_id", F.array_join("history", ",").alias("history"), "cursor")
 
 
@@ -385,6 +464,31 @@ def listening_time(spark, sf):
     return listening.listening_time(e.select("account", "at", "event_id", F.col("event_type").isin("view", "click").alias("playing")), 43_200.0)
 
 
+@query
+def profile_cleared(spark, sf):
+    e = tables.listening_events(spark, sf)
+    clears = e.where("event_type = 'signup' AND CAST(id AS INT) % 4 = 0").select("account", "at")
+    return listening.cleared(e, clears).groupBy("account").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first"))
+
+
+def _radio_plays(spark, sf):
+    e = tables.listening_events(spark, sf)
+    return e.select("account", F.concat(F.lit("genre:"), (F.col("id").cast("int") % 3).cast("string")).alias("station"), F.col("event_id").alias("seq"), F.col("id").alias("track"))
+
+
+@query
+def radio_requests(spark, sf):
+    return listening.radio_requests(_radio_plays(spark, sf))
+
+
+@query
+def radio_batches(spark, sf):
+    c = table(spark, sf, "conversations")
+    entry = F.struct("turn", F.when(F.col("role") == "system", "ad").otherwise("track").alias("type"), F.when(F.col("turn") % 4 != 3, F.concat_ws("-", "conv_id", "turn")).alias("track"))
+    batches = c.groupBy(F.col("conv_id").alias("batch")).agg(F.array_sort(F.collect_list(entry)).alias("sequence")).withColumn("station", F.concat(F.lit("s"), (F.col("batch") % 7).cast("string")))
+    return listening.batch_tracks(batches.withColumn("sequence", F.transform("sequence", lambda s: F.struct(s["type"].alias("type"), s["track"].alias("track")))))
+
+
 @query
 def event_dedup(spark, sf):
     e = tables.listening_events(spark, sf).withColumn("play", F.concat_ws("-", "id", F.floor(F.col("event_id") / 40).cast("string")))
@@ -472,6 +576,26 @@ def manifest_diff(spark, sf):
     return audit.manifest_diff(old, new)
 
 
+@query
+def required_missing(spark, sf):
+    d = table(spark, sf, "documents")
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path")
+    return audit.missing_required(d.where(F.col("doc_id") % 9 != 4).select(path), d.where(F.col("doc_id") % 2 == 0).select(path))
+
+
+@query
+def audit_counters(spark, sf):
+    d = table(spark, sf, "documents")
+    name = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".PNG").otherwise(".txt")))
+    objects = d.select(F.col("doc_id").alias("object"), F.when(F.col("doc_id") % 5 == 0, "commit").otherwise("blob").alias("kind"), name.alias("name"))
+    return audit.audit_counts(objects, secret_scan(spark, sf).select(F.col("doc_id").alias("object")))
+
+
+@query
+def object_labels(spark, sf):
+    return table(spark, sf, "pages").select("page_id", audit.object_label(F.when(F.col("page_id") % 3 != 0, F.col("url")).otherwise("")).alias("label"))
+
+
 @query
 def property_diff(spark, sf):
     e = tables.listening_events(spark, sf)

@@ -130,6 +130,21 @@ scored AS (
   FROM features),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY score DESC, id) AS rank FROM scored)"""
 
+LIKE_LOG = """e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type IN ('view', 'click', 'error')),
+log AS (
+  SELECT user_id AS account, CAST(k AS VARCHAR) AS base, event_type <> 'error' AS liked, event_id * 200 + 100 AS seq, 'begin' AS step FROM e
+  UNION ALL SELECT user_id, CAST(k AS VARCHAR), event_type <> 'error', event_id * 200 + 101 + (k * 331) % 10000 * 2, CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'ok' END FROM e)"""
+
+FINDINGS = r"""rules AS (SELECT * FROM (VALUES ('KEYWORD', '(?i)(?:password|token|secret|api_key)\s*[:=]\s*[^\s]{4,}'), ('ACCESS_KEY', '\bAKIA[A-Z0-9]{12,}'),
+  ('OAUTH_TOKEN', '\b(?:y[01]_|gh[pousr]_|github_pat_)[A-Za-z0-9_-]{24,}'), ('PRIVATE_KEY', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'),
+  ('JWT', '\beyJ[A-Za-z0-9_-]{15,}\.[A-Za-z0-9_-]{15,}\.[A-Za-z0-9_-]{15,}'),
+  ('CREDENTIAL', '(?i)(?:access_token|refresh_token|device_code|user_code|password|cookie|authorization)["'']?\s*[:=]\s*["''][^"''\r\n]{4,}["'']'),
+  ('SIGNED_AUDIO', 'https?://[^\s"<>]+(?:/get-mp3/|/get-opus/|[?&](?:sign|signature|token|expires)=)[^\s"<>]+')) r(category, rule)),
+pieces AS (SELECT doc_id, category, regexp_extract_all(text, rule) AS inside, string_split_regex(text, rule) AS outside FROM documents, rules WHERE regexp_matches(text, rule)),
+findings AS (
+  SELECT doc_id, category, 1 + len(string_split(array_to_string(list_transform(range(1, i + 1), lambda j: outside[j] || CASE WHEN j < i THEN inside[j] ELSE '' END), ''), chr(10))) - 1 AS line
+  FROM pieces, LATERAL unnest(range(1, len(inside) + 1)) u(i))"""
+
 SQL = {
     "track_projection": f"WITH {TRACKS} SELECT id, title, array_to_string(artists, ', ') AS artist, array_to_string(artists, ', ') AS detail, album_id, album_id AS album_title, duration, available, 'track' AS kind, array_to_string(artists, '|') AS artist_ids FROM tracks",
     "artist_links": f"WITH {TRACKS} SELECT id, generate_subscripts(artists, 1) - 1 AS n, unnest(artists) AS artist_id, unnest(artists) AS title FROM tracks",
@@ -157,7 +172,7 @@ SQL = {
     "property_metadata": """SELECT p_partkey, 'title' AS name, p_name AS value FROM part UNION ALL SELECT p_partkey, 'album', p_type FROM part WHERE p_size % 2 = 0
         UNION ALL SELECT p_partkey, 'length', CAST(CAST(p_size AS BIGINT) * 1000000 AS VARCHAR) FROM part""",
     "station_classify": f"WITH {STATIONS} SELECT * FROM station_rows",
-    "station_search": f"""WITH {STATIONS} SELECT id, title, "group" FROM station_rows WHERE contains(lower(title), 'an')""",
+    "station_search": f"""WITH {STATIONS} SELECT id, title, "group" FROM station_rows WHERE contains(lower(title), 'ion_1')""",
     "recent_stations": f"WITH {PREFERENCES} SELECT account, id, count, last AS last_us FROM recent",
     "station_groups": f"""WITH {PREFERENCES},
         facts AS (SELECT u.account, s.id, s.pos, s."group", p.pos AS pin, h.id IS NOT NULL AS hide, r.last, r.count FROM users u JOIN station_rows s ON true
@@ -176,7 +191,7 @@ SQL = {
         SELECT page_id, CASE WHEN lower(regexp_replace(authority, ':[0-9]*$', '')) IN ('therha.example.com', 'the.example.com', 'and.example.com', 'on.example.com', 'm.ththth.example.net')
           AND NOT contains(authority, '@') AND NOT contains(url, '?') AND NOT contains(url, '#') AND regexp_extract(authority, ':([0-9]*)$', 1) IN ('', '443') THEN url ELSE '' END AS url FROM p""",
     "id_validation": """WITH f AS (SELECT *, CASE p_size % 3 WHEN 0 THEN p_partkey || ':7' WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE p_partkey || ':' END AS full_id FROM part)
-        SELECT p_partkey, regexp_full_match(full_id, '[0-9]+(:[0-9]+)?') AS track_id, regexp_full_match(p_brand, '[0-9]+') AS entity_id, split_part(full_id, ':', 1) AS base, regexp_full_match(md5(p_name), '[0-9a-f]{40}') AS commit_id FROM f""",
+        SELECT p_partkey, regexp_full_match(full_id, '[0-9]+(:[0-9]+)?') AS track_id, p_size % 2 = 0 AS entity_id, split_part(full_id, ':', 1) AS base, p_size % 4 = 0 AS commit_id FROM f""",
     "http_error_class": """WITH s AS (SELECT CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE [400, 401, 403, 404, 408, 429, 500, 503][l_partkey % 8 + 1] END AS status, ['network', 'timeout', 'bad_request', 'not_found', 'tls'][l_linenumber % 5 + 1] AS kind FROM lineitem)
         SELECT CASE WHEN status = 401 THEN 'INVALID_ACCOUNT' WHEN status = 403 THEN 'FORBIDDEN' WHEN kind = 'bad_request' THEN 'REJECTED' WHEN kind = 'not_found' THEN 'NOT_FOUND' WHEN status = 429 THEN 'RATE_LIMITED'
           WHEN status BETWEEN 500 AND 599 THEN 'SERVER' WHEN status BETWEEN 400 AND 499 THEN 'CLIENT' WHEN kind = 'timeout' THEN 'TIMEOUT' WHEN kind = 'network' THEN 'NETWORK' ELSE 'OTHER' END AS class,
@@ -227,10 +242,10 @@ SQL = {
     "history_positions": f"""WITH {QUEUE}, h AS (SELECT seq_id, pos AS tm, CASE WHEN pos % 2 = 0 THEN id ELSE 'none' END AS id FROM queue), m AS (SELECT seq_id, id, min(pos) AS pos FROM queue GROUP BY ALL)
         SELECT h.seq_id, h.tm AS "at", h.id, coalesce(m.pos, -1) AS pos FROM h LEFT JOIN m ON h.seq_id = m.seq_id AND h.id = m.id""",
     "history_fold": f"""WITH RECURSIVE {LISTENED},
-        a AS (SELECT account AS seq_id, row_number() OVER (PARTITION BY account ORDER BY event_id) AS n, CASE WHEN event_type IN ('view', 'click') THEN 'start' WHEN event_type = 'error' THEN 'previous' ELSE 'forward' END AS action, id FROM listened WHERE event_type <> 'purchase'),
+        a AS (SELECT account AS seq_id, row_number() OVER (PARTITION BY account ORDER BY event_id) AS n, CASE WHEN event_type IN ('view', 'click') THEN 'start' WHEN event_type = 'error' THEN 'previous' ELSE 'forward' END AS action, CASE WHEN event_type IN ('view', 'click') OR CAST(id AS INTEGER) % 3 <> 0 THEN id END AS id FROM listened WHERE event_type <> 'purchase'),
         f AS (SELECT DISTINCT seq_id, 0::BIGINT AS n, []::VARCHAR[] AS h, -1::BIGINT AS c FROM a
-          UNION ALL SELECT f.seq_id, a.n, CASE WHEN action = 'start' THEN list_append(h[:c + 1], a.id) ELSE h END,
-            CASE WHEN action = 'start' THEN c + 1 WHEN action = 'previous' AND c > 0 THEN c - 1 WHEN action = 'forward' AND c + 1 < len(h) THEN c + 1 ELSE c END
+          UNION ALL SELECT f.seq_id, a.n, CASE WHEN action = 'start' THEN list_append(h[:c + 1], a.id) WHEN action = 'previous' AND c <= 0 AND a.id IS NOT NULL THEN list_prepend(a.id, h) ELSE h END,
+            CASE WHEN action = 'start' THEN c + 1 WHEN action = 'previous' AND c > 0 THEN c - 1 WHEN action = 'previous' AND a.id IS NOT NULL THEN 0 WHEN action = 'forward' AND c + 1 < len(h) THEN c + 1 ELSE c END
           FROM f JOIN a ON a.seq_id = f.seq_id AND a.n = f.n + 1)
         SELECT seq_id, array_to_string(h, ',') AS history, c AS cursor FROM f QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY n DESC) = 1""",
     "advance_decision": """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
@@ -264,14 +279,44 @@ SQL = {
         l AS (SELECT account AS object, n, 'status' AS name, event_type AS value FROM n UNION ALL SELECT account, n, 'track', id FROM n)
         SELECT a.object, a.name, a.value FROM l a LEFT JOIN l b ON b.n = 2 AND a.object = b.object AND a.name = b.name WHERE a.n = 1 AND a.value IS DISTINCT FROM b.value""",
     "private_paths": "SELECT page_id, page_id % 4 > 0 OR page_id % 3 > 0 AS private FROM pages",
-    "secret_scan": r"""WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS row FROM documents),
-        rules AS (SELECT * FROM (VALUES ('KEYWORD', '(?i)(?:password|token|secret|api_key)\s*[:=]\s*[^\s]{4,}'), ('ACCESS_KEY', '\bAKIA[A-Z0-9]{12,}'),
-          ('OAUTH_TOKEN', '\b(?:y[01]_|gh[pousr]_|github_pat_)[A-Za-z0-9_-]{24,}'), ('PRIVATE_KEY', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'),
-          ('JWT', '\beyJ[A-Za-z0-9_-]{15,}\.[A-Za-z0-9_-]{15,}\.[A-Za-z0-9_-]{15,}'),
-          ('CREDENTIAL', '(?i)(?:access_token|refresh_token|device_code|user_code|password|cookie|authorization)["'']?\s*[:=]\s*["''][^"''\r\n]{4,}["'']'),
-          ('SIGNED_AUDIO', 'https?://[^\s"<>]+(?:/get-mp3/|/get-opus/|[?&](?:sign|signature|token|expires)=)[^\s"<>]+')) r(category, rule)),
-        hits AS (SELECT doc_id, category, line, len(regexp_extract_all(row, rule)) AS n FROM lines, rules)
-        SELECT doc_id, category, line FROM hits, LATERAL unnest(range(n)) WHERE n > 0""",
+    "secret_scan": rf"""WITH {FINDINGS} SELECT doc_id, category, line FROM findings""",
+    "audit_counters": rf"""WITH {FINDINGS}, o AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'commit' ELSE 'blob' END AS kind, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS image FROM documents),
+        n AS (SELECT doc_id, count(*) AS n FROM findings GROUP BY doc_id)
+        SELECT kind, count(*) AS scanned, count(*) FILTER (image) AS images, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM o LEFT JOIN n USING (doc_id) GROUP BY kind""",
+    "required_missing": "SELECT 'd/' || doc_id AS path FROM documents WHERE doc_id % 2 = 0 AND doc_id % 9 = 4",
+    "object_labels": "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND url <> '' THEN url ELSE '(commit metadata)' END AS label FROM pages",
+    "round_half_even": """SELECT p_partkey, CAST(format('{:.2f}', p_partkey * 0.005::DOUBLE + p_size) AS DOUBLE) AS price, CAST(format('{:.2f}', (p_partkey - 40) / 8.0::DOUBLE) AS DOUBLE) AS eighths,
+        CAST(format('{:.2f}', p_retailprice * 1.005::DOUBLE) AS DOUBLE) AS raised FROM part""",
+    "iso_times": f"WITH {LISTENED} SELECT event_id, strftime(make_timestamp(tm), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started FROM listened",
+    "derived_state": """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+        s AS (SELECT *, k % 6 = 0 AS wave, ['likes', 'search', 'artist:7', 'album:8'][k % 4 + 1] AS view, ['off', 'one', 'all'][k % 3 + 1] AS repeat FROM e)
+        SELECT event_id, CASE view WHEN 'likes' THEN 'LIKES' WHEN 'search' THEN 'SEARCH' ELSE CASE WHEN k % 3 = 0 THEN 'T' || k ELSE 'CATALOGUE' END END AS heading, split_part(view, ':', 1) AS kind,
+          k % 5 = 1 OR (k % 2 = 0 AND k % 7 = 0) AS busy, k % 8 <> 0 AND k % 5 NOT IN (2, 3) AS can_pause, k % 9 > 0 AND NOT wave AS finite_queue, CASE WHEN wave THEN 'off' ELSE repeat END AS repeat_mode,
+          NOT wave AND k % 2 = 1 AS shuffled, NOT wave AND (k % 4 - 1 > 0 OR k % 5 - 1 >= 0) AS can_previous,
+          wave OR k % 4 - 1 < k % 3 - 1 OR (k % 4 <> 0 AND k % 7 = 1) OR (repeat = 'all' AND k % 2 = 0) AS can_next, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS own_rating FROM s""",
+    "grid_headings": f"""WITH {STATIONS}, n AS (SELECT "group", id, row_number() OVER (PARTITION BY "group" ORDER BY pos) - 1 AS n FROM station_rows)
+        SELECT "group", n // 4 AS line, string_agg(id, ',' ORDER BY n) AS ids FROM n WHERE "group" NOT IN ('WORLD', 'MOOD') GROUP BY ALL UNION ALL SELECT DISTINCT "group", -1, '' FROM station_rows""",
+    "artist_pages": f"""WITH {TRACKS}, t AS (SELECT unnest(artists) AS artist_id, id, title FROM tracks),
+        r AS (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY length(id), id) - 1 AS pos, count(*) OVER (PARTITION BY artist_id) AS total FROM t)
+        SELECT artist_id, id, title, pos, total, 100 < total AS more FROM r WHERE pos >= 50 AND pos < 100""",
+    "artist_albums": f"""WITH {TRACKS}, t AS (SELECT DISTINCT unnest(artists) AS artist_id, album_id || '-' || right(id, 1) AS album_id FROM tracks)
+        SELECT artist_id, album_id, row_number() OVER (PARTITION BY artist_id ORDER BY album_id) - 1 AS pos, -1 AS total, false AS more FROM t QUALIFY pos < 20""",
+    "search_pages": """WITH r AS (SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS total FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_name), 'e'))
+        SELECT kind, id, title, pos, total, 60 < total AS more FROM r WHERE pos >= 40 AND pos < 60""",
+    "likes_shown": f"""WITH {LIKE_LOG}
+        SELECT account, base, seq, CASE WHEN step = 'failed' THEN NOT l ELSE l END AS shown
+        FROM (SELECT *, last_value(CASE WHEN step = 'begin' THEN liked END IGNORE NULLS) OVER (PARTITION BY account, base ORDER BY seq ROWS UNBOUNDED PRECEDING) AS l FROM log)""",
+    "likes_refresh": f"""WITH RECURSIVE {LIKE_LOG}, n AS (SELECT account, seq, step, row_number() OVER (PARTITION BY account ORDER BY seq) AS n FROM log),
+        f AS (SELECT DISTINCT account, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS pending, false AS needed, false AS refresh FROM n
+          UNION ALL SELECT account, n, seq, p, need AND NOT hit, hit FROM (SELECT *, p <= 0 AND step <> 'begin' AND need AS hit FROM (
+            SELECT n.account, n.n, n.seq, n.step, f.pending + CASE WHEN n.step = 'begin' THEN 1 ELSE -1 END AS p, f.needed OR n.step = 'ok' AS need FROM f JOIN n ON n.account = f.account AND n.n = f.n + 1)))
+        SELECT account, seq FROM f WHERE refresh""",
+    "profile_cleared": f"""WITH {LISTENED}, c AS (SELECT account, max(tm) AS cleared FROM listened WHERE event_type = 'signup' AND CAST(id AS INTEGER) % 4 = 0 GROUP BY account)
+        SELECT l.account, count(*) AS events, min(event_id) AS first FROM listened l LEFT JOIN c USING (account) WHERE cleared IS NULL OR tm > cleared GROUP BY l.account""",
+    "radio_requests": f"""WITH {LISTENED} SELECT account, 'genre:' || (CAST(id AS INTEGER) % 3) AS station, event_id AS seq, lag(id) OVER w AS previous, row_number() OVER w = 1 AS radio_started
+        FROM listened WINDOW w AS (PARTITION BY account, CAST(id AS INTEGER) % 3 ORDER BY event_id)""",
+    "radio_batches": """WITH r AS (SELECT 's' || (conv_id % 7) AS station, conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, turn FROM conversations)
+        SELECT station, batch, pos, batch || '-' || turn AS track FROM r WHERE role <> 'system' AND turn % 4 <> 3""",
     "event_dedup_stream": f"WITH {LISTENED} SELECT DISTINCT account, id || '-' || (event_id // 40) AS play FROM listened",
     "stale_results": f"""WITH {LISTENED}, r AS (SELECT account || ':' || event_type AS key, event_id // 100 AS version, event_id FROM listened) SELECT * FROM r QUALIFY version = max(version) OVER (PARTITION BY key)""",
     "accepted_events": """WITH r AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 2 AS entry FROM lineitem),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions.expr import account_key
+
 ARTISTS = "array<struct<id:string,title:string>>"
 TRACK_DDL = f"id string, title string, artist string, artists {ARTISTS}, album_id string, album_title string, cover string, duration double, available boolean"
 EVENT_DDL = "play string, account long, id string, at timestamp, source string, seconds double, cause string"
@@ -23,14 +28,34 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace ``path`` by the rows as JSON; Spark's commit protocol shows all of them or none."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    """Replace ``path`` by the rows as JSON: they are written beside it and renamed, so a job that fails leaves the old rows.
+
+    The folder is for its owner alone (0700).
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, beside, old = (hadoop.Path(f"{path.rstrip('/')}{x}") for x in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).json(beside.toString())
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setPermission(beside, hadoop.permission.FsPermission("700"))
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be replaced")
+    if not fs.rename(beside, target):
+        raise OSError(f"{path} cannot be replaced")
+    fs.delete(old, True)
+
+
+def write_by_account(df: DataFrame, path: str, account: str = "account") -> None:
+    """Rows as Parquet in a folder per account, named by :func:`~tessitura.functions.expr.account_key`; only folders of accounts in ``df`` are replaced."""
+    keyed = df.withColumn("account_key", account_key(account))
+    keyed.repartition("account_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("account_key").parquet(path)
 
 
 def data_path(spark: SparkSession, kind: str, name: str, default: str) -> str:
-    """Where data of a kind (config, state, cache) lie: the session's ``tessitura.path.<kind>`` or ``default``."""
-    return f"{spark.conf.get(f'tessitura.path.{kind}', default).rstrip('/')}/{name}"
+    """Where data of a kind (config, state, cache) lie: the environment's ``TESSITURA_<KIND>``, else the session's ``tessitura.path.<kind>``, else ``default``."""
+    base = os.environ.get(f"TESSITURA_{kind.upper()}") or spark.conf.get(f"tessitura.path.{kind}", default)
+    return f"{base.rstrip('/')}/{name}"
 
 
 def artist_links(artists: Column, unknown: str = "UNKNOWN") -> Column:
@@ -135,7 +160,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     family = F.element_at(F.array(*map(F.lit, ("genre", "mood", "activity", "genre", "other"))), F.col("n_regionkey") + 1)
     parent = F.element_at(F.array(*map(F.lit, ("genre:children", "genre:folk", "", "genre:rock", ""))), F.col("n_regionkey") + 1)
-    rows = n.join(F.broadcast(r.limit(1000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select(
         F.concat_ws(":", family, F.lower("n_name")).alias("id"),
         F.when(F.col("n_nationkey") % 2 == 0, parent).otherwise("").alias("parent_id"),
