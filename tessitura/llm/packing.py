@@ -126,7 +126,7 @@ def packed(df: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple]], l
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
-        for part in slices(batches, 1024):
+        for part in slices(batches, 512):
             for example in ids_of(part):
                 rows.extend(packer.add(*example))
             if len(rows) >= 4096:
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
 
     def ids_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         end = np.asarray([end_id], "<u4").tobytes()
-        for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+        for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, 100_000).encode(batch.column(1).to_pylist(), 1 << 21), strict=True):
             yield k, ids + end, None
 
     return packed(texts(docs, key, text).withColumnRenamed(key, "doc_id"), ids_of, (tokens, segments, loss_tokens or tokens))
@@ -164,7 +164,7 @@ def pack_conversations(turns: DataFrame, vocabulary: str = "word_bpe_49k.json",
 
     def ids_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         end = np.asarray([end_id], "<u4").tobytes()
-        for k, ids, loss in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+        for k, ids, loss in zip(batch.column(0).to_pylist(), encoder(vocabulary, 100_000).encode(batch.column(1).to_pylist(), 1 << 21), batch.column(2).to_pylist(), strict=True):
             yield k, ids + end, np.full(len(ids) // 4 + 1, loss)
 
     return packed(rows, ids_of, limits)

@@ -166,11 +166,11 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(name: str, specials: bool = False) -> PieceEncoder:
-    """One encoder per Python worker and vocabulary file."""
-    if (name, specials) not in _encoders:
-        _encoders[name, specials] = PieceEncoder(name if os.path.isabs(name) else vocabulary_path(name), specials=specials)
-    return _encoders[name, specials]
+def encoder(name: str, kept: int = 400_000, specials: bool = False) -> PieceEncoder:
+    """One encoder per Python worker, vocabulary file and size of its memory; it stays for the worker's next task."""
+    if (name, kept, specials) not in _encoders:
+        _encoders[name, kept, specials] = PieceEncoder(name if os.path.isabs(name) else vocabulary_path(name), kept, specials)
+    return _encoders[name, kept, specials]
