@@ -617,7 +617,6 @@ def private_paths(spark, sf):
 
 
 def _stream(spark, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
-    radio.use_rocksdb(spark)
     folder = shared_path(spark, name)
     rows.write.parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
@@ -635,7 +634,7 @@ def wave_dedup_stream(spark, sf):
 @query
 def wave_feedback_stream(spark, sf):
     e = tables.listening_events(spark, sf)
-    signal = F.when(F.col("event_type").isin("view", "purchase"), "started").otherwise(F.col("cause"))
+    signal = F.when(F.col("event_type").isin("view", "purchase"), "started").when((F.col("event_type") == "signup") & (F.col("id").cast("int") % 4 == 0), "radio").otherwise(F.col("cause"))
     rows = e.select("account", F.col("event_id").alias("seq"), (F.col("id").cast("int") % 2).cast("string").alias("track"), signal.alias("signal"))
     stream, folder = _stream(spark, rows, "wave-feedback")
     return radio.drain(radio.wave_feedback(stream), f"{folder}/out", f"{folder}/checkpoint", ["account", "seq", "track", "event"])

@@ -317,6 +317,32 @@ SQL = {
         FROM listened WINDOW w AS (PARTITION BY account, CAST(id AS INTEGER) % 3 ORDER BY event_id)""",
     "radio_batches": """WITH r AS (SELECT 's' || (conv_id % 7) AS station, conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, turn FROM conversations)
         SELECT station, batch, pos, batch || '-' || turn AS track FROM r WHERE role <> 'system' AND turn % 4 <> 3""",
+    "wave_dedup_stream": f"""WITH RECURSIVE {LISTENED},
+        s AS (SELECT account, 'genre:' || (CAST(id AS INTEGER) % 3) AS station, event_id AS seq, CASE WHEN event_type IN ('click', 'error') THEN 'play' ELSE 'offer' END AS action, CAST(event_id // 50 AS VARCHAR) AS batch,
+          CAST(CAST(id AS INTEGER) % 12 AS VARCHAR) AS track, CAST(id AS INTEGER) % 13 <> 0 AS available FROM listened),
+        n AS (SELECT *, row_number() OVER (PARTITION BY account, station ORDER BY seq) AS n FROM s),
+        f AS (SELECT DISTINCT account, station, 0::BIGINT AS n, []::VARCHAR[] AS q, []::VARCHAR[] AS p, false AS hit FROM n
+          UNION ALL SELECT account, station, n,
+            CASE WHEN NOT ok THEN q WHEN action = 'offer' THEN list_append(q, track) ELSE list_filter(q, lambda x: x <> track) END,
+            CASE WHEN ok AND action = 'play' THEN list_append(list_filter(p, lambda x: x <> track), track)[-3:] ELSE p END, ok
+          FROM (SELECT n.account, n.station, n.n, n.action, n.track, f.q, f.p,
+              CASE WHEN n.action = 'offer' THEN n.available AND NOT list_contains(f.q, n.track) AND NOT list_contains(f.p, n.track) ELSE list_contains(f.q, n.track) END AS ok
+            FROM f JOIN n ON n.account = f.account AND n.station = f.station AND n.n = f.n + 1))
+        SELECT account, station, seq, action, batch, track, len(q) AS queued, len(q) <= 2 AS refill FROM f JOIN n USING (account, station, n) WHERE hit""",
+    "wave_feedback_stream": f"""WITH RECURSIVE {LISTENED},
+        s AS (SELECT account, event_id AS seq, row_number() OVER (PARTITION BY account ORDER BY event_id) AS n, CAST(CAST(id AS INTEGER) % 2 AS VARCHAR) AS track,
+          CASE WHEN event_type IN ('view', 'purchase') THEN 'started' WHEN event_type = 'signup' AND CAST(id AS INTEGER) % 4 = 0 THEN 'radio' ELSE cause END AS signal FROM listened),
+        f AS (SELECT DISTINCT account, 0::BIGINT AS n, NULL::VARCHAR AS track, 0::BIGINT AS began, true AS ended, []::STRUCT(seq BIGINT, track VARCHAR, event VARCHAR, seconds BIGINT)[] AS found FROM s
+          UNION ALL SELECT account, n, CASE WHEN starts THEN new ELSE track END, CASE WHEN starts THEN seq ELSE began END, CASE WHEN starts THEN false ELSE ended OR ends END,
+            CASE WHEN signal = 'radio' THEN [{{'seq': seq, 'track': NULL::VARCHAR, 'event': 'radioStarted', 'seconds': 0::BIGINT}}]
+              WHEN starts AND NOT ended THEN [{{'seq': seq, 'track': track, 'event': 'skip', 'seconds': seq - began}}, {{'seq': seq, 'track': new, 'event': 'trackStarted', 'seconds': 0::BIGINT}}]
+              WHEN starts THEN [{{'seq': seq, 'track': new, 'event': 'trackStarted', 'seconds': 0::BIGINT}}]
+              WHEN ends THEN [{{'seq': seq, 'track': track, 'event': CASE WHEN signal = 'finished' THEN 'trackFinished' ELSE 'skip' END, 'seconds': seq - began}}] ELSE [] END
+          FROM (SELECT f.account, s.n, s.seq, s.signal, s.track AS new, f.track, f.began, f.ended,
+              s.signal = 'started' AND NOT coalesce(f.track = s.track AND NOT f.ended, false) AS starts,
+              s.signal NOT IN ('started', 'radio') AND NOT f.ended AND coalesce(f.track = s.track, false) AS ends
+            FROM f JOIN s ON s.account = f.account AND s.n = f.n + 1))
+        SELECT account, o.seq AS seq, o.track AS track, o.event AS event, o.seconds AS seconds FROM (SELECT account, unnest(found) AS o FROM f)""",
     "event_dedup_stream": f"WITH {LISTENED} SELECT DISTINCT account, id || '-' || (event_id // 40) AS play FROM listened",
     "stale_results": f"""WITH {LISTENED}, r AS (SELECT account || ':' || event_type AS key, event_id // 100 AS version, event_id FROM listened) SELECT * FROM r QUALIFY version = max(version) OVER (PARTITION BY key)""",
     "accepted_events": """WITH r AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 2 AS entry FROM lineitem),

@@ -7,6 +7,8 @@ are handled in the order of their time and id, so results don't depend on how fi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Stateful operators with several kinds of state need this provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which several kinds of state need; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class BoundedDedup(StatefulProcessor):
@@ -65,10 +74,10 @@ def wave_dedup(offers: DataFrame, memory: int = 100, low_water: int = 2) -> Data
 
 
 class Feedback(StatefulProcessor):
-    """Player signals (seq, track, signal) to radio events: ``trackStarted`` once, then one of ``skip`` and ``trackFinished``, if it had started.
+    """Player signals (seq, track, signal) to radio events: ``radioStarted`` for each station start (``radio``), ``trackStarted`` once, then one of ``skip`` and ``trackFinished``, if it had started.
 
-    Signals: started, manual-skip, finished, stop, error, source-change. Time is listened between
-    ``seconds`` marks of the signals.
+    Signals: radio, started, manual-skip, finished, stop, error, source-change. Time is listened between
+    ``seconds`` marks of the signals. Null and unknown signals are no events.
     """
 
     ENDS = {"manual-skip": "skip", "finished": "trackFinished", "stop": "skip", "error": "skip", "source-change": "skip"}
@@ -80,14 +89,16 @@ class Feedback(StatefulProcessor):
         track, began, ended = self.state.get() if self.state.exists() else (None, 0, True)
         out = []
         for row in pd.concat(list(rows)).sort_values(["seq", "track"]).itertuples():
-            if row.signal == "started":
+            if row.signal == "radio":
+                out.append((*key, row.seq, None, "radioStarted", 0))
+            elif row.signal == "started":
                 if track == row.track and not ended:
                     continue
                 if not ended:
                     out.append((*key, row.seq, track, "skip", row.seq - began))
                 track, began, ended = row.track, row.seq, False
                 out.append((*key, row.seq, track, "trackStarted", 0))
-            elif not ended and row.track == track:
+            elif row.signal in self.ENDS and not ended and row.track == track:
                 out.append((*key, row.seq, track, self.ENDS[row.signal], row.seq - began))
                 ended = True
         self.state.update((track, began, ended))
@@ -105,6 +116,38 @@ def wave_feedback(signals: DataFrame) -> DataFrame:
     return signals.groupBy("account").transformWithStateInPandas(Feedback(), FEEDBACK_DDL, "Append", "None")
 
 
+class Retained(StatefulProcessor):
+    """Keeps an account's events (at, play) of the ``days`` before its newest one, the last ``most`` of them, as state.
+
+    Older ones go with the account's next micro-batch, so that results do not depend on the clock; an account
+    that falls silent holds at most ``most``. Yields ``account, kept, oldest`` for every account of a micro-batch.
+    Events without a time are not kept.
+    """
+
+    def __init__(self, days: int = 90, most: int = 5000) -> None:
+        self.days, self.most = days, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("events", "at timestamp, play string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in self.state.get()] if self.state.exists() else []
+        held += [(x.at.to_pydatetime(), x.play) for x in pd.concat(list(rows)).dropna(subset=["at"]).itertuples()]
+        held.sort(key=lambda x: (x[0], x[1] or ""))
+        kept = [x for x in held if x[0] >= held[-1][0] - timedelta(days=self.days)][-self.most :]
+        if kept:
+            self.state.put(kept)
+            yield pd.DataFrame([(*key, len(kept), kept[0][0])], columns=["account", "kept", "oldest"])
+
+    def close(self) -> None:
+        pass
+
+
+def retained(events: DataFrame, days: int = 90, most: int = 5000) -> DataFrame:
+    """Retention as a stream over (account, at, play)."""
+    return events.groupBy("account").transformWithStateInPandas(Retained(days, most), "account long, kept int, oldest timestamp", "Update", "None")
+
+
 def recent_station_counts(starts: DataFrame) -> DataFrame:
     """Recents as a stream: tracks started per account and station, and the last time (update mode)."""
     return starts.groupBy("account", "station").agg(F.count(F.lit(1)).alias("count"), F.max("at").alias("last"))
@@ -135,9 +178,10 @@ def idempotent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], No
     return write
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "append") -> DataFrame:
     """Run a stream until its source has no more, and read what its sink got."""
-    query = stream.writeStream.foreachBatch(idempotent_sink(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(idempotent_sink(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:

@@ -1,5 +1,13 @@
 """Golden cases of the engine's operators on small relations."""
 
+import datetime
+import hashlib
+import io
+import os
+import tarfile
+import uuid
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,7 +248,6 @@ def test_audit(spark):
 
 
 def test_radio_dedup_and_feedback(spark, tmp_path):
-    radio.use_rocksdb(spark)
     kind = "account long, station string, seq long, action string, batch string, track string, available boolean"
     first = [(1, "s", 1, "offer", "first", "0", True), (1, "s", 1, "offer", "first", "1", True), (1, "s", 2, "play", "first", "0", True), (1, "s", 3, "play", "first", "1", True)]
     second = [(1, "s", 4, "offer", "second", str(i), True) for i in range(4)]
@@ -249,7 +256,91 @@ def test_radio_dedup_and_feedback(spark, tmp_path):
     offers = [(r.track, r.batch) for r in out.where("action = 'offer'").orderBy("seq", "track").collect()]
     assert offers == [("0", "first"), ("1", "first"), ("2", "second"), ("3", "second")]
     kind = "account long, seq long, track string, signal string"
-    signals = [(1, 1, "0", "started"), (1, 1, "0", "started"), (1, 5, "0", "manual-skip"), (1, 6, "0", "finished"), (1, 7, "1", "started")]
+    signals = [(1, 0, None, "radio"), (1, 1, "0", "started"), (1, 1, "0", "started"), (1, 2, "0", None), (1, 3, "0", "who knows"), (1, 5, "0", "manual-skip"), (1, 6, "0", "finished"), (1, 7, "1", "started")]
     spark.createDataFrame(signals, kind).coalesce(1).write.parquet(str(tmp_path / "in2"))
     out = radio.drain(radio.wave_feedback(spark.readStream.schema(kind).parquet(str(tmp_path / "in2"))), str(tmp_path / "out2"), str(tmp_path / "ck2"), ["seq", "track", "event"])
-    assert [(r.track, r.event, r.seconds) for r in out.orderBy("seq").collect()] == [("0", "trackStarted", 0), ("0", "skip", 4), ("1", "trackStarted", 0)]
+    assert [(r.track, r.event, r.seconds) for r in out.orderBy("seq").collect()] == [(None, "radioStarted", 0), ("0", "trackStarted", 0), ("0", "skip", 4), ("1", "trackStarted", 0)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    assert spark.conf.get(provider, None) != radio.ROCKSDB
+
+
+def test_retention_as_state(spark, tmp_path):
+    kind = "account long, at timestamp, play string"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(1, day(0), "a"), (1, day(60), "b"), (1, day(91), "c"), (1, None, "x"), (2, None, "y"), (3, day(1), "d"), (3, day(2), None), (3, day(3), "e"), (3, day(4), "f")]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    out = radio.drain(radio.retained(stream, most=3), str(tmp_path / "out"), str(tmp_path / "ck"), ["account"], "update")
+    assert sorted((r.account, r.kept, r.oldest) for r in out.collect()) == [(1, 2, day(60)), (3, 3, day(2))]
+
+
+def test_radio_rows_and_station_counts(spark):
+    rows = sequence.radio_rows(spark.createDataFrame([(1, "a")], "seq_id long, id string"), spark.createDataFrame([(1, 0, "b"), (1, 1, "c")], "seq_id long, pos int, id string"))
+    assert in_order(rows, "pos", "id", "is_current") == [(-1, "a", True), (0, "b", False), (1, "c", False)]
+    starts = spark.createDataFrame([(1, "s", 3), (1, "s", 5), (1, "t", 4)], "account long, station string, at long")
+    assert sorted(map(tuple, radio.recent_station_counts(starts).collect())) == [(1, "s", 2, 5), (1, "t", 1, 4)]
+
+
+def test_previous_at_the_first_entry_prepends_the_predecessor(spark):
+    steps = [(1, 1, "start", "45"), (1, 2, "previous", "44"), (1, 3, "previous", "43"), (1, 4, "previous", None), (1, 5, "forward", None), (1, 6, "forward", None), (1, 7, "start", "9")]
+    for n, want in ((3, (["43", "44", "45"], 0)), (4, (["43", "44", "45"], 0)), (6, (["43", "44", "45"], 2)), (7, (["43", "44", "45", "9"], 3))):
+        r = sequence.history_fold(spark.createDataFrame(steps[:n], "seq_id long, n int, action string, id string")).first()
+        assert (r.history, r.cursor) == want
+
+
+def test_snapshots_listings_and_frozen_trees(spark, tmp_path):
+    files = spark.createDataFrame([("b",), ("a",), ("b",)], "path string")
+    assert in_order(audit.distinct_files(files), "path", by="path") == ["a", "b"]
+    for _ in range(2):
+        audit.write_snapshot(files.withColumnRenamed("path", "line"), str(tmp_path / "snap"))
+        assert [r.value for r in spark.read.text(str(tmp_path / "snap")).collect()] == ["a", "b"]
+    none = files.limit(0)
+    assert audit.is_frozen(none, none) and not audit.is_frozen(none, files)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/y.txt", "12345")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("in/tar")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+    (tmp_path / "c.bin").write_bytes(b"no archive")
+    archives = spark.read.format("binaryFile").load([str(tmp_path / x) for x in ("a.zip", "b.tar.gz", "c.bin")])
+    assert sorted((r.archive.rsplit("/", 1)[1], r.entry, r.size) for r in audit.archive_listing(archives).collect()) == [("a.zip", "x/y.txt", 5), ("b.tar.gz", "in/tar", 3)]
+
+
+def test_findings_reach_over_lines(spark):
+    text = "a\npassword:\n  'abcd'\nx\npassword: 'efgh' cookie = \"1234\"\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.line) for r in audit.secret_lines(docs).collect()) == [(1, 2), (1, 5), (1, 5)]
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "state")
+    tables.write_json(spark.createDataFrame([(1,)], "n int"), path)
+    with pytest.raises(Exception):
+        tables.write_json(spark.range(1).select(F.raise_error(F.lit("no")).alias("n")), path)
+    assert spark.read.json(path).first().n == 1
+    tables.write_json(spark.createDataFrame([(2,), (3,)], "n int"), path)
+    assert sorted(r.n for r in spark.read.json(path).collect()) == [2, 3]
+    assert os.stat(path).st_mode & 0o777 == 0o700 and not [p for p in os.listdir(tmp_path) if ".old-" in p]
+
+
+def test_folders_per_account_and_paths(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "likes")
+    tables.write_by_account(spark.createDataFrame([("u1", 1), ("u2", 2)], "account string, n int"), path)
+    tables.write_by_account(spark.createDataFrame([("u1", 5)], "account string, n int"), path)
+    rows = spark.read.parquet(path).collect()
+    assert sorted((r.account, r.n) for r in rows) == [("u1", 5), ("u2", 2)]
+    assert {r.account_key for r in rows if r.account == "u1"} == {hashlib.sha256(b"u1").hexdigest()[:32]}
+    assert tables.data_path(spark, "cache", "x.json", "/var/c/") == "/var/c/x.json"
+    spark.conf.set("tessitura.path.cache", "/set")
+    assert tables.data_path(spark, "cache", "x.json", "/var/c/") == "/set/x.json"
+    monkeypatch.setenv("TESSITURA_CACHE", "/env")
+    assert tables.data_path(spark, "cache", "x.json", "/var/c/") == "/env/x.json"
+    spark.conf.unset("tessitura.path.cache")
+
+
+def test_rounding_follows_the_binary_value(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 1.115, -2.675, -0.125, 0.0, 1e9 + 0.125, 33.335, *[i * 0.005 for i in range(2000)], *[i / 8 for i in range(-50, 50)]]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", expr.round_2("x").alias("y"), expr.iso_utc(F.timestamp_micros(F.lit(1_704_067_199_000_001))).alias("t"), expr.play_id().alias("u")).collect()
+    assert [r.y for r in got] == [round(r.x, 2) for r in got]
+    assert got[0].t == "2023-12-31T23:59:59.000001+00:00" and len({r.u for r in got}) == len(got) and uuid.UUID(got[0].u).version == 4
