@@ -190,17 +190,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, broadcast_seeds: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and benchmark item it contains: ``doc_id, item_id, coverage, n_tiles, covered_words, item_words, first_word``.
 
     Clean documents have no row. Items of fewer than ``least`` words need all of them as one run;
     items without words match nothing; null texts are empty; null ids stay null; repeated rows give
-    repeated rows; empty tables give none; other columns are not read.
+    repeated rows; empty tables give none; other columns are not read. The benchmark travels with the
+    tasks if its texts have at most ``broadcast_bytes`` bytes; beyond that seeds are shuffled.
     """
     items = texts(benchmark, "item_id")
-    n_words = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = texts(docs)
-    if n_words <= broadcast_seeds:
+    if size <= broadcast_bytes:
         bench = Benchmark([(r["item_id"], r["text"]) for r in items.collect()], least, coverage)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +210,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
 
         return rows.mapInArrow(run, FOUND_DDL)
 
-    # Seeds of both sides meet in a shuffle; then each pair is tiled once.
+    # Seeds of both sides meet in a shuffle; then each pair is tiled once. Only lengths that the benchmark has are sent.
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-docs")
-    sizes = items.withColumn("row", F.monotonically_increasing_id())
-    sizes = staged(sizes, "decontamination-items")
+    sizes = staged(items.withColumn("row", F.monotonically_increasing_id()), "decontamination-items")
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 512):
+            found = {min(least, len(words_of(t))) for t in part.column(0).to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["size"])
+
+    used = sorted(r["size"] for r in sizes.select("text").mapInArrow(lengths, "size int").distinct().collect() if r["size"])
 
     def seeds(df: DataFrame, whole: bool) -> DataFrame:
         schema = pa.schema([("seed", pa.int64()), ("row", pa.int64())])
@@ -222,10 +229,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
                 found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     numbers = word_hashes(words_of(text))
-                    sizes = [min(least, len(numbers))] if whole else range(1, least + 1)
-                    for size in sizes:
-                        if size:
-                            h = np.unique(window_hashes(numbers, size))
+                    for n in [min(least, len(numbers))] if whole else used:
+                        if 0 < n <= len(numbers):
+                            h = np.unique(window_hashes(numbers, n))
                             found.append(h), of.append(np.full(len(h), row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of))], schema=schema)
 
@@ -246,5 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose key has no contaminated text, with all columns as they are."""
+    """The rows of ``docs`` whose key has no contaminated text, with all columns as they are.
+
+    Rows that share a key, null keys too, go together; null and empty texts are clean.
+    """
     return without(docs, contaminated(docs, benchmark, **options), ["doc_id"])

@@ -49,7 +49,7 @@ def test_no_tile_is_left():
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [8 << 20, 0])
 def test_contaminated_documents(spark, limit):
     w = ITEM.split()
     moved = " ".join(w[6:] + ["and", "then"] + w[:6])
@@ -57,7 +57,7 @@ def test_contaminated_documents(spark, limit):
     bench = [(10, ITEM), (11, "one two"), (12, ""), (13, None), (14, "nothing like this in any of the documents"), (None, ITEM)]
     d = spark.createDataFrame([(k, t, 0) for k, t in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    got = sorted((str(r.doc_id), str(r.item_id), r.coverage, r.n_tiles) for r in contaminated(d, b, broadcast_seeds=limit).collect())
+    got = sorted((str(r.doc_id), str(r.item_id), r.coverage, r.n_tiles) for r in contaminated(d, b, broadcast_bytes=limit).collect())
     both = [(k, i, 1.0, n) for k, n in (("1", 1), ("2", 2), ("6", 1), ("None", 1)) for i in ("10", "None")]
     assert got == sorted(both + [("7", "11", 1.0, 1)] * 2)
     kept = drop_contaminated(d, b)
@@ -71,3 +71,33 @@ def test_every_verbatim_item_of_the_small_table_is_found(spark):
     found = {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()}
     verbatim = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if " ".join(words_of(i.text)) in " ".join(words_of(d.text))}
     assert verbatim and verbatim <= found and len(found) <= len(verbatim) + 2
+
+
+def test_whole_result_is_that_of_plain_tiling(spark):
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(5)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for n, (_, text) in enumerate(items * 2):  # cut in pieces that change places, some of them lost, repeated or too short
+        w = words_of(text)
+        cuts = sorted({0, len(w), *(rng.randrange(len(w)) for _ in range(rng.randrange(6)))})
+        parts = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(parts)
+        docs.append((10_000 + n, " Zz ".join(" ".join(p) for p in parts + parts[:1] if rng.random() < 0.9)))
+    want = {}
+    for key, text in docs:
+        words = words_of(text or "")
+        for item, passage in items:
+            other = words_of(passage)
+            least = min(5, len(other))
+            grams = {tuple(other[i : i + least]) for i in range(len(other) - least + 1)}
+            if least and any(tuple(words[i : i + least]) in grams for i in range(len(words) - least + 1)):
+                covered = sum(plain_tiles(other, words, least))
+                if covered / len(other) >= 0.8:
+                    want[key, item] = covered / len(other)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (8 << 20, 0):
+        got = {(r.doc_id, r.item_id): r.coverage for r in contaminated(d, b, broadcast_bytes=limit).collect()}
+        assert len(want) > 20 and got.keys() == want.keys()
+        assert sum(abs(got[x] - want[x]) > 1e-9 for x in want) <= len(want) / 20  # equally long runs may be taken in another order
