@@ -105,6 +105,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     bounded = keepers.count() <= broadcast_rows
     text_of = staged(seen.join(F.broadcast(keepers) if bounded else keepers, "digest"), "dedup-texts")
     first = text_of.where(F.col("at").eqNullSafe(F.col("keep_at")) & F.col("id").eqNullSafe(F.col("keeper_id"))).groupBy("digest").agg(F.max("body").alias("keep_body"))
+    first = staged(first, "dedup-keepers")  # apart from the join, whose other side may then be split where a text is hot
     checked = text_of.join(first, "digest").where(F.col("body") != F.col("keep_body")).select("digest")
     different = staged(checked, "dedup-different").distinct()  # apart from the join, which may then be split where a text is hot
 
