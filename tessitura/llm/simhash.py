@@ -219,8 +219,9 @@ def simhash_components(docs: DataFrame, words: int = 4, most: int = 4, k: int =
     distinct = staged(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("node", *names), most)).withColumnRenamed("node", "at")
     rooted = distinct.join(roots, distinct.node == roots["at"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(least, "root").select("node", "component_id").distinct()
+    rooted = staged(rooted, "fingerprints-of-trees")
+    least = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")  # apart from the join, which may then be split
+    of_print = staged(rooted.join(least, "root").select("node", "component_id").distinct(), "components-of-fingerprints")
     return prints.join(of_print, "node").select("doc_id", F.col("fp0").alias("fp"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
