@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local
-    temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only on a local master, where that is unset, as in
+    tests, a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     context = spark.sparkContext
@@ -31,7 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession._jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans that are gone
+    df.sparkSession._jvm.System.gc()  # a hint: Spark's cleaner drops shuffle files once the driver has collected their plans
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +75,7 @@ def arrow_map(schema: pa.Schema, each: Callable[[pa.RecordBatch], dict], rows: i
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows whose ``keys`` are in ``dropped`` (null equals null); all columns stay as they are.
 
-    The dropped keys are broadcast if they are at most ``broadcast_rows``, else both sides are shuffled.
+    The dropped keys, of fixed or short width, are broadcast if they are at most ``broadcast_rows``, else both sides are shuffled.
     """
     gone = staged(dropped.select(*(F.col(k).alias(f"__gone_{k}") for k in keys)).distinct(), "dropped")
     if gone.count() <= broadcast_rows:
