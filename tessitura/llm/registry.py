@@ -11,7 +11,7 @@ from .common import sha256, shared_dir
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
-from .packing import pack_documents
+from .packing import pack_conversations, pack_documents
 from .secrets import secret_scan
 from .shards import sharded
 from .simhash import simhash_components
@@ -49,6 +49,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).drop("loss_tokens")
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing with all three limits apart: the turns of conversations, of which the assistant's bear loss."""
+    return pack_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharded(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
     text = F.coalesce("text", F.lit(""))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "instruction_packing": instruction_packing,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,

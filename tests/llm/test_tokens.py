@@ -128,3 +128,61 @@ def test_packer_handles_nothing_and_empty_texts(spark):
     rows = pack_documents(rows_of(spark, ["", None, ""])).collect()
     assert sorted(r.doc_id for r in rows) == [0, 1, 2] and {r.length for r in rows} == {1}
     assert pack_documents(rows_of(spark, [""]).limit(0)).count() == 0
+
+
+def plain_packing(sizes, limits, pool, smallest_cut):
+    """Rows (example, start, length, sequence, offset) of the same rule in plain loops, without arrays."""
+    rows, waiting, state = [], [], {"next": 1, "sequence": 0, "offset": 0, "free": list(limits)}
+
+    def put(item, n):
+        rows.append((item[0], item[1], n, state["sequence"], state["offset"]))
+        state["offset"] += n
+        state["free"] = [state["free"][0] - n, state["free"][1] - 1, state["free"][2] - n]
+
+    def close():
+        if state["offset"]:
+            state.update(sequence=state["next"], next=state["next"] + 1, offset=0, free=list(limits))
+
+    def place(keep):
+        while len(waiting) > keep:
+            free = state["free"]
+            fitting = [x for x in waiting if x[2] <= free[0] and 1 <= free[1] and x[2] <= free[2]]
+            if fitting:
+                value = lambda x: sum(a * b / c**2 for a, b, c in zip((x[2], 1, x[2]), free, limits))
+                best = max(value(x) for x in fitting)
+                item = next(x for x in fitting if abs(value(x) - best) < 1e-12)
+                put(item, item[2])
+                waiting.remove(item)
+            else:
+                item = max(waiting, key=lambda x: x[2])
+                n = int(min(item[2], free[0], free[2])) if free[1] >= 1 else 0
+                if n and (n >= smallest_cut or not state["offset"] or n == free[0]):
+                    at = waiting.index(item)
+                    put(item, n)
+                    waiting[at] = (item[0], item[1] + n, item[2] - n)
+                else:
+                    close()
+            if state["free"][0] < 1 or state["free"][1] < 1:
+                close()
+
+    for key, n in enumerate(sizes):
+        start = 0
+        while n - start > limits[0]:
+            rows.append((key, start, limits[0], state["next"], 0))
+            state["next"] += 1
+            start += limits[0]
+        waiting.append((key, start, n - start))
+        if len(waiting) >= 2 * pool:
+            place(pool)
+    place(0)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packer_places_what_a_plain_loop_places(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, rng.randrange(1, 20), rng.randrange(1, 150)]) for _ in range(120)]
+    limits = (64, rng.choice([3, 8, 100]), 64)
+    packer = Packer(limits, 16, 0, 5)
+    got = [row for key, n in enumerate(sizes) for row in packer.add(key, bytes(4 * n))] + list(packer.finish())
+    assert [(r[0], r[1], r[2], r[5], r[6]) for r in got] == plain_packing(sizes, limits, 16, 5)
