@@ -83,3 +83,20 @@ def test_anchors_depend_on_the_window_alone():
     a, ha = at.of(inner)
     b, hb = at.of(np.r_[rng.integers(97, 100, 57).astype(np.uint8), inner])
     assert (b[57:] - 57 == a).all() and (hb[57:] == ha).all()
+
+
+def test_repeats_across_the_border_of_a_stretch(spark):
+    """Texts are read in stretches of 1 MB; a repeat may lie over a border, in this or in another document."""
+    import hashlib
+    import random
+
+    rng = random.Random(9)
+    letters = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n)).decode()
+    passage, border = letters(300), 1 << 20
+    first = letters(border - 150) + passage + letters(50_000)
+    second = letters(1000) + passage + letters(border - 1450) + passage + letters(2000)
+    docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed, len(got[2].spans)) == (0, 600, 2)
+    kept = second.replace(passage, "").encode()
+    assert hashlib.sha256(bytes(got[2].kept)).digest() == hashlib.sha256(kept).digest()
