@@ -291,7 +291,10 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns if c.type == pa.int64()], axis=1)
+        if batch.schema.field(batch.num_columns - 1).type == pa.binary():
+            maps = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int64)
+            new = np.concatenate([new, maps.reshape(len(new), -1)], axis=1)
         cut = int(np.searchsorted(new[:, 0], new[-1, 0]))
         if held and (cut or held[-1][-1, 0] != new[0, 0]) and sum(map(len, held)) + cut >= rows:
             yield np.concatenate([*held, new[:cut]])
@@ -323,7 +326,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(least: float, most: int, rounds: int = 16):
-    """Per run, pairs of its first row and the rows like it, then the same for the rows left over."""
+    """Per run, pairs of its first row and the rows like it in other trees, then the same for the rows left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_runs(batches):
@@ -334,27 +337,53 @@ def _stars(least: float, most: int, rounds: int = 16):
                 first = np.append(True, rows[left[1:], 0] != rows[left[:-1], 0])
                 leader, others = left[first][np.cumsum(first) - 1][~first], left[~first]
                 ok = _alike(rows, leader, others, least, most)
-                yield _pairs(rows[leader[ok], 1], rows[others[ok], 1])
+                apart = ok & (rows[leader, 5] != rows[others, 5])
+                yield _pairs(rows[leader[apart], 1], rows[others[apart], 1])
                 left = others[~ok]
 
     return run
 
 
-def _between_trees(least: float, most: int):
-    """All pairs of rows (key, node, n, fp0, fp1, tree) of a run that stand in different trees and may be alike."""
+def bitmaps(rows: DataFrame, words: int, bits: int = 4096) -> DataFrame:
+    """``node, n, marked, bitmap``: the number of a set's shingles, of the bits they mark, and the bits."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("marked", pa.int64()), ("bitmap", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
-            first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-            several = np.minimum.reduceat(rows[:, 5], first) != np.maximum.reduceat(rows[:, 5], first)
-            rows = rows[np.repeat(several, np.diff(np.append(first, len(rows))))]
+        for part in slices(batches, 256):
+            nodes, sizes, marked, maps = part.column(0).to_pylist(), [], [], []
+            for text in part.column(1).to_pylist():
+                shingles = shingle_set(text, words)
+                at = np.unique(np.frombuffer(_digests(shingles), "<u8")[::2] % np.uint64(bits)).astype(np.int64)
+                flags = np.zeros(bits, np.uint8)
+                flags[at] = 1
+                sizes.append(len(shingles)), marked.append(len(at)), maps.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((nodes, sizes, marked, maps), schema, strict=True)], schema=schema)
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, marked long, bitmap binary")
+
+
+def _between_trees(least: float):
+    """All pairs of rows (key, node, n, marked, tree, bitmap) of a run that stand in different trees and can reach the similarity ``least``.
+
+    Common shingles mark common bits, and at most ``n - marked`` of a set's shingles share a bit with another of
+    them, so two sets have at most (common bits + the lesser of both ``n - marked``) shingles in common: no
+    pair that reaches ``least`` is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches, 1 << 13):
+            size, spare, maps = rows[:, 2], rows[:, 2] - rows[:, 3], rows[:, 5:].view(np.uint64)
             at, step = np.arange(len(rows)), 0
             while len(at):
                 step += 1
                 at = at[at + step < len(rows)]
                 at = at[rows[at + step, 0] == rows[at, 0]]
-                apart = at[rows[at, 5] != rows[at + step, 5]]
-                near = apart[_alike(rows, apart, apart + step, least, most)]
+                apart = at[rows[at, 4] != rows[at + step, 4]]
+                n, m = size[apart], size[apart + step]
+                apart, total = apart[close := np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9], (n + m)[close]
+                common = np.bitwise_count(maps[apart] & maps[apart + step]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(common + np.minimum(spare[apart], spare[apart + step]), total)
+                near = apart[most * (1 + least) >= least * total - 1e-6]
                 if len(near):
                     yield _pairs(rows[near, 1], rows[near + step, 1])
 
@@ -383,25 +412,43 @@ def jaccard_links(pairs: DataFrame, rows: DataFrame, words: int, least: float, b
     return links
 
 
-def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most: int = 48) -> DataFrame:
+def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most: int = 44, leaders: int = 4, stars: int = 2) -> DataFrame:
     """``node, root`` of the nodes of ``rows(node, text)`` that have a row of similarity ``least`` or more.
 
-    Of each run of an equal prefix shingle, first stars are verified; then all pairs between trees that
-    these left apart. Pairs with over ``most`` of 128 differing bits are not verified: at a similarity of
-    0.8 about 20 bits differ, give or take 4.5, at 0 about 64.
+    Of each run of an equal prefix shingle, first stars are verified, ``stars`` times: the runs of a group have up
+    to ``leaders`` centres, others each time, and only pairs of different trees with at most ``most`` of 128
+    differing bits count, so a large group of copies grows together after a few pairs a row. Then all pairs
+    between the trees that are left apart are verified, but for those that an exact bound rules out.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = prefixes(rows, words, least).repartition(n, "key").sortWithinPartitions("key")
     shared = staged(index.mapInArrow(_shared, "key long, node long, n long, fp0 long, fp1 long"), "shared-prefixes")
-    sort = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "node")
-    stars = staged(sort(shared).mapInArrow(_stars(least, most), "a long, b long").distinct(), "star-pairs")
-    links = jaccard_links(stars, rows, words, least)
-    trees = components(links).withColumnRenamed("node", "at")
-    of_trees = staged(shared.join(trees, shared.node == trees["at"], "left").select("key", "node", "n", "fp0", "fp1", F.coalesce("root", "node").alias("tree")), "prefixes-of-trees")
-    rest = sort(of_trees).mapInArrow(_between_trees(least, most), "a long, b long").distinct()
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "other-pairs")
-    release(shared, of_trees)
-    return components(links.unionByName(jaccard_links(rest, rows, words, least)))
+    of_trees = shared.withColumn("tree", F.col("node"))
+    links = done = trees = None
+    for turn in range(stars + 1):
+        if turn < stars:
+            centre = F.xxhash64("node", F.pmod("key", F.lit(leaders)), F.lit(turn))
+            dealt = of_trees.repartition(n, "key").sortWithinPartitions(F.col("key"), centre, F.col("node")).mapInArrow(_stars(least, most), "a long, b long")
+        else:
+            several = of_trees.groupBy("key").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high").select("key")
+            left = staged(of_trees.join(several, "key", "left_semi").select("key", "node", "tree"), "keys-of-several-trees")
+            some = left.select(F.col("node").alias("at")).distinct()
+            maps = staged(bitmaps(rows.join(some, rows.node == F.col("at"), "left_semi"), words), "bitmaps")
+            wide = left.join(maps, "node").select("key", "node", "n", "marked", "tree", "bitmap")
+            dealt = wide.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_between_trees(least), "a long, b long")
+        pairs = dealt.distinct() if done is None else dealt.distinct().join(done, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "candidate-pairs")
+        if pairs.isEmpty():
+            continue
+        new = jaccard_links(pairs, rows, words, least)
+        done = pairs if done is None else staged(done.unionByName(pairs), "verified-pairs")
+        links = new if links is None else staged(links.unionByName(new), "links-so-far")
+        trees = staged(components(links), "trees")
+        at = trees.select(F.col("node").alias("at"), "root")
+        if turn < stars:
+            of_trees = staged(shared.join(at, shared.node == F.col("at"), "left").select("key", "node", "n", "fp0", "fp1", F.coalesce("root", "node").alias("tree")), "prefixes-of-trees")
+    release(shared)
+    return rows.select("node", F.col("node").alias("root")).limit(0) if trees is None else trees
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
