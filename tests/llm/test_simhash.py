@@ -169,3 +169,26 @@ def test_null_and_repeated_keys_stand_for_no_other_row(spark):
     rows = [(1, body[0], "a"), (None, body[0] + " x", "b"), (None, body[1], "c"), (None, body[2], "d"), (None, body[2] + " x", "e"), (7, body[0] + " y", "f"), (7, body[3], "g"), (9, body[3] + " x", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tag string").coalesce(1)
     assert {r.tag for r in drop_near_duplicates(df).collect()} == {"a", "c", "d", "g"}
+
+
+@pytest.mark.parametrize("size", [3, 40, 900])
+def test_the_bound_on_bitmaps_leaves_no_similar_pair_out(size):
+    """Sets of about ``size`` shingles around the similarity: every pair at 0.8 or more goes on, and few of those far below."""
+    import pyarrow as pa
+
+    from tessitura.llm.simhash import _between_trees
+
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 2**62, size)
+    sets = [set(np.where(rng.random(size) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 2**62, size), base).tolist()) for _ in range(80)]
+    maps = []
+    for s in sets:
+        flags = np.zeros(4096, np.uint8)
+        flags[[x % 4096 for x in s]] = 1
+        maps.append((int(flags.sum()), np.packbits(flags).tobytes()))
+    numbers = [pa.array(x, pa.int64()) for x in ([7] * 80, range(80), map(len, sets), (m for m, _ in maps), range(80))]
+    batch = pa.RecordBatch.from_arrays([*numbers, pa.array([b for _, b in maps], pa.binary())], names=["key", "node", "n", "marked", "tree", "bitmap"])
+    found = {(a, b) for part in _between_trees(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in part.columns))}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(80) for j in range(i)}
+    assert {p for p, x in alike.items() if x >= 0.8} <= found
+    assert size != 40 or not [p for p in found if alike[p] < 0.65]
