@@ -2,8 +2,8 @@
 
 Fitting uses a bounded sample of labelled rows (``per_class`` of each label, the first by a hash of
 their keys). All of them are examples, with all their terms. A term's weight in a text is
-``(1 + log tf) * idf * chi2``: document frequencies are counted over the whole corpus, and chi2 is
-the chi-square of term and label in the sample, so that terms count by how much they depend on the
+``(1 + log tf) * idf * (chi2 + 0.01)``: document frequencies are counted over the whole corpus, and chi2
+is the chi-square of term and label in the sample, so that terms count by how much they depend on the
 label (the plain cosine finds texts of a topic, not of a tone); no term is left out.
 
 The examples form an inverted index cut into blocks: each term has its postings and its largest
@@ -242,13 +242,18 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
 
 
 def chi_square(with_0: np.ndarray, with_1: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """Chi-square of term and label from the numbers of examples of each label that have the term."""
-    a, b = with_1.astype(float), with_0.astype(float)
-    return (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n0 + n1 - a - b) * n0 * n1, 1)
+    """Chi-square, corrected for continuity, of term and label from the numbers of examples of each label that have the term."""
+    a, b, n = with_1.astype(float), with_0.astype(float), n0 + n1
+    apart = np.maximum(np.abs(a * (n0 - b) - b * (n1 - a)) - n / 2, 0)
+    return n * apart**2 / np.maximum((a + b) * (n - a - b) * n0 * n1, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1024, k: int = 15) -> Model | None:
-    """The model from at most ``per_class`` labelled rows of each label; None without both labels or without terms that depend on them."""
+    """The model from at most ``per_class`` labelled rows of each label; None without both labels or without terms that depend on them.
+
+    Among so many terms some seem to depend on the label by chance: nothing is learnt unless a term's
+    chi-square is over ``2 * log(terms)``, as in samples of a few toxic rows.
+    """
     sample, counts = _sample(labels, per_class)
     body = texts(docs).join(F.broadcast(sample), "doc_id")  # at most 2 x per_class keys
     # Copies say nothing new about a term: of equal texts with equal labels, one stays in the sample.
@@ -264,8 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1024, k: int = 15)
     toxic = np.array([y for _, y, _ in found])[example] == 1
     chi2 = chi_square(np.bincount(term[~toxic], minlength=len(at)), np.bincount(term[toxic], minlength=len(at)), got[0], got[1])
     rows, df = document_frequencies(docs, list(at))
-    weight = np.log((1 + rows) / (1 + df)) * chi2
-    if not weight.any():  # nothing in the texts depends on the label
+    weight = np.log((1 + rows) / (1 + df)) * (chi2 + 0.01)  # no term is left out
+    if not weight.any() or chi2.max() <= 2 * np.log(len(at)):  # nothing in the texts depends on the label
         return None
     return Model(at, weight, [(key, y) for key, y, _ in found], (example, term, count), (counts[0] / got[0], counts[1] / got[1]), k)
 
