@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,25 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"__gone_{k}"))
     return docs.join(gone, condition, "left_anti")
+
+
+def small(table: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """``table`` (written before) with a hint to broadcast it if its files hold at most ``most`` bytes, else as it is."""
+    spark = table.sparkSession
+    path = lambda f: spark._jvm.org.apache.hadoop.fs.Path(f)
+    size = 0
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        size += path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path(folder)).getLength()
+    return F.broadcast(table) if size <= most else table
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``number``, their place by ``key`` from 0, without bringing them into one task.
+
+    Rows are dealt by ranges; a range's rows are numbered in a window of their own, after those of the ranges before it.
+    """
+    dealt = staged(rows.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))  # a row per partition
+    before = counts.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn("number", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sha256, shared_dir
+from .clustering import clustered, clustering_sql
 from .decontamination import contaminated
+from .divergence import DIVERGENCE_SQL, audited
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
+from .mixing import mixed, mixing_sql
 from .packing import pack_conversations, pack_documents
 from .secrets import secret_scan
 from .shards import sharded
@@ -72,6 +75,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,9 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op11_clustering": op11_clustering,
+    "op12_mixing": op12_mixing,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = {
+    "op11_clustering": clustering_sql(),
+    "op12_mixing": mixing_sql(),
+    "op13_divergence": DIVERGENCE_SQL,
     "op7_sharding": """
         SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
