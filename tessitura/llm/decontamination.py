@@ -190,6 +190,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
 
+def _carried(items: DataFrame, least: int, coverage: float, most_bytes: int) -> Benchmark | None:
+    """The benchmark as one object if its texts have at most ``most_bytes`` bytes."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_bytes:
+        return None
+    return Benchmark([(r["item_id"], r["text"]) for r in items.collect()], least, coverage)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and benchmark item it contains: ``doc_id, item_id, coverage, n_tiles, covered_words, item_words, first_word``.
 
@@ -199,10 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
     tasks if its texts have at most ``broadcast_bytes`` bytes; beyond that seeds are shuffled.
     """
     items = texts(benchmark, "item_id")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = texts(docs)
-    if size <= broadcast_bytes:
-        bench = Benchmark([(r["item_id"], r["text"]) for r in items.collect()], least, coverage)
+    if bench := _carried(items, least, coverage, broadcast_bytes):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, 512):
@@ -251,9 +256,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
     return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(tile, FOUND_DDL)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose key has no contaminated text, with all columns as they are.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` whose own text is clean, with all columns as they are.
 
-    Rows that share a key, null keys too, go together; null and empty texts are clean.
+    Each row stands for itself, whatever its key: a clean row beside a leak under the same or a null key stays.
+    Null and empty texts are clean, repeated rows are judged alike, an empty table of either side drops nothing,
+    and long texts are read whole. A benchmark that travels with the tasks makes this a filter without a shuffle;
+    a larger one numbers the rows in a table of the shared folder and leaves out the numbers found.
     """
-    return without(docs, contaminated(docs, benchmark, **options), ["doc_id"])
+    if bench := _carried(texts(benchmark, "item_id"), least, coverage, broadcast_bytes):
+
+        @F.arrow_udf("boolean")
+        def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for part in parts:
+                yield pa.array([not bench.check(0, text.as_py() or "") for text in part], pa.bool_())
+
+        return docs.where(clean(F.coalesce("text", F.lit(""))))
+    number = "__number"
+    while number in docs.columns:
+        number += "_"
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "decontamination-rows")
+    found = contaminated(rows.select(F.col(number).alias("doc_id"), "text"), benchmark, least, coverage, broadcast_bytes)
+    return without(rows, found.select(F.col("doc_id").alias(number)), [number]).drop(number)

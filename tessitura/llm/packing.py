@@ -137,9 +137,11 @@ def packed(df: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple]], l
     return df.mapInArrow(run, PIECES_DDL)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tokens: int = 2048, segments: int = 256, loss_tokens: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tokens: int = 2048, segments: int | None = None, loss_tokens: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents, placed in sequences of at most ``tokens`` tokens; every token bears loss.
 
+    Without a limit of ``segments`` a sequence may hold as many pieces as tokens, so short texts fill it too.
+
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     loss_tokens``. A null or empty text is one token, the end id. Null keys stay null; repeated
     rows are packed each on its own; an empty table gives no rows; other columns are not read.
@@ -150,13 +152,15 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
         for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, 100_000).encode(batch.column(1).to_pylist(), 1 << 21), strict=True):
             yield k, ids + end, None
 
-    return packed(texts(docs, key, text).withColumnRenamed(key, "doc_id"), ids_of, (tokens, segments, loss_tokens or tokens))
+    return packed(texts(docs, key, text).withColumnRenamed(key, "doc_id"), ids_of, (tokens, segments or tokens, loss_tokens or tokens))
 
 
 def pack_conversations(turns: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, limits: tuple[int, int, int] = (2048, 64, 1024), loss_role: str = "assistant") -> DataFrame:
     """Instruction data: one example per turn of ``(conv_id, turn, role, text)``; tokens of ``loss_role`` bear loss.
 
-    ``doc_id`` of the result is ``conv_id``. Nulls: a null text is empty, a null role bears no loss.
+    ``doc_id`` of the result is ``conv_id``. A null or empty text is one token, the end id; a null role bears no
+    loss. A turn over a limit is cut into pieces; repeated rows are packed each on its own; an empty table gives no
+    rows; other columns are not read.
     """
     from pyspark.sql import functions as F
 

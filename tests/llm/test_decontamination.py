@@ -60,11 +60,21 @@ def test_contaminated_documents(spark, limit):
     got = sorted((str(r.doc_id), str(r.item_id), r.coverage, r.n_tiles) for r in contaminated(d, b, broadcast_bytes=limit).collect())
     both = [(k, i, 1.0, n) for k, n in (("1", 1), ("2", 2), ("6", 1), ("None", 1)) for i in ("10", "None")]
     assert got == sorted(both + [("7", "11", 1.0, 1)] * 2)
-    kept = drop_contaminated(d, b)
+    kept = drop_contaminated(d, b, broadcast_bytes=limit)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_clean_rows_stay_beside_leaks_of_their_key(spark, limit):
+    rows = [(None, ITEM, 1, "f"), (None, "clean", 2, "f"), (7, ITEM, 3, "f"), (7, "clean too", 4, "f"), (8, None, 5, "f"), (8, None, 5, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __number int, __file string")
+    kept = drop_contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"), broadcast_bytes=limit)
+    assert kept.columns == docs.columns and sorted((r["__number"] for r in kept.collect())) == [2, 4, 5, 5]
+    assert drop_contaminated(docs.limit(0), spark.createDataFrame([(1, ITEM)], "item_id long, text string"), broadcast_bytes=limit).count() == 0
+    assert drop_contaminated(docs, spark.createDataFrame([], "item_id long, text string"), broadcast_bytes=limit).count() == 6
+
+
 def test_every_verbatim_item_of_the_small_table_is_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")

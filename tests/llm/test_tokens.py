@@ -130,6 +130,12 @@ def test_packer_handles_nothing_and_empty_texts(spark):
     assert pack_documents(rows_of(spark, [""]).limit(0)).count() == 0
 
 
+def test_short_texts_fill_their_sequences(spark):
+    rows = pack_documents(rows_of(spark, ["ab cd"] * 20_000).coalesce(1)).collect()
+    tokens, last = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert len(rows) >= 20_000 and tokens > 0.98 * 2048 * (last - 1)
+
+
 def plain_packing(sizes, limits, pool, smallest_cut):
     """Rows (example, start, length, sequence, offset) of the same rule in plain loops, without arrays."""
     rows, waiting, state = [], [], {"next": 1, "sequence": 0, "offset": 0, "free": list(limits)}
