@@ -115,13 +115,13 @@ def play_sessions(signals: DataFrame) -> DataFrame:
 def accepted_events(events: DataFrame, acks: DataFrame, held: int = 64) -> DataFrame:
     """Player events (session, n, entry, name) as a session sees them once its entry is acknowledged (session, entry, n).
 
-    Events before the acknowledgement are held, the last ``held`` of them, and replayed then; events
-    of another entry are dropped.
+    Events before the acknowledgement are held, the last ``held`` of them whatever their entry, and replayed then;
+    events of another entry are dropped.
     """
-    rows = events.join(acks.select("session", F.col("entry").alias("own"), F.col("n").alias("ack")), "session").where("entry = own")
+    rows = events.join(acks.select("session", F.col("entry").alias("own"), F.col("n").alias("ack")), "session")
     early = F.col("n") < F.col("ack")
     order = Window.partitionBy("session", early).orderBy(F.desc("n"))
-    return rows.withColumn("__n", F.row_number().over(order)).where(~early | (F.col("__n") <= held)).select("session", "n", "entry", "name", early.alias("replayed"))
+    return rows.withColumn("__n", F.row_number().over(order)).where((F.col("entry") == F.col("own")) & (~early | (F.col("__n") <= held))).select("session", "n", "entry", "name", early.alias("replayed"))
 
 
 def seed_list(actions: DataFrame, most: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from tessitura.plans.sql import SQL  # noqa: F401
 from tessitura.sources import tables
 from tessitura.sources.shared import shared_path
 from tessitura.sources.tables import table
-from tessitura.streaming import radio
+from tessitura.streaming import arrivals, ordered, radio
 
 NOW, SEED, BALANCE = "2024-01-31 00:00:00", 42, 0.4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,6 +622,78 @@ def _stream(spark, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
 
 
+def _arriving(spark, rows: DataFrame, name: str, files: int = 2) -> tuple[DataFrame, str]:
+    """A stream that brings ``rows`` in micro-batches by ``__slice`` (0, 1, ...)."""
+    folder, plain = shared_path(spark, name), rows.drop("__slice")
+    for n in range(rows.agg(F.max("__slice")).first()[0] + 1):
+        rows.where(F.col("__slice") == n).drop("__slice").repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
+
+
+def _late(e: DataFrame, heartbeat: str, *columns) -> DataFrame:
+    """Events (account, at, event_id, ...) in three slices of ten days, some up to six hours late, and a heartbeat without an account in a fourth."""
+    late = F.unix_timestamp("at") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("event_id") % 7 * 3600
+    rows = e.select("account", "at", "event_id", *columns, F.least(F.floor(late / 864_000), F.lit(2)).cast("int").alias("__slice"))
+    beat = e.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("at", "__slice")), F.lit(heartbeat).cast("timestamp").alias("at"), F.lit(3).alias("__slice"))
+    return rows.unionByName(beat)
+
+
+@query
+def listening_time_stream(spark, sf):
+    e = tables.listening_events(spark, sf)
+    stream, folder = _arriving(spark, _late(e, "2025-01-01", F.col("event_type").isin("view", "click").alias("playing")), "listening-time")
+    found = radio.drain(ordered.listening_increments(stream, 43_200.0), f"{folder}/out", f"{folder}/checkpoint", [])
+    return found.groupBy("account").agg(F.sum("milliseconds").alias("milliseconds"), F.sum("intervals").alias("intervals"))
+
+
+@query
+def play_sessions_stream(spark, sf):
+    signal = F.when(F.col("event_type").isin("view", "purchase"), "started").when(F.col("event_type") == "click", "finished").when(F.col("event_type") == "error", "error").otherwise("stop")
+    stream, folder = _arriving(spark, _late(tables.listening_events(spark, sf), "2025-01-01", signal.alias("signal")), "play-sessions")
+    return radio.drain(ordered.session_records(stream), f"{folder}/out", f"{folder}/checkpoint", [])
+
+
+@query
+def retention_stream(spark, sf):
+    """What is remembered of each account, two days and four events at most, at noon of the last day."""
+    stream, folder = _arriving(spark, _late(tables.listening_events(spark, sf), "2024-02-01 12:00:00", "play"), "retention")
+    found = radio.drain(ordered.remembered(stream, 2, 4), f"{folder}/out", f"{folder}/checkpoint", [])
+    return found.groupBy("account").agg(F.max_by(F.struct("kept", "oldest_us"), "as_of_us").alias("last")).select("account", "last.kept", "last.oldest_us")
+
+
+@query
+def stale_results_stream(spark, sf):
+    e = tables.listening_events(spark, sf)
+    third = (e.agg(F.max("event_id")).first()[0] or 0) * 2 // 3 + 1
+    key, k = F.col("account").cast("string"), F.col("id").cast("int")
+    requests = e.select(key.alias("key"), (F.col("event_id") * 2).alias("seq"), F.col("event_id").alias("version"), F.lit(None).cast("long").alias("id"))
+    results = e.select(key.alias("key"), (F.col("event_id") * 2 + 1 + k * 37 % 400).alias("seq"), F.col("event_id").alias("version"), F.col("event_id").alias("id"))
+    stream, folder = _arriving(spark, requests.unionByName(results).withColumn("__slice", F.floor(F.col("seq") / third).cast("int")), "stale-results")
+    found = arrivals.judged_results(stream.where("id IS NOT NULL"), stream.where("id IS NULL").drop("id"))
+    return radio.drain(found, f"{folder}/out", f"{folder}/checkpoint", [])
+
+
+@query
+def accepted_events_stream(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    events = li.select(F.col("l_orderkey").alias("session"), n.cast("long").alias("seq"), (F.col("l_partkey") % 2).alias("entry"), F.lit("e").alias("name"))
+    rows = events.unionByName(events.where("seq = 3").withColumn("name", F.lit("ack")))
+    stream, folder = _arriving(spark, rows.withColumn("__slice", F.when(F.col("seq") <= 2, 0).when(F.col("seq") <= 4, 1).otherwise(2)), "accepted-events")
+    found = arrivals.accepted(stream.where("name = 'e'"), stream.where("name = 'ack'").drop("name"), 1)
+    return radio.drain(found, f"{folder}/out", f"{folder}/checkpoint", []).select("session", F.col("seq").cast("int").alias("n"), "entry", "replayed")
+
+
+@query
+def batch_counters_stream(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("station"), F.col("o_orderkey").alias("batch"), "o_orderstatus")
+    received = o.select("station", "batch", F.lit(False).alias("played"), (F.col("batch") % 3).cast("int").alias("__slice"))
+    played = o.where("o_orderstatus = 'F'").select("station", "batch", F.lit(True).alias("played"), (F.col("batch") * 7 % 3).cast("int").alias("__slice"))
+    stream, folder = _arriving(spark, received.unionByName(played).unionByName(received.withColumn("__slice", F.lit(2))), "batch-counters")
+    radio.run_out(arrivals.batch_counts(stream), radio.maxima_sink(f"{folder}/counters", ["station"], ["received", "played"]), f"{folder}/checkpoint", "update")
+    return radio.maxima(spark, f"{folder}/counters", "station string, received long, played long")
+
+
 @query
 def wave_dedup_stream(spark, sf):
     e = tables.listening_events(spark, sf)

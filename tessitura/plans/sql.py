@@ -346,11 +346,26 @@ SQL = {
     "event_dedup_stream": f"WITH {LISTENED} SELECT DISTINCT account, id || '-' || (event_id // 40) AS play FROM listened",
     "stale_results": f"""WITH {LISTENED}, r AS (SELECT account || ':' || event_type AS key, event_id // 100 AS version, event_id FROM listened) SELECT * FROM r QUALIFY version = max(version) OVER (PARTITION BY key)""",
     "accepted_events": """WITH r AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 2 AS entry FROM lineitem),
-        a AS (SELECT session, entry AS own, n AS ack FROM r WHERE n = 3), j AS (SELECT *, n < ack AS early FROM r JOIN a USING (session) WHERE entry = own)
-        SELECT session, n, entry, early AS replayed FROM j QUALIFY NOT early OR row_number() OVER (PARTITION BY session, early ORDER BY n DESC) <= 1""",
+        a AS (SELECT session, entry AS own, n AS ack FROM r WHERE n = 3),
+        j AS (SELECT *, n < ack AS early, row_number() OVER (PARTITION BY session, n < ack ORDER BY n DESC) AS k FROM r JOIN a USING (session))
+        SELECT session, n, entry, early AS replayed FROM j WHERE entry = own AND (NOT early OR k <= 1)""",
     "seed_list": f"""WITH {LISTENED}, g AS (SELECT account, id, max(event_id) AS seq FROM listened WHERE event_type = 'signup' GROUP BY ALL),
         l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq DESC, id) <= 10)
         SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY seq, id DESC) - 1 AS pos FROM l""",
     "play_reports": f"""WITH {TRACKS}, {LISTENED}, j AS (SELECT l.id, CASE WHEN CAST(t.id AS INTEGER) % 3 <> 0 THEN t.album_id END AS album_id, t.duration, l.seconds FROM listened l JOIN tracks t ON l.id = t.id)
         SELECT id, CAST(round(duration) AS BIGINT) AS length, coalesce(album_id, '') <> '' AND seconds > 0 AS accepted, count(*) AS n FROM j GROUP BY ALL""",
+    "play_sessions_stream": f"""WITH {LISTENED}, s AS (SELECT account, tm, event_id, CASE WHEN event_type IN ('view', 'purchase') THEN 'started' WHEN event_type = 'click' THEN 'finished' WHEN event_type = 'error' THEN 'error' ELSE 'stop' END AS signal FROM listened),
+        n AS (SELECT *, lead(tm) OVER w AS next_at, lead(signal) OVER w AS next_signal FROM s WINDOW w AS (PARTITION BY account ORDER BY tm, event_id))
+        SELECT account, row_number() OVER (PARTITION BY account ORDER BY tm, event_id) AS session, tm AS began_us, least(next_at, tm + 86400000000) AS ended_us,
+          CASE WHEN next_at IS NULL OR next_at > tm + 86400000000 THEN 'timeout' WHEN next_signal = 'started' THEN 'source-change' ELSE next_signal END AS cause FROM n WHERE signal = 'started'""",
+    "retention_stream": f"""WITH {LISTENED}, n AS (SELECT *, max(tm) OVER (PARTITION BY account) AS newest FROM listened),
+        k AS (SELECT * FROM n WHERE tm >= newest - 2 * 86400000000 QUALIFY row_number() OVER (PARTITION BY account ORDER BY tm DESC, event_id DESC) <= 4),
+        g AS (SELECT account, count(*) AS kept, min(tm) AS oldest_us, any_value(newest) + 2 * 86400000000 <= epoch_us(TIMESTAMP '2024-01-31 12:00:00') AS gone FROM k GROUP BY account)
+        SELECT account, CAST(CASE WHEN gone THEN 0 ELSE kept END AS INTEGER) AS kept, CASE WHEN NOT gone THEN oldest_us END AS oldest_us FROM g""",
+    "stale_results_stream": f"""WITH {LISTENED}, q AS (SELECT CAST(account AS VARCHAR) AS key, event_id * 2 AS seq, event_id AS version FROM listened),
+        r AS (SELECT CAST(account AS VARCHAR) AS key, event_id * 2 + 1 + (k * 37) % 400 AS seq, event_id AS version, event_id AS id FROM listened)
+        SELECT key, seq, version, id, NOT EXISTS (SELECT 1 FROM q WHERE q.key = r.key AND q.version > r.version AND q.seq <= r.seq) AS current FROM r""",
 }
+SQL["listening_time_stream"] = SQL["listening_time"]
+SQL["accepted_events_stream"] = SQL["accepted_events"]
+SQL["batch_counters_stream"] = SQL["batch_counters"]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions.expr import account_key
+from tessitura.sources import versions
 
 ARTISTS = "array<struct<id:string,title:string>>"
 TRACK_DDL = f"id string, title string, artist string, artists {ARTISTS}, album_id string, album_title string, cover string, duration double, available boolean"
@@ -27,23 +27,19 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("o")).select("o.*")
 
 
-def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace ``path`` by the rows as JSON: they are written beside it and renamed, so a job that fails leaves the old rows.
+def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
+    """Replace what ``path`` holds by the rows as JSON; :func:`read_json` gives them.
 
-    The folder is for its owner alone (0700).
+    They are a new version in the sense of :mod:`~tessitura.sources.versions`: readers get the old rows or the new
+    ones at any moment, also after a job that failed. The folder is for its owner alone (0700). The version's number.
     """
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, beside, old = (hadoop.Path(f"{path.rstrip('/')}{x}") for x in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
-    writer = df.write
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(beside.toString())
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.setPermission(beside, hadoop.permission.FsPermission("700"))
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"{path} cannot be replaced")
-    if not fs.rename(beside, target):
-        raise OSError(f"{path} cannot be replaced")
-    fs.delete(old, True)
+    return versions.replace(df.sparkSession, path, (df.write.partitionBy(*partition_by) if partition_by else df.write).json)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that :func:`write_json` put there last; none if there are none."""
+    folder = versions.current(spark, path)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).json(folder)
 
 
 def write_by_account(df: DataFrame, path: str, account: str = "account") -> None:

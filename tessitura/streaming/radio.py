@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessitura.sources import versions
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -170,20 +172,47 @@ def first_plays(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def idempotent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each micro-batch replaces its own folder, so a batch that is run again adds nothing."""
+    """For ``foreachBatch``: each micro-batch replaces its own folder, so a batch that is run again adds nothing; of rows with equal ``keys``, if any are named, one stays."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+        (batch.dropDuplicates(keys) if keys else batch).write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
     return write
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "append") -> DataFrame:
-    """Run a stream until its source has no more, and read what its sink got."""
+def maxima_sink(path: str, keys: list[str], values: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a small table of the largest ``values`` of each key so far; a batch that is run again changes nothing.
+
+    Each micro-batch commits a version of the table, which :func:`maxima` reads.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows, held = batch.select(*keys, *values), versions.current(spark, path)
+        if held is not None:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(held))
+        versions.replace(spark, path, rows.groupBy(*keys).agg(*(F.max(v).alias(v) for v in values)).write.parquet)
+
+    return write
+
+
+def maxima(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table of a :func:`maxima_sink`; no rows before its first version."""
+    held = versions.current(spark, path)
+    return spark.createDataFrame([], schema) if held is None else spark.read.schema(schema).parquet(held)
+
+
+def run_out(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Run a stream into a ``foreachBatch`` sink until its source has no more; from the same checkpoint it goes on where it stopped."""
     with rocksdb(stream.sparkSession):
-        query = stream.writeStream.outputMode(mode).foreachBatch(idempotent_sink(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "append") -> DataFrame:
+    """Run a stream until its source has no more, and read what its sink got."""
+    run_out(stream, idempotent_sink(path, keys), checkpoint, mode)
     return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)

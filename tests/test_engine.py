@@ -236,7 +236,9 @@ def test_json_objects(spark, tmp_path):
     rows = tables.json_objects(spark, str(tmp_path), "enabled boolean").collect()
     assert sorted(str(r.enabled) for r in rows) == ["None", "None", "True"]
     tables.write_json(spark.createDataFrame([("k", 1)], "account string, n int"), str(tmp_path / "out"), ["account"])
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    tables.write_json(spark.createDataFrame([("k", 2)], "account string, n int"), str(tmp_path / "out"), ["account"])
+    assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "out"), "n int, account string").collect()] == [(2, "k")]
+    assert tables.read_json(spark, str(tmp_path / "none"), "n int").count() == 0
 
 
 def test_audit(spark):
@@ -318,10 +320,10 @@ def test_json_is_replaced_whole(spark, tmp_path):
     tables.write_json(spark.createDataFrame([(1,)], "n int"), path)
     with pytest.raises(Exception):
         tables.write_json(spark.range(1).select(F.raise_error(F.lit("no")).alias("n")), path)
-    assert spark.read.json(path).first().n == 1
+    assert tables.read_json(spark, path, "n int").first().n == 1
     tables.write_json(spark.createDataFrame([(2,), (3,)], "n int"), path)
-    assert sorted(r.n for r in spark.read.json(path).collect()) == [2, 3]
-    assert os.stat(path).st_mode & 0o777 == 0o700 and not [p for p in os.listdir(tmp_path) if ".old-" in p]
+    assert sorted(r.n for r in tables.read_json(spark, path, "n int").collect()) == [2, 3]
+    assert os.stat(path).st_mode & 0o777 == 0o700
 
 
 def test_folders_per_account_and_paths(spark, tmp_path, monkeypatch):
