@@ -50,14 +50,14 @@ def valid_changes(changes: DataFrame) -> DataFrame:
     return changes.where(is_track_id("track_id") & ((album == "") | is_entity_id(album)))
 
 
-def likes_merge(likes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Likes after confirmed changes: ``account, pos, full_id``.
+def merged_places(likes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Likes (account, place, full_id) after confirmed changes, in places that order them; no like that stays is given another.
 
     ``changes`` has (account, seq, track_id, album_id, liked, status). Only the last confirmed change
     of a base id counts, with one exception that order demands: a removal before an addition moves
     the like to the front. Adding what is there, or removing what is not, changes nothing. New
-    likes stand before all others, the newest first, under the given full id, else base:album, else
-    the base. Equal to applying the changes one by one.
+    likes stand before all others, the newest first, at ``-1 - seq``, under the given full id, else base:album,
+    else the base. Equal to applying the changes one by one.
     """
     known = valid_changes(changes).where("status = 'confirmed'").withColumn("base", base_id("track_id"))
     last = Window.partitionBy("account", "base").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,12 +69,21 @@ def likes_merge(likes: DataFrame, changes: DataFrame) -> DataFrame:
     own = F.when(F.contains("track_id", F.lit(":")), F.col("track_id")).when(F.coalesce("album_id", F.lit("")) != "", F.concat_ws(":", "base", "album_id")).otherwise(F.col("base"))
     net = facts.groupBy("account", "base").agg(F.max_by("liked", "seq").alias("liked"), F.max(F.when(~F.col("liked"), 1).otherwise(0)).alias("removed"))
     newest = added.groupBy("account", "base").agg(F.max("seq").alias("seq"), F.max_by(own, "seq").alias("full_id"))
-    front = newest.join(net.where("liked"), ["account", "base"]).select("account", F.lit(0).alias("part"), (-F.col("seq")).alias("at"), "full_id")
+    front = newest.join(net.where("liked"), ["account", "base"]).select("account", (-1 - F.col("seq")).cast("long").alias("place"), "full_id")
     # What was there stays unless some change removed it; what came back is a new like.
-    stay = likes.withColumn("base", base_id("full_id")).join(net.where("removed = 1"), ["account", "base"], "left_anti").select("account", F.lit(1).alias("part"), F.col("pos").cast("long").alias("at"), "full_id")
-    rows = front.withColumn("at", F.col("at").cast("long")).unionByName(stay)
-    order = Window.partitionBy("account").orderBy("part", "at", "full_id")
-    return rows.select("account", (F.row_number().over(order) - 1).alias("pos"), "full_id")
+    stay = likes.withColumn("base", base_id("full_id")).join(net.where("removed = 1"), ["account", "base"], "left_anti").select("account", F.col("place").cast("long").alias("place"), "full_id")
+    return front.unionByName(stay)
+
+
+def placed_likes(likes: DataFrame) -> DataFrame:
+    """``account, pos, full_id`` of likes (account, place, full_id)."""
+    order = Window.partitionBy("account").orderBy("place", "full_id")
+    return likes.select("account", (F.row_number().over(order) - 1).alias("pos"), "full_id")
+
+
+def likes_merge(likes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Likes (account, pos, full_id) after confirmed changes, numbered anew: :func:`merged_places`."""
+    return placed_likes(merged_places(likes.withColumnRenamed("pos", "place"), changes))
 
 
 def likes_overlay(likes: DataFrame, changes: DataFrame) -> DataFrame:

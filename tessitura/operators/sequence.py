@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.expr import base_id
+from tessitura.operators.history import split_fold
 from tessitura.operators.library import first_of, ordered_distinct
+from tessitura.sources.shared import shared_path
 
 
 def queue_build(ids: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -124,7 +126,17 @@ def history_positions(history: DataFrame, queue: DataFrame) -> DataFrame:
     return history.join(first, ["seq_id", "id"], "left").select("seq_id", "at", "id", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
-def history_fold(actions: DataFrame) -> DataFrame:
+def history_fold(actions: DataFrame, split_over: int = 1_000_000) -> DataFrame:
+    """:func:`whole_fold`, but sessions of more than ``split_over`` actions are folded in blocks, by :func:`~tessitura.operators.history.split_fold`."""
+    spark = actions.sparkSession
+    long = actions.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over).select("seq_id")
+    if long.isEmpty():
+        return whole_fold(actions)
+    split = split_fold(actions.join(long, "seq_id", "left_semi"), shared_path(spark, "history"))
+    return whole_fold(actions.join(long, "seq_id", "left_anti")).unionByName(split)
+
+
+def whole_fold(actions: DataFrame) -> DataFrame:
     """History after actions (seq_id, n, action, id): ``seq_id, history array<string>, cursor``.
 
     ``start`` of an id cuts what lies after the cursor and appends it; ``previous`` and ``forward``

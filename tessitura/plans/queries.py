@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import expr
-from tessitura.operators import audit, catalog, library, listening, media, recommend, sequence, view
+from tessitura.operators import audit, catalog, library, listening, media, recommend, search, sequence, view
 from tessitura.plans.sql import SQL  # noqa: F401
 from tessitura.sources import tables
+from tessitura.sources.likes import LikeStore
 from tessitura.sources.shared import shared_path
 from tessitura.sources.tables import table
 from tessitura.streaming import arrivals, ordered, radio
@@ -203,6 +204,15 @@ def artist_albums(spark, sf):
     return catalog.service_page(t.withColumn("pos", F.row_number().over(order) - 1), "artist_id", 0, 20, known_total=False)
 
 
+@query
+def text_search_indexed(spark, sf):
+    """Documents with a word in them, by the index of triples; folded, so that ss finds a sharp s."""
+    folder = shared_path(spark, "search-index")
+    search.build_index(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title")), folder)
+    found = search.search(spark, folder, "SCHSS").select("id", F.lit("SCHSS").alias("query")).unionByName(search.search(spark, folder, "Eß ").select("id", F.lit("Eß ").alias("query")))
+    return found.unionByName(search.search(spark, folder, "ẞ").select("id", F.lit("ẞ").alias("query")))
+
+
 @query
 def search_pages(spark, sf):
     """Page three of a search for tracks, 20 rows a page."""
@@ -280,6 +290,25 @@ def likes_merge(spark, sf):
     return library.likes_merge(tables.like_ids(spark, sf), _like_changes(spark, sf))
 
 
+def _like_store(spark, sf):
+    """A store of likes with all changes in two commits."""
+    store, changes = LikeStore(spark, shared_path(spark, "likes"), 16), _like_changes(spark, sf)
+    store.start(tables.like_ids(spark, sf))
+    return store, [store.merge(changes.where("seq < 600")), store.merge(changes.where("seq >= 600"))]
+
+
+@query
+def likes_store(spark, sf):
+    return _like_store(spark, sf)[0].likes()
+
+
+@query
+def likes_rolled_back(spark, sf):
+    """Likes after the second commit is taken back."""
+    store, commits = _like_store(spark, sf)
+    return store.likes(store.roll_back(commits[0]))
+
+
 @query
 def likes_pending_overlay(spark, sf):
     return library.likes_overlay(tables.like_ids(spark, sf), _like_changes(spark, sf))
@@ -412,12 +441,22 @@ def history_positions(spark, sf):
     return sequence.history_positions(h, q)
 
 
-@query
-def history_fold(spark, sf):
+def _history_actions(spark, sf):
     e = tables.listening_events(spark, sf)
     action = F.when(F.col("event_type").isin("view", "click"), "start").when(F.col("event_type") == "error", "previous").when(F.col("event_type") == "signup", "forward")
     rows = e.select(F.col("account").alias("seq_id"), F.col("event_id").alias("n"), action.alias("action"), F.when((action == "start") | (F.col("id").cast("int") % 3 != 0), F.col("id")).alias("id")).where("action IS NOT NULL")
-    return sequence.history_fold(rows).select("seq_id", F.array_join("history", ",").alias("history"), "cursor")
+    return rows
+
+
+@query
+def history_fold(spark, sf):
+    return sequence.history_fold(_history_actions(spark, sf)).select("seq_id", F.array_join("history", ",").alias("history"), "cursor")
+
+
+@query
+def history_fold_split(spark, sf):
+    """Every session with more than 20 actions in blocks, which tasks fold apart."""
+    return sequence.history_fold(_history_actions(spark, sf), 20).select("seq_id", F.array_join("history", ",").alias("history"), "cursor")
 
 
 @query

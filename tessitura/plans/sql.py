@@ -369,3 +369,8 @@ SQL = {
 SQL["listening_time_stream"] = SQL["listening_time"]
 SQL["accepted_events_stream"] = SQL["accepted_events"]
 SQL["batch_counters_stream"] = SQL["batch_counters"]
+SQL["history_fold_split"] = SQL["history_fold"]
+SQL["likes_store"] = SQL["likes_merge"]
+SQL["likes_rolled_back"] = SQL["likes_merge"].replace("AS k FROM events)", "AS k FROM events WHERE event_id < 600)")
+SQL["text_search_indexed"] = """WITH t AS (SELECT doc_id AS id, replace(replace(lower(text), 'ß', 'ss'), 'ẞ', 'ss') AS folded FROM documents)
+    SELECT id, q AS query FROM t, (VALUES ('SCHSS', 'schss'), ('Eß ', 'ess '), ('ẞ', 'ss')) AS v(q, f) WHERE contains(folded, f)"""
