@@ -15,6 +15,7 @@ from tessitura.sources.likes import LikeStore
 from tessitura.sources.shared import shared_path
 from tessitura.sources.tables import table
 from tessitura.streaming import arrivals, ordered, radio
+from tessitura.streaming.player import Player
 
 NOW, SEED, BALANCE = "2024-01-31 00:00:00", 42, 0.4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -733,6 +734,33 @@ def batch_counters_stream(spark, sf):
     return radio.maxima(spark, f"{folder}/counters", "station string, received long, played long")
 
 
+def _service(spark, sf, folder: str):
+    """Conversations as the batches of 40 stations, each repeating the last track of the one before; some fail once or twice."""
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("s"), (F.col("conv_id") % 40).cast("string")).alias("station"), "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("track"))
+    batches = c.groupBy("station", "conv_id").agg(F.min("track").alias("last"))
+    order = Window.partitionBy("station").orderBy("conv_id")
+    batches = batches.select("station", "conv_id", (F.row_number().over(order) - 1).alias("n"), F.lag("last").over(order).alias("before"))
+    own = c.join(batches, ["station", "conv_id"]).select("station", "n", "conv_id", (F.col("turn").cast("int") + 1).alias("pos"), "track", ((F.col("turn") % 4 != 3) | (F.col("conv_id") % 2 == 0)).alias("available"))
+    again = batches.where("before IS NOT NULL").select("station", "n", "conv_id", F.lit(-1).alias("pos"), F.col("before").alias("track"), F.lit(True).alias("available"))
+    rows = own.unionByName(again).select("station", "n", F.col("conv_id").cast("string").alias("batch"), "pos", "track", "available", F.when(F.col("n") % 3 == 2, F.col("conv_id") % 2 + 1).otherwise(0).alias("fails"))
+    rows.write.partitionBy("station").parquet(folder)
+    return rows.select("station").distinct()
+
+
+@query
+def radio_source_stream(spark, sf):
+    """Tracks that a player of all stations accepts; an error halts a station until it is asked again."""
+    folder = shared_path(spark, "radio")
+    player = Player(spark, f"{folder}/player")
+    player.start(_service(spark, sf, f"{folder}/service"))
+    while True:
+        player.run(f"{folder}/service", f"{folder}/out", f"{folder}/checkpoint")
+        if player.halted().isEmpty():
+            break
+        player.retry()
+    return spark.read.schema("station string, seq long, batch string, track string").parquet(f"{folder}/out").select("station", "seq", "batch", "track")
+
+
 @query
 def wave_dedup_stream(spark, sf):
     e = tables.listening_events(spark, sf)

@@ -374,3 +374,10 @@ SQL["likes_store"] = SQL["likes_merge"]
 SQL["likes_rolled_back"] = SQL["likes_merge"].replace("AS k FROM events)", "AS k FROM events WHERE event_id < 600)")
 SQL["text_search_indexed"] = """WITH t AS (SELECT doc_id AS id, replace(replace(lower(text), 'ß', 'ss'), 'ẞ', 'ss') AS folded FROM documents)
     SELECT id, q AS query FROM t, (VALUES ('SCHSS', 'schss'), ('Eß ', 'ess '), ('ẞ', 'ss')) AS v(q, f) WHERE contains(folded, f)"""
+SQL["radio_source_stream"] = """WITH c AS (SELECT 's' || (conv_id % 40) AS station, conv_id, turn, conv_id || '-' || turn AS track FROM conversations),
+    b AS (SELECT station, conv_id, min(track) AS last FROM c GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER w - 1 AS n, lag(last) OVER w AS before FROM b WINDOW w AS (PARTITION BY station ORDER BY conv_id)),
+    r AS (SELECT station, n, conv_id, turn + 1 AS pos, track FROM c JOIN o USING (station, conv_id) WHERE turn % 4 <> 3 OR conv_id % 2 = 0
+      UNION ALL SELECT station, n, conv_id, -1, before FROM o WHERE before IS NOT NULL),
+    f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY station, track ORDER BY n, pos) = 1)
+    SELECT station, row_number() OVER (PARTITION BY station ORDER BY n, pos) AS seq, CAST(conv_id AS VARCHAR) AS batch, track FROM f"""

@@ -7,6 +7,7 @@ import pytest
 
 from tessitura.sources import versions
 from tessitura.streaming import arrivals, ordered, radio
+from tessitura.streaming.player import Player
 
 DAY = ordered.DAY_US
 
@@ -132,3 +133,30 @@ def test_replacing_keeps_the_old_rows_until_the_new_are_there(spark, tmp_path):
     assert versions.current(spark, path) == held and spark.read.parquet(held).first().n == 1
     assert [write(n) for n in (2, 3)] == [1, 2] and versions.versions(spark, path) == [1, 2]
     assert spark.read.parquet(versions.current(spark, path)).first().n == 3 and not (tmp_path / "state" / held.rsplit("/", 1)[1]).exists()
+
+
+def test_radio_asks_once_halts_and_goes_on(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = [(s, n, f"{s}{n}", p, f"{s}-{3 * n + p}", p != 1, 2 if (s, n) == ("a", 2) else 0) for s in ("a", "b") for n in range(4) for p in range(4)]
+    spark.createDataFrame(rows, "station string, n int, batch string, pos int, track string, available boolean, fails int").write.partitionBy("station").parquet(f"{folder}/service")
+    player = Player(spark, f"{folder}/player")
+    player.start(spark.createDataFrame([("a",), ("b",)], "station string"))
+    player.start(spark.createDataFrame([("a",)], "station string"))
+    accepted = lambda: sorted((r.station, r.seq, r.track, r.batch) for r in spark.read.parquet(f"{folder}/out").collect())
+    player.run(f"{folder}/service", f"{folder}/out", f"{folder}/ck")
+    assert [r.station for r in player.halted().collect()] == ["a"]
+    held = accepted()
+    assert {b for s, _, _, b in held if s == "a"} == {"a0", "a1"} and {b for s, _, _, b in held if s == "b"} == {"b0", "b1", "b2", "b3"}
+    player.run(f"{folder}/service", f"{folder}/out", f"{folder}/ck")  # a restart asks for nothing and repeats nothing
+    assert accepted() == held
+    for _ in range(8):  # the batch fails twice for each track that asks for it
+        player.retry()
+        Player(spark, f"{folder}/player").run(f"{folder}/service", f"{folder}/out", f"{folder}/ck")
+        if player.halted().isEmpty():
+            break
+    assert player.halted().isEmpty()
+    want = [(s, k + 1, f"{s}-{t}", f"{s}{max(t - 1, 0) // 3}") for s in ("a", "b") for k, t in enumerate(x for x in range(13) if x % 3 != 1)]
+    assert accepted() == sorted(want)
+    last = player._state()[0]
+    player.sink(f"{folder}/out")(spark.createDataFrame([("a", 9, "x", 0, "new", True, None)], "station string, n int, batch string, pos int, track string, available boolean, error string"), 0)
+    assert player._state()[0] == last and accepted() == sorted(want)  # a micro-batch that was run before
