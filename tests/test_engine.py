@@ -346,3 +346,31 @@ def test_rounding_follows_the_binary_value(spark):
     got = spark.createDataFrame([(x,) for x in values], "x double").select("x", expr.round_2("x").alias("y"), expr.iso_utc(F.timestamp_micros(F.lit(1_704_067_199_000_001))).alias("t"), expr.play_id().alias("u")).collect()
     assert [r.y for r in got] == [round(r.x, 2) for r in got]
     assert got[0].t == "2023-12-31T23:59:59.000001+00:00" and len({r.u for r in got}) == len(got) and uuid.UUID(got[0].u).version == 4
+
+
+def test_damaged_archives_end_no_job(spark):
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as t:
+        for n in range(40):
+            info = tarfile.TarInfo(f"f{n}")
+            info.size = 5000
+            t.addfile(info, io.BytesIO(os.urandom(5000)))
+    tar, packed = buffer.getvalue(), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for n in range(5):
+            z.writestr(f"z{n}", "x" * 100)
+    whole = packed.getvalue()
+    broken = whole[: whole.rfind(b"PK\x01\x02")] + b"PK\x09\x09" + whole[whole.rfind(b"PK\x01\x02") + 4 :]
+    import bz2
+    import lzma
+
+    rows = [("tar", tar), ("cut", tar[: len(tar) // 2]), ("zip", whole), ("broken", broken), ("half", whole[:200]), ("xz", lzma.compress(b"a" * 2000)[:40]), ("bz2", bz2.compress(os.urandom(9000))[:3000]), ("gz", b"\x1f\x8b\x08" + b"\0" * 40), ("none", None), ("empty", b"")]
+    got = audit.archive_listing(spark.createDataFrame(rows, "path string, content binary")).groupBy("archive").count().collect()
+    counts = {r.archive: r["count"] for r in got}
+    assert counts["tar"] == 40 and counts["zip"] == 5 and 0 < counts.get("cut", 0) < 40 and not counts.keys() & {"half", "xz", "bz2", "gz", "none", "empty"}
+
+
+def test_lines_of_many_findings(spark):
+    text = "\n".join(f"line {i}\npassword =\n 'secret{i}'" for i in range(20_000))
+    rows = audit.secret_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.line for r in rows] == [3 * i + 2 for i in range(20_000)]
