@@ -16,7 +16,7 @@ from .common import numbered, small, staged
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 10
 TOP = (1 << HASH_BITS) - 1
 
 

@@ -4,11 +4,12 @@ Every text is a layer. A worklist takes layers one by one: it scans the layer, f
 in it, and puts each decoded layer back, until no layer yields another:
 
 * percent and Unicode escapes are decoded in their whole line, so that a finding may begin before an
-  escape and end behind it;
+  escape and end behind it, and bytes of which only some are escaped come together;
 * base64, plain or URL-safe, also wrapped over lines, is decoded from each of four characters on,
   because a separator before it may belong to its alphabet;
+* UTF-16 of ASCII letters, either way round, loses its zeros;
 * gzip, zlib, bzip2, xz and Zstandard bytes, of one or several members and also cut off, are unpacked
-  as a stream and scanned in overlapping windows.
+  as a stream and scanned in overlapping windows, wherever in a layer they begin.
 
 Decoded bytes become characters one by one (Latin-1): all that is looked for is ASCII, and so every
 character keeps its place. A layer that was seen before at the same place of the text, as a compressed
@@ -47,9 +48,14 @@ LINE = re.compile(r"[^\n]+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{8,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Where compressed bytes may begin: gzip, bzip2, xz, Zstandard, zlib. Fixed values of those formats.
+MAGIC = r"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]"
+PACKED, PACKED_BYTES = re.compile(MAGIC), re.compile(MAGIC.encode())
+LATIN = re.compile(r"[\x00-\xff]+")
+WIDE = re.compile(r"(?:[\x09-\x7e]\x00){8,}|(?:\x00[\x09-\x7e]){8,}")
 #: Decoded bytes without any of these hold neither a secret nor another layer.
-LEADS = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{16}")
+LEADS = re.compile(rb"(?i)passw|secret|token|api_?key|akia|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{8}\r?\n|[a-z0-9+/_-]{16}|(?:[\x09-\x7e]\x00){8}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -91,6 +97,41 @@ def opened(data: bytes, n: int = 1 << 20) -> Iterator[bytes] | None:
     return iter(lambda: read(n), b"")
 
 
+def starts_packed(head: bytes) -> bool:
+    """Whether bytes begin as compressed ones do: a little of them unpacks, or more of them is needed."""
+    if opened(head) is None:
+        return False
+    if head[:1] == b"x":
+        try:
+            zlib.decompressobj().decompress(head)
+        except zlib.error:
+            return False
+    return True
+
+
+def extent(data: bytes, n: int = 1 << 20) -> tuple[int, bool]:
+    """How many bytes the compressed members at the start of ``data`` take, and whether they end there: else all of them, as for Zstandard."""
+    rest = data
+    try:
+        while opened(rest) is not None and rest[:4] != b"\x28\xb5\x2f\xfd":
+            if rest[:3] == b"BZh" or rest[:6] == b"\xfd7zXZ\x00":
+                stream = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else lzma.LZMADecompressor()
+                stream.decompress(rest, n)
+                while not stream.eof and not stream.needs_input:
+                    stream.decompress(b"", n)
+            else:
+                stream = zlib.decompressobj(47)
+                stream.decompress(rest, n)
+                while not stream.eof and stream.unconsumed_tail:
+                    stream.decompress(stream.unconsumed_tail, n)
+            if not stream.eof:
+                return len(data), False
+            rest = stream.unused_data
+    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+        return len(data), False
+    return (len(data) - len(rest), True) if len(rest) < len(data) and rest[:4] != b"\x28\xb5\x2f\xfd" else (len(data), False)
+
+
 def unpacked(data: bytes) -> Iterator[bytes]:
     """What can be unpacked of ``data``: a stream that is cut off or only looks compressed ends where it breaks."""
     try:
@@ -147,7 +188,7 @@ class Worklist:
         return True
 
     def put_bytes(self, data: bytes, starts, ends) -> None:
-        if LEADS.search(data):
+        if LEADS.search(data) or PACKED_BYTES.search(data):
             self.put(data.decode("latin-1"), starts, ends)
 
     def run(self) -> set[tuple[int, int, int]]:
@@ -176,6 +217,13 @@ class Worklist:
                 for line in LINE.finditer(text):
                     if sign in line[0] and escape.search(line[0]):
                         decode(line[0], line.start(), of)
+        self.compressed(text, of)
+        if "\0" in text:
+            for m in WIDE.finditer(text):
+                one = m.start() + (text[m.start()] == "\0")  # the letters; each one's zero stands behind or before it
+                at = np.arange(one, m.end(), 2)
+                low = at - (one - m.start())
+                self.put(text[one : m.end() : 2], of(low)[0], of(low + 1)[1])
         for m in BASE64.finditer(text):
             self.base64(m[0], np.arange(m.start(), m.end()), of)
         if "\n" in text:
@@ -187,6 +235,24 @@ class Worklist:
                 if len(m[0]) - rest > 17:
                     self.base64("".join(m[0][rest:].split()), at[len("".join(m[0][:rest].split())) :], of)
 
+    def compressed(self, text: str, of: Callable) -> None:
+        """Unpack what is compressed in a layer, at any place of it; members that follow each other come with the first."""
+        if not PACKED.search(text):
+            return
+        for run in LATIN.finditer(text):
+            if not PACKED.search(text, run.start(), run.end()):
+                continue
+            data, done = memoryview(run[0].encode("latin-1")), 0
+            for m in PACKED.finditer(text, run.start(), run.end()):
+                first = m.start() - run.start()
+                if first < done or not starts_packed(bytes(data[first : first + 512])):
+                    continue
+                held = bytes(data[first:])
+                size, whole = extent(held)
+                starts, ends = of(np.array([m.start(), m.start() + size - 1]))
+                if self.put_packed(held[:size], int(starts[0]), int(ends[1])) and whole:
+                    done = first + size
+
     def base64(self, run: str, at: np.ndarray, of: Callable) -> None:
         """Decode a run at the places ``at``, the padding at its end included."""
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
@@ -197,36 +263,43 @@ class Worklist:
                 continue
             data = base64.b64decode(body + "=" * (-len(body) % 4))
             starts, ends = of(at[[phase, -1]])
-            if self.put_packed(data, int(starts[0]), int(ends[1])) or not LEADS.search(data):
+            if self.put_packed(data, int(starts[0]), int(ends[1])) or not (LEADS.search(data) or PACKED_BYTES.search(data)):
                 continue
             byte = np.arange(len(data))
             self.put(data.decode("latin-1"), of(at[phase + byte * 4 // 3])[0], of(at[phase + ((byte + 1) * 4 + 2) // 3 - 1])[1])
 
-    def _decoded(self, line: str, base: int, of: Callable, parts: list[tuple[int, int, str, np.ndarray]]) -> None:
-        """Put a line in which each part (first, last, characters, the places that begin them) is decoded."""
-        out, starts, ends, last = [], [], [], 0
-        for first, stop, characters, places in [*parts, (len(line), len(line), "", np.zeros(0, np.int64))]:
-            s, e = of(np.arange(base + last, base + first))
-            out += [line[last:first], characters]
-            starts += [s, of(base + places)[0]]
-            ends += [e, of(base + np.append(places[1:], stop)[: len(places)] - 1)[1]]
-            last = stop
-        self.put("".join(out), np.concatenate(starts), np.concatenate(ends))
+    def _replaced(self, line: str, base: int, of: Callable, first: np.ndarray, stop: np.ndarray, codes: np.ndarray) -> None:
+        """Put a line in which each escape (first, stop) is the character of its code."""
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        points[first] = np.where((codes < 0x110000) & ((codes < 0xD800) | (codes > 0xDFFF)), codes, 0xFFFD)
+        inside = np.zeros(len(points) + 1, np.int64)
+        np.add.at(inside, first + 1, 1)
+        np.add.at(inside, stop, -1)
+        kept = np.flatnonzero(np.cumsum(inside)[:-1] == 0)
+        last = np.arange(len(points))
+        last[first] = stop - 1
+        self.put(points[kept].tobytes().decode("utf-32-le", "surrogatepass"), of(base + kept)[0], of(base + last[kept])[1])
 
     def percent(self, line: str, base: int, of: Callable) -> None:
-        parts = []
-        for m in PERCENT.finditer(line):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            starts, ends = of(np.array([base + m.start(), base + m.end() - 1]))
-            if not self.put_packed(data, int(starts[0]), int(ends[1])):
-                parts.append((m.start(), m.end(), data.decode("latin-1"), np.arange(m.start(), m.end(), 3)))
-        if parts:
-            self._decoded(line, base, of, parts)
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+        digit = DIGITS[np.minimum(points, 128)]
+        first = np.flatnonzero((points[:-2] == 37) & (digit[1:-1] >= 0) & (digit[2:] >= 0))
+        self._replaced(line, base, of, first, first + 3, digit[first + 1] * 16 + digit[first + 2])
 
     def unicode(self, line: str, base: int, of: Callable) -> None:
-        code = lambda m: int(next(x for x in m.groups() if x), 16)
-        character = lambda n: chr(n) if n < 0x110000 else "\ufffd"
-        self._decoded(line, base, of, [(m.start(), m.end(), character(code(m)), np.array([m.start()])) for m in UNICODE.finditer(line)])
+        found = [(m.start(), m.end(), int(m[1] or m[2] or m[3] or m[4], 16)) for m in UNICODE.finditer(line)]
+        first, stop, codes = np.array(found, np.int64).T
+        # Two halves of a letter beyond 16 bits are one character.
+        high = (codes[:-1] >> 10 == 0x36) & (codes[1:] >> 10 == 0x37) & (stop[:-1] == first[1:])
+        at = np.flatnonzero(high)
+        codes[at], stop[at] = 0x10000 + ((codes[at] & 0x3FF) << 10) + (codes[at + 1] & 0x3FF), stop[at + 1]
+        keep = np.ones(len(first), bool)
+        keep[at + 1] = False
+        self._replaced(line, base, of, first[keep], stop[keep], codes[keep])
+
+
+#: The value of each ASCII hex digit, -1 for other characters.
+DIGITS = np.array([int(chr(c), 16) if chr(c) in "0123456789abcdefABCDEF" else -1 for c in range(129)], np.int64)
 
 
 def joined(spans) -> str:
