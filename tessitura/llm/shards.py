@@ -4,8 +4,9 @@ A store is a folder with ``data/<run>/`` (Parquet shards that never change) and
 ``manifest/<version>.json`` (the runs of that version). An append writes its rows as one run of
 small shards. Compaction merges ``fan_in`` runs of a size tier (each tier is ``fan_in`` times as
 large as the one below) into one run of files of about ``target_bytes``. Every change is committed
-by renaming a new manifest to the next version, which fails if that version exists; readers see one
-version whole. Every manifest names the one it follows, so a commit on a base that is no longer the
+by creating the manifest of the next version, whole and at once, which fails if that version exists: a hard
+link on local files, a rename without overwriting on HDFS. Other stores promise neither to every writer and are
+refused. Readers see one version whole. Every manifest names the one it follows, so a commit on a base that is no longer the
 last is refused even where a vacuum has freed the number it would take. Old manifests and runs go by
 age only, and a job that dies before its commit leaves files that no manifest names, until they are old.
 
@@ -22,6 +23,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.sources.versions import put_once
+
 from .exact_dedup import from_files
 
 
@@ -63,22 +66,10 @@ class ShardStore:
         new = {"version": base["version"] + 1, "id": uuid.uuid4().hex, "parent": base.get("id"), "runs": runs, "schema": schema}
         if max(self.versions(), default=0) != base["version"]:
             raise Conflict(f"version {base['version']} is not the last one")
-        temporary = self._path(f"manifest/.{new['id']}")
-        out = self._fs.create(temporary, True)
-        try:
-            out.write(json.dumps(new).encode())
-        finally:
-            out.close()
-        final = self._path(f"manifest/{new['version']:010d}.json")
-        options = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
-        options[0] = getattr(self._hadoop.Options.Rename, "NONE")
-        try:
-            self._hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, final, options)
-        except Exception as error:
-            self._fs.delete(temporary, False)
-            if "FileAlreadyExists" in str(error) or "exist" in str(error).lower():
-                raise Conflict(f"version {new['version']} exists") from error
-            raise
+        name = f"manifest/{new['version']:010d}.json"
+        if not put_once(self.spark, f"{self.path}/{name}", json.dumps(new)):
+            raise Conflict(f"version {new['version']} exists")
+        final = self._path(name)
         # Others may have gone on, and a vacuum may have freed this number, between the look and the rename.
         later = [v for v in self.versions() if v > new["version"]]
         if later and (later[0] != new["version"] + 1 or self.manifest(later[0])["parent"] != new["id"]):

@@ -89,3 +89,48 @@ def test_small_and_empty_tables(spark, tmp_path):
     assert sharded(df, f"file://{tmp_path}/a", arrivals=3).read().count() == 3
     store = sharded(df.limit(0), f"file://{tmp_path}/b")
     assert store.read() is None or store.read().count() == 0
+
+
+def test_of_two_writers_at_once_one_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    stores = [ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2)]
+    schema = stores[0].append(rows(spark, 0, 5))["schema"]
+    for turn in range(200):
+        base, gate = stores[0].manifest(), Barrier(2)
+
+        def write(store, base=base, gate=gate):
+            look = store.versions
+
+            def held():  # both have looked before either goes on
+                found = look()
+                if store.versions is held:
+                    store.versions = look
+                    gate.wait()
+                return found
+
+            store.versions = held
+            try:
+                return store.commit(base, base["runs"], schema)
+            except Conflict:
+                return None
+
+        with ThreadPoolExecutor(2) as pool:
+            won = [w for w in pool.map(write, stores) if w]
+        assert len(won) == 1 and stores[1].manifest()["id"] == won[0]["id"] and won[0]["version"] == turn + 2
+
+
+def test_stores_without_exclusive_creation_are_refused(spark, tmp_path):
+    from tessitura.sources import versions
+
+    class Elsewhere:
+        def __getattr__(self, name):
+            return lambda *a: self if name in ("resolvePath", "toUri", "getParent") else "s3a"
+
+    before, versions.hadoop_path = versions.hadoop_path, lambda *_: (Elsewhere(), Elsewhere())
+    try:
+        with pytest.raises(ValueError, match="s3a"):
+            versions.put_once(spark, "s3a://bucket/x", "{}")
+    finally:
+        versions.hadoop_path = before
