@@ -8,12 +8,16 @@ between long ones stay. ``<article>`` and ``<main>`` are evidence, not the answe
 as twice as dense, an article is one region and smoothing stops at its borders, but clusters choose
 on every page. An article whose class, id or role names what is not main text counts only where it
 holds more content than all other regions. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments, known by tag, role, class or id, never count.
+styles and reader comments, known by tag, role, class or id, never count. Inside of an article,
+though, paragraphs and headings are named for their looks, so their names say nothing, and names that an author
+may give to a part of the text, a warning say, are evidence against it: such a part is a region of its own,
+without the article's weight.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,6 +34,10 @@ NEVER = frozenset("aside audio button canvas datalist dialog fieldset footer for
 CONTAINER = frozenset("article main section div td body blockquote".split())
 #: Words in class, id or role that name what is not main text.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-social comment comments commentlist consent contentinfo cookie cookies copyright complementary dialog disclaimer disqus discussion feedback footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommended related replies reply respond rail reactions search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar topbar tracking warning widget widgets".split())
+#: Of these, what a part of an article may be called too.
+OWN = frozenset("disclaimer discussion feedback notice notices reactions search share tracking warning".split())
+#: Elements that are parts of a text and not containers: in an article their names say nothing.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 a b i em strong span li dt dd td th tr code pre blockquote figcaption".split())
 #: A page header is no main text, but the head of an article is.
 HEADS = frozenset({"header", "topbar", "masthead", "site-header", "page-header"})
 #: A start tag that ends open elements of these kinds.
@@ -38,19 +46,20 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: [text, tags, link characters, container, in an article or main, article's number, the article is named as no main text]."""
+    """Turns parser events into lines: [text, tags, link characters, container, in an article or main, article's number, the article is named as no main text, the part is]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool, int, bool]] = []  # tag, never, container, in an article or main, article's number, named
+        self.open: list[tuple[str, bool, int, bool, int, bool, bool]] = []  # tag, never, container, in an article or main, article's number, named, part of that name
+        self.held: Counter[str] = Counter()  # open elements by tag
         self.containers = 0
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
 
-    def _state(self) -> tuple[bool, int, bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False, 0, False)
+    def _state(self) -> tuple[bool, int, bool, int, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, 0, False, 0, False, False)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -61,6 +70,11 @@ class Lines(HTMLParser):
             self.tags = self.linked = 0
         self.parts.clear()
 
+    def _shut(self, at: int) -> None:
+        """End the open element at this place and all in it."""
+        self.held.subtract(x[0] for x in self.open[at:])
+        del self.open[at:]
+
     def _unwanted(self, tag: str, attrs: list, article: bool) -> bool:
         if tag in NEVER:
             return True
@@ -69,9 +83,9 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
+            if name in ("class", "id", "role") and value and not (article and tag in TEXT) and tag not in ("html", "body", "article", "main"):
                 words = {w.lower() for w in WORDS.findall(value)}
-                if words & NAMES or not article and words & HEADS:
+                if words & (NAMES - OWN if article else NAMES) or not article and words & HEADS:
                     return True
         return False
 
@@ -89,7 +103,7 @@ class Lines(HTMLParser):
             if tag in ("br", "hr", "wbr"):
                 self.parts.append("" if tag == "wbr" else "\n")
             return
-        never, container, article, border, named = self._state()
+        never, container, article, border, named, part = self._state()
         if tag in ("article", "main"):
             article = True
         if not never:
@@ -99,7 +113,11 @@ class Lines(HTMLParser):
             container = self.containers
         if tag == "article":
             border, named = container, named or self._named(attrs)
-        self.open.append((tag, never, container, article, border, named))
+        elif border and not part and tag not in TEXT and self._named(attrs):  # of OWN's names: others never count
+            self.containers += 1
+            container, part = self.containers, True
+        self.held[tag] += 1
+        self.open.append((tag, never, container, article, border, named, part))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,9 +126,11 @@ class Lines(HTMLParser):
 
     def _close(self, kinds: set[str]) -> None:
         """End the innermost open element of these kinds, unless a container lies between."""
+        if not any(self.held[k] for k in kinds):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in kinds:
-                del self.open[at:]
+                self._shut(at)
                 return
             if self.open[at][0] in CONTAINER or self.open[at][0] in ("ul", "ol", "table", "dl"):
                 return
@@ -119,9 +139,11 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
+        if not self.held[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                del self.open[at:]
+                self._shut(at)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -172,7 +194,8 @@ def main_text(html: str, sigma: float = 1.0, most_linked: float = 0.6, article_w
     level = np.log1p(smoothed)
     named = np.array([x[6] for x in lines])
     # The boundary is that of the text alone: evidence raises lines of an article, it lowers no others.
-    upper = level + np.where(np.array([x[4] for x in lines]) & ~named, np.log(article_weight), 0) >= split(level)
+    part = np.array([x[7] for x in lines])
+    upper = level + np.where(np.array([x[4] for x in lines]) & ~named & ~part, np.log(article_weight), 0) >= split(level)
     content = upper & (np.array([x[2] for x in lines]) <= most_linked * size)
     if not content.any() and any(x[4] for x in lines):
         content = upper & np.array([x[4] for x in lines])  # an article made of links

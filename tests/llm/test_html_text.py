@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,24 @@ def test_clusters_overrule_article_and_main(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("part,kept", [
+    (f"<div class='warning'><p>{LONG}</p></div>", True), ("<p class='market share'>Shares rose by a third this year.</p>", True),
+    ("<h2 id='search'>Search</h2>", True), (f"<section id='discussion'><p>{LONG}</p></section>", True), ("<div class='notice'><a href=x>Log in</a></div>", False),
+    (f"<section class='comments'><p>{LONG}</p></section>", False), (f"<div class='advert'><p>{LONG}</p></div>", False), (f"<div id='newsletter-signup'><p>{LONG}</p></div>", False),
+])
+def test_names_inside_of_an_article(part, kept):
+    text = re.sub("<[^>]*>", "", part).strip()
+    got = main_text(f"<nav>Home</nav><article><h1>A</h1><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>End</footer>")
+    assert got == " ".join(["A", LONG.strip(), *([text] if kept else []), LONG.strip()])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "x" + "</span>" * 8000, "<span>" * 8000 + "<p>x" * 2000, "<div><p>" * 8000 + "x" + "</b></p></i>" * 8000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert main_text(page).startswith("x")
+    assert time.process_time() - began < 3  # under half a second on an idle machine
+
+
 def test_smoothing_and_clusters():
     assert np.allclose(smooth(np.full(5, 3.0), 1.0), 3)
     assert 1 < split(np.array([0.0, 1, 9, 10])) < 9
