@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,9 +102,20 @@ def is_track_id(full_id: Col) -> Column:
     return F.coalesce(col(full_id).rlike("^[0-9]+(:[0-9]+)?$"), F.lit(False))
 
 
+def _digits() -> str:
+    """The ranges of all Unicode digits, by the rule of ``str.isdigit``, as a regular expression takes them."""
+    found = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit()]
+    first = [c for c in found if not chr(c - 1).isdigit()]
+    last = [c for c in found if not chr(c + 1).isdigit()]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True))
+
+
+DIGITS = _digits()
+
+
 def is_entity_id(entity_id: Col) -> Column:
-    """ASCII digits; deliberately narrower than any Unicode digit."""
-    return F.coalesce(col(entity_id).rlike("^[0-9]+$"), F.lit(False))
+    """Unicode digits of any script, superscripts and the like too."""
+    return F.coalesce(col(entity_id).rlike(f"^[{DIGITS}]+\\z"), F.lit(False))
 
 
 def is_commit_id(text: Col) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -111,19 +113,39 @@ PICKS_DDL = "account long, pick int, id string, score double, reason string"
 
 
 def pick_diverse(artists: list[list[str] | None], limit: int, per_artist: int) -> list[int]:
-    """Places in a ranked pool that greedy diversity takes, in the order it takes them."""
-    left, picks, last = list(range(len(artists))), [], set()
-    used: dict[str, int] = {}
+    """Places in a ranked pool that greedy diversity takes, in the order it takes them.
+
+    Rows of one set of artists queue behind each other, and a heap holds the first of each queue. A set with an
+    artist without room leaves for good; sets that meet the pick before are put back after the next one.
+    """
+    queues: dict[frozenset, deque] = {}
+    for place, names in enumerate(artists):
+        queues.setdefault(frozenset(names or ()), deque()).append(place)
+    heads = [(queue[0], names) for names, queue in queues.items()]
+    heapify(heads)
+    room: dict[str, int] = {}
+    picks: list[int] = []
+    before: frozenset = frozenset()
     while len(picks) < limit:
-        free = (i for i in left if not last.intersection(artists[i] or ()) and all(used.get(a, 0) < per_artist for a in artists[i] or ()))
-        best = next(free, None)
-        if best is None:
-            break
-        picks.append(best)
-        left.remove(best)
-        last = set(artists[best] or ())
-        for a in last:
-            used[a] = used.get(a, 0) + 1
+        put_back, taken = [], None
+        while heads and taken is None:
+            head = heappop(heads)
+            if not all(room.get(a, per_artist) for a in head[1]):
+                continue
+            if head[1].isdisjoint(before):
+                taken = head
+            else:
+                put_back.append(head)
+        for head in put_back:
+            heappush(heads, head)
+        if taken is None:
+            return picks
+        place, before = taken
+        picks.append(place)
+        room |= {a: room.get(a, per_artist) - 1 for a in before}
+        queues[before].popleft()
+        if queues[before]:
+            heappush(heads, (queues[before][0], before))
     return picks
 
 

@@ -374,3 +374,11 @@ def test_lines_of_many_findings(spark):
     text = "\n".join(f"line {i}\npassword =\n 'secret{i}'" for i in range(20_000))
     rows = audit.secret_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [r.line for r in rows] == [3 * i + 2 for i in range(20_000)]
+
+
+def test_entity_ids_are_digits_of_any_script(spark):
+    import sys
+
+    rows = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or c < 128)] + ["12٣", "1a", "1\n", "", " 1", "۴۵", "1²", None]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", expr.is_entity_id("x").alias("d")).collect()
+    assert [r.x for r in got if r.d != (r.x or "").isdigit()] == []
