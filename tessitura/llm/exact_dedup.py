@@ -124,7 +124,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns as they are."""
+    """The rows of ``docs`` that stay, with all columns as they are.
+
+    Of equal texts the row with the largest key stays, of equal keys the last by file and row; null keys come before
+    all others. A null text is empty; long texts are compared whole; repeated rows are copies; an empty table stays empty.
+    """
     docs = from_files(docs)
     gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
     located = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))

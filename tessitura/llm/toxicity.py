@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by an exact cosine: of TF-IDF weights times the terms' chi-square with the label.
 
 Fitting uses a bounded sample of labelled rows (``per_class`` of each label, the first by a hash of
 their keys). All of them are examples, with all their terms. A term's weight in a text is
