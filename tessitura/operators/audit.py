@@ -61,11 +61,44 @@ def secret_lines(docs: DataFrame, rules: dict[str, str] | None = None, key: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, category string, line int")
 
 
+#: Kinds of objects in a version store.
+KINDS = ("blob", "tree", "commit", "tag")
 #: What stands for a commit's path, and the suffixes of images.
 METADATA = "(commit metadata)"
 IMAGES = r"\.(png|jpg|jpeg|webp)$"
 
 
+def loose_objects(files: DataFrame) -> DataFrame:
+    """``object, kind, size, content`` of a version store's loose objects, from files (path, content) as ``binaryFile`` reads them.
+
+    An object's id is the two last parts of its path; its file is compressed and begins with kind and size. What is no
+    such file, or is damaged, is no object. Packed objects are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    head, _, body = zlib.decompress(data.as_py() or b"").partition(b"\0")
+                    kind, size = head.decode("ascii").split(" ")
+                except (ValueError, zlib.error):
+                    continue
+                if kind in KINDS and size == str(len(body)):
+                    for column, value in zip(out, ("".join(path.as_py().rsplit("/", 2)[-2:]), kind, len(body), body), strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["object", "kind", "size", "content"])
+
+    return files.select("path", "content").where(F.col("path").rlike("/[0-9a-f]{2}/[0-9a-f]{38}$")).mapInArrow(run, "object string, kind string, size long, content binary")
+
+
+def object_findings(objects: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """:func:`secret_lines` of objects (object, kind, name, content): blobs that are no images, and commits."""
+    scanned = objects.where((F.col("kind") == "commit") | ((F.col("kind") == "blob") & ~is_image("name")))
+    return secret_lines(scanned.select("object", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), rules, "object", "text")
+
+
 def object_label(name: Col) -> Column:
     """The path of a blob, or what stands for one in the metadata of a commit."""
     return nonempty(name, METADATA)

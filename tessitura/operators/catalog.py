@@ -48,6 +48,19 @@ def station_search(stations: DataFrame, query: str) -> DataFrame:
     return station_rows(stations).where(contains_folded("title", query))
 
 
+def with_every(accounts: DataFrame, catalogue: DataFrame, broadcast_rows: int = 50_000, part_rows: int = 10_000) -> DataFrame:
+    """Each account with each row of a catalogue (id, ...).
+
+    The catalogue is dealt in parts of about ``part_rows`` by id, and accounts meet the parts by number, so no task
+    has to hold the whole of it; one of at most ``broadcast_rows`` short rows travels to the accounts.
+    """
+    size = catalogue.count()
+    parts = max(1, -(-size // part_rows))
+    dealt = catalogue.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    return accounts.withColumn("part", numbers).join(F.broadcast(dealt) if size <= broadcast_rows else dealt, "part").drop("part")
+
+
 def station_groups(stations: DataFrame, pins: DataFrame, hidden: DataFrame, recent: DataFrame, most_recent: int = 8) -> DataFrame:
     """``account, group_ord, group, rank, id``: pinned stations, recent ones, then all others by group.
 
@@ -59,11 +72,8 @@ def station_groups(stations: DataFrame, pins: DataFrame, hidden: DataFrame, rece
     last = Window.partitionBy("id").orderBy(F.desc("pos"))
     rows = rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     accounts = recent.select("account").union(pins.select("account")).distinct()
-    # Every account sees the whole catalogue: that is the result's size. Accounts and stations meet by the
-    # number of a part of the catalogue, so no row of it has to hold, and no side to fit, the whole.
-    parts = 32
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    every = accounts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(dealt, "part").drop("part")
+    # Every account sees the whole catalogue: that is the result's size.
+    every = with_every(accounts, rows)
     hide = hidden.select("account", "id", F.lit(True).alias("hide")).distinct()
     facts = (
         every.join(pins.select("account", "id", F.col("pos").alias("pin")), ["account", "id"], "left")

@@ -382,3 +382,37 @@ def test_entity_ids_are_digits_of_any_script(spark):
     rows = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or c < 128)] + ["12٣", "1a", "1\n", "", " 1", "۴۵", "1²", None]
     got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", expr.is_entity_id("x").alias("d")).collect()
     assert [r.x for r in got if r.d != (r.x or "").isdigit()] == []
+
+
+def test_every_account_meets_the_whole_catalogue(spark):
+    accounts = spark.range(7).withColumnRenamed("id", "account")
+    stations = spark.range(25).selectExpr("CAST(id AS STRING) AS id")
+    want = {(a, str(i)) for a in range(7) for i in range(25)}
+    for broadcast_rows, part_rows in ((50, 10_000), (0, 10_000), (0, 4), (50, 4)):
+        rows = [tuple(r) for r in catalog.with_every(accounts, stations, broadcast_rows, part_rows).select("account", "id").collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    assert catalog.with_every(accounts, stations.limit(0)).count() == 0
+
+
+def test_loose_objects_are_read_and_scanned(spark, tmp_path):
+    import zlib
+
+    contents = [("blob", b"password = 'abcdef'"), ("blob", b"\xff\xfe\npassword = 'abcdef'"), ("commit", b"author x\n\ncookie='12345678'"), ("blob", b"image password = 'abcdef'"), ("tree", b"password = 'abcdef'")]
+    names = {}
+    for n, (kind, body) in enumerate(contents):
+        raw = f"{kind} {len(body)}".encode() + b"\0" + body
+        digest = hashlib.sha1(raw).hexdigest()
+        names[digest] = f"f{n}.PNG" if body.startswith(b"image") else f"f{n}"
+        (tmp_path / digest[:2]).mkdir(exist_ok=True)
+        (tmp_path / digest[:2] / digest[2:]).write_bytes(zlib.compress(raw))
+    (tmp_path / "ab").mkdir(exist_ok=True)
+    (tmp_path / "ab" / ("c" * 38)).write_bytes(b"damaged")
+    (tmp_path / "ab" / ("d" * 38)).write_bytes(zlib.compress(b"blob 9\0short"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    objects = audit.loose_objects(files)
+    assert {r.object: r.kind for r in objects.collect()} == {d: contents[n][0] for n, d in enumerate(names)}
+    named = objects.join(spark.createDataFrame(list(names.items()), "object string, name string"), "object")
+    lines = {names[r.object]: r.line for r in audit.object_findings(named).collect()}
+    assert lines == {"f0": 1, "f1": 2, "f2": 3}
+    counts = {r.kind: (r.scanned, r.images, r.findings) for r in audit.audit_counts(named, audit.object_findings(named)).collect()}
+    assert counts == {"blob": (3, 1, 2), "commit": (1, 0, 1), "tree": (1, 0, 0)}
