@@ -137,10 +137,11 @@ def packed(df: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple]], l
     return df.mapInArrow(run, PIECES_DDL)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tokens: int = 2048, segments: int | None = None, loss_tokens: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tokens: int = 2048, segments: int | None = None, loss_tokens: int | None = None, key: str = "doc_id", text: str = "text", words: int = 100_000) -> DataFrame:
     """Pieces of all documents, placed in sequences of at most ``tokens`` tokens; every token bears loss.
 
     Without a limit of ``segments`` a sequence may hold as many pieces as tokens, so short texts fill it too.
+    Workers remember the ids of up to twice ``words`` words, about 200 bytes each.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     loss_tokens``. A null or empty text is one token, the end id. Null keys stay null; repeated
@@ -149,7 +150,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
 
     def ids_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         end = np.asarray([end_id], "<u4").tobytes()
-        for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, 100_000).encode(batch.column(1).to_pylist(), 1 << 21), strict=True):
+        for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, words).encode(batch.column(1).to_pylist(), 1 << 21), strict=True):
             yield k, ids + end, None
 
     return packed(texts(docs, key, text).withColumnRenamed(key, "doc_id"), ids_of, (tokens, segments or tokens, loss_tokens or tokens))

@@ -49,7 +49,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).drop("loss_tokens")
+    return pack_documents(table(spark, sf_dir, "documents"), words=400_000).drop("loss_tokens")
 
 
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
