@@ -72,6 +72,16 @@ def arrow_map(schema: pa.Schema, each: Callable[[pa.RecordBatch], dict], rows: i
     return run
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``docs`` has them."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows whose ``keys`` are in ``dropped`` (null equals null); all columns stay as they are.
 

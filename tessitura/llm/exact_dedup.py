@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256, shared_dir, staged, without
+from .common import sha256, shared_dir, spare, staged, without
 
 #: RocksDB on disk, with its memory bounded for the whole executor.
 STATE = {
@@ -130,6 +130,7 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     all others. A null text is empty; long texts are compared whole; repeated rows are copies; an empty table stays empty.
     """
     docs = from_files(docs)
-    gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
-    located = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return without(located, gone, ["__file", "__row"]).drop("__file", "__row")
+    file, row = spare(docs, "__file", "__row")
+    gone = exact_dedup(docs, key, text).where("NOT kept").select(F.col("at.file").alias(file), F.col("at.row").alias(row))
+    located = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return without(located, gone, [file, row]).drop(file, row)

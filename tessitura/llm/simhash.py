@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, numbered, release, slices, small, staged, texts, without
+from .common import arrow_map, numbered, release, slices, small, spare, staged, texts, without
 from .exact_dedup import from_files
 from .graph import components
 
@@ -462,12 +462,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) ->
     docs = from_files(docs)
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     files = staged(numbered(docs.select(file.alias("__path")).distinct(), "__path"), "file-numbers").withColumnRenamed("number", "__number")
-    located = docs.select("*", file.alias("__file"), row.alias("__row"))
-    known = located.join(small(files), F.col("__file") == F.col("__path")).withColumn("node", F.shiftleft("__number", 40) + F.col("__row"))
-    found = jaccard_components(known.select("node", F.coalesce("text", F.lit("")).alias("text")), words, least)
+    rows = docs.select(file.alias("__file"), row.alias("__row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = rows.join(small(files), F.col("__file") == F.col("__path")).withColumn("node", F.shiftleft("__number", 40) + F.col("__row"))
+    found = jaccard_components(known.select("node", "text"), words, least)
     found = found.withColumnRenamed("node", "__node")
-    ranked = known.select("node", "__file", "__row", F.col("doc_id").alias("id")).join(found, F.col("node") == F.col("__node"))
+    ranked = known.select("node", "__file", "__row", "id").join(found, F.col("node") == F.col("__node"))
     ranked = staged(ranked.select("root", "node", "__file", "__row", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank")), "component-rows")
     kept = ranked.groupBy("root").agg(F.min("rank").alias("first"))
-    gone = ranked.join(kept.select(F.col("first.node").alias("node")), "node", "left_anti")
-    return without(located, gone, ["__file", "__row"]).drop("__file", "__row")
+    of, at = spare(docs, "__file", "__row")
+    gone = ranked.join(kept.select(F.col("first.node").alias("node")), "node", "left_anti").select(F.col("__file").alias(of), F.col("__row").alias(at))
+    return without(docs.select("*", file.alias(of), row.alias(at)), gone, [of, at]).drop(of, at)

@@ -54,3 +54,21 @@ def test_stages_keep_what_brute_force_keeps(spark, tmp_path):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 9001 not in ids and 9002 in ids and 9004 not in ids
+
+
+def test_columns_of_any_name_pass_the_stages(spark, tmp_path):
+    names = ["__file", "__row", "__number", "__path", "node", "root", "id", "rank", "digest", "__gone___file", "n", "at", "body", "key"]
+    rows = [(k, t, *(f"{k}{n}" for n in names)) for k, t in [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (None, None), (3, ""), (4, "other words of a text")]]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    for table, ddl in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == ["doc_id", "text", *names]
+        assert all(r[n] == f"{r.doc_id}{n}" for r in docs.collect() for n in names)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["2", "3", "4"]
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 3
