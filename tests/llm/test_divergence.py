@@ -64,6 +64,6 @@ def test_counts_are_flushed_and_summed(spark):
 def test_equal_values_go_by_bytes(spark):
     terms = ["a" * 100 + x for x in ("", "b", "c", "é", "z")] + ["b", "aa", "a"]
     rows = spark.createDataFrame([("l", "s", t, 7) for t in terms] + [("l", "s", "top", 2**29)], "lang string, source string, term string, value long")
-    for most in range(1, 11):
+    for most in (1, 4, 6, 10):
         got = {r.term for r in top_terms(rows, most).collect()}
         assert got == set((["top"] + sorted(terms, key=str.encode))[:most])
