@@ -409,6 +409,13 @@ def queue_wrap(spark, sf):
     return sequence.wrap_around(q, _current(q), SEED)
 
 
+@query
+def queue_wrap_restored(spark, sf):
+    """A queue that repeats in its canonical order."""
+    q = _queue(spark, sf)
+    return sequence.wrap_around(q, _current(q), None)
+
+
 @query
 def queue_start(spark, sf):
     q = _queue(spark, sf)

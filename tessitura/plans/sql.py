@@ -381,3 +381,4 @@ SQL["radio_source_stream"] = """WITH c AS (SELECT 's' || (conv_id % 40) AS stati
       UNION ALL SELECT station, n, conv_id, -1, before FROM o WHERE before IS NOT NULL),
     f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY station, track ORDER BY n, pos) = 1)
     SELECT station, row_number() OVER (PARTITION BY station ORDER BY n, pos) AS seq, CAST(conv_id AS VARCHAR) AS batch, track FROM f"""
+SQL["queue_wrap_restored"] = f"WITH {QUEUE} SELECT seq_id, pos, id, row_number() OVER (PARTITION BY seq_id ORDER BY base_pos, pos) - 1 AS new_pos FROM queue"
