@@ -1,68 +1,49 @@
 """Streams whose rows count as they arrive: player events held for their acknowledgement, results of old requests, exact counters.
 
 Of one micro-batch the rows of a key are taken by ``seq``; a key's micro-batches follow each other. State is kept per
-key by ``transformWithStateInPandas``.
+bucket of keys (:mod:`tessitura.streaming.buckets`), that of the counters by Spark's own operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tessitura.streaming.buckets import Bucketed, bucketed
 
 #: Events of the player as a whole, which belong to no entry.
 ALWAYS = ("pause", "volume", "mute")
 
 
-def taken(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
-    """The rows of a micro-batch in order. Columns that may be null are strings: numbers would become floats."""
-    yield from pd.concat(list(rows)).sort_values(by, kind="stable").itertuples(index=False)
-
-
-class Acceptance(StatefulProcessor):
-    """Player events of a session (seq, kind, entry, name): what comes after ``load`` and before its ``ack`` is held, the last ``held``.
+class Acceptance(Bucketed):
+    """Player events of a session (seq, kind, entry, name): what comes after ``load`` and before its ``ack`` is held, the last ``most``.
 
     The acknowledgement names the entry; events of it are replayed then and passed from then on, others are dropped.
     Events of ``ALWAYS`` pass at once. A session begins waiting.
     """
 
-    def __init__(self, held: int = 64) -> None:
-        self.held = held
+    columns = ["seq", "kind", "entry", "name"]
+    out = ["seq", "entry", "name", "replayed"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.own = handle.getValueState("own", "entry string")
-        self.pending = handle.getListState("pending", "seq long, entry string, name string")
+    def __init__(self, most: int = 64) -> None:
+        self.most = most
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = self.own.get()[0] if self.own.exists() else None
-        pending = [tuple(p) for p in self.pending.get()] if self.pending.exists() else []
-        out = []
-        for row in taken(rows, ["seq", "kind"]):
-            if row.kind == "load":
+    def fold(self, key, state, rows, now_ms, found):
+        own, pending = state or (None, [])
+        for seq, kind, entry, name in sorted(rows, key=lambda r: r[:2]):
+            if kind == "load":
                 own, pending = None, []
-            elif row.kind == "ack":
-                own = row.entry
-                out += [(*key, *p, True) for p in pending if p[1] == own and own is not None]
+            elif kind == "ack":
+                own = entry
+                found += [(*p, True) for p in pending if p[1] == own and own is not None]
                 pending = []
-            elif row.name in ALWAYS:
-                out.append((*key, row.seq, row.entry, row.name, False))
+            elif name in ALWAYS:
+                found.append((seq, entry, name, False))
             elif own is None:
-                pending = [*pending, (row.seq, row.entry, row.name)][-self.held :]
-            elif row.entry == own:
-                out.append((*key, row.seq, row.entry, row.name, False))
-        for state, value in ((self.own, None if own is None else (own,)), (self.pending, pending or None)):
-            if value is not None:
-                state.put(value) if state is self.pending else state.update(value)
-            elif state.exists():
-                state.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["session", "seq", "entry", "name", "replayed"])
-
-    def close(self) -> None:
-        pass
+                pending = [*pending, (seq, entry, name)][-self.most :]
+            elif entry == own:
+                found.append((seq, entry, name, False))
+        return None if own is None and not pending else (own, pending)
 
 
 def accepted(events: DataFrame, acks: DataFrame, held: int = 64) -> DataFrame:
@@ -73,32 +54,23 @@ def accepted(events: DataFrame, acks: DataFrame, held: int = 64) -> DataFrame:
     rows = events.select("session", "seq", F.lit("event").alias("kind"), F.col("entry").cast("string").alias("entry"), "name")
     kind = F.when(F.col("entry").isNull(), "load").otherwise("ack")
     rows = rows.unionByName(acks.select("session", "seq", kind.alias("kind"), F.col("entry").cast("string").alias("entry"), F.lit(None).cast("string").alias("name")))
-    session = rows.schema["session"].dataType.simpleString()
-    found = rows.groupBy("session").transformWithStateInPandas(Acceptance(held), f"session {session}, seq long, entry string, name string, replayed boolean", "Append", "None")
+    found = bucketed(rows, "session", Acceptance(held), "seq long, entry string, name string, replayed boolean")
     return found.withColumn("entry", F.col("entry").cast("long"))
 
 
-class Latest(StatefulProcessor):
+class Latest(Bucketed):
     """Requests and results of a key (seq, kind, version, id): a result counts if no later version was asked for before it came."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "version long")
+    columns = ["seq", "kind", "version", "id"]
+    out = ["seq", "version", "id", "current"]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = self.latest.get()[0] if self.latest.exists() else None
-        out = []
-        for row in taken(rows, ["seq", "kind", "version", "id"]):
-            if row.kind == "request":
-                latest = row.version if latest is None else max(latest, row.version)
+    def fold(self, key, latest, rows, now_ms, found):
+        for seq, kind, version, result in sorted(rows, key=lambda r: (*r[:3], r[3] is None, r[3] or "")):
+            if kind == "request":
+                latest = version if latest is None else max(latest, version)
             else:
-                out.append((*key, row.seq, row.version, row.id, latest is None or row.version >= latest))
-        if latest is not None:
-            self.latest.update((latest,))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "seq", "version", "id", "current"])
-
-    def close(self) -> None:
-        pass
+                found.append((seq, version, result, latest is None or version >= latest))
+        return latest
 
 
 def judged_results(results: DataFrame, requests: DataFrame) -> DataFrame:
@@ -108,34 +80,16 @@ def judged_results(results: DataFrame, requests: DataFrame) -> DataFrame:
     """
     rows = results.select("key", "seq", F.lit("result").alias("kind"), "version", F.col("id").cast("string").alias("id"))
     rows = rows.unionByName(requests.select("key", "seq", F.lit("request").alias("kind"), "version", F.lit(None).cast("string").alias("id"))).where("version IS NOT NULL")
-    return rows.groupBy("key").transformWithStateInPandas(Latest(), "key string, seq long, version long, id string, current boolean", "Append", "None").withColumn("id", F.col("id").cast("long"))
-
-
-class BatchCounts(StatefulProcessor):
-    """Batches of a station (batch, played) to how many distinct ones were received and played so far; a map in state holds each batch once."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.batches = handle.getMapState("batches", "batch string", "played boolean")
-        self.counts = handle.getValueState("counts", "received long, played long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.counts.get()) if self.counts.exists() else (0, 0)
-        received, played = before
-        new = pd.concat(list(rows)).dropna(subset=["batch"]).groupby("batch")["played"].any()
-        for batch, now in new.items():
-            known = self.batches.containsKey((batch,))
-            was = known and bool(self.batches.getValue((batch,))[0])
-            if not known or (now and not was):
-                received, played = received + (not known), played + (bool(now) and not was)
-                self.batches.updateValue((batch,), (bool(now) or was,))
-        if (received, played) != before:
-            self.counts.update((received, played))
-            yield pd.DataFrame([(*key, received, played)], columns=["station", "received", "played"])
-
-    def close(self) -> None:
-        pass
+    return bucketed(rows, "key", Latest(), "seq long, version long, id string, current boolean").withColumn("id", F.col("id").cast("long"))
 
 
 def batch_counts(batches: DataFrame) -> DataFrame:
-    """``station, received, played`` after each micro-batch that changed them, of a stream (station, batch, played)."""
-    return batches.select("station", F.col("batch").cast("string").alias("batch"), F.coalesce("played", F.lit(False)).alias("played")).groupBy("station").transformWithStateInPandas(BatchCounts(), "station string, received long, played long", "Update", "None")
+    """``station, received, played`` after each micro-batch that changed them, of a stream (station, batch, played).
+
+    A batch is received once and played once: the first row of either kind is found by Spark's deduplication, which
+    deals by station and batch, and counted by its aggregation, of which each task sends a row per station.
+    """
+    kinds = F.array_compact(F.array(F.lit("received"), F.when(F.col("played"), "played")))
+    rows = batches.where("batch IS NOT NULL").select("station", F.col("batch").cast("string").alias("batch"), F.explode(kinds).alias("kind"))
+    first = rows.dropDuplicates(["station", "batch", "kind"])
+    return first.groupBy("station").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("received", "played")))
