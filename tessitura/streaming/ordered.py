@@ -1,7 +1,8 @@
 """Streams whose rows count in the order of their time, however micro-batches cut them: listening time, play sessions, retention.
 
-State is kept per key by ``transformWithStateInPandas``. A row waits in state until the watermark has passed it, so
-what comes late, but within the watermark, takes its place; a timer in event time wakes a key that hears nothing more.
+State is kept per bucket of keys (:mod:`tessitura.streaming.buckets`). A row waits in state until the watermark has
+passed it, so what comes late, but within the watermark, takes its place; a timer in event time wakes a bucket of keys
+that hear nothing more.
 """
 
 from __future__ import annotations
@@ -11,28 +12,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tessitura.streaming.buckets import Bucketed, bucketed
 
 DAY_US = 86_400_000_000
 
 
-class InOrder(StatefulProcessor):
-    """A fold over a key's rows by time and id. Subclasses name their state, rows and result, and give ``step``.
+class InOrder(Bucketed):
+    """A fold over a key's rows by time and id. Subclasses name their rows and result, and give ``step``.
 
-    ``rows_ddl`` begins with ``at_us long, id long``; ``out`` names the columns behind the key's.
+    ``columns`` begins with ``at_us, id``. What is held of a key is its state, its waiting rows and when to wake it.
     """
 
-    rows_ddl = "at_us long, id long"
-    state_ddl = ""
-    keys: list[str] = ["account"]
-    out: list[str] = []
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows_ddl)
-        self.state = handle.getValueState("state", self.state_ddl)
-        self.columns = [x.split()[0] for x in self.rows_ddl.split(", ")]
-
     def step(self, state: tuple | None, row: tuple, found: list[tuple]) -> tuple | None:
         """The state after a row; results go to ``found``."""
         raise NotImplementedError
@@ -45,42 +36,37 @@ class InOrder(StatefulProcessor):
         """When ``passed`` has something to do, in microseconds."""
         return None
 
+    def fold(self, key, state, rows, now_ms, found):
+        now = now_ms * 1000
+        folded, waiting, _ = state or (None, [], None)
+        rows = sorted(waiting + rows, key=lambda r: r[:2])
+        ready = sum(r[0] <= now for r in rows)
+        for row in rows[:ready]:
+            folded = self.step(folded, row, found)
+        folded, rows = self.passed(folded, now, found), rows[ready:]
+        wake = min([r[0] for r in rows[:1]] + [t for t in [self.due(folded)] if t is not None], default=None)
+        return None if folded is None and not rows else (folded, rows, wake)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[self.columns].itertuples(index=False)]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(self._rows(rows), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        now = watermark_ms * 1000
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = sorted(held + new, key=lambda r: r[:2])
-        ready = sum(r[0] <= now for r in rows)
-        before = state = tuple(self.state.get()) if self.state.exists() else None
-        found: list[tuple] = []
-        for row in rows[:ready]:
-            state = self.step(state, row, found)
-        state = self.passed(state, now, found)
-        if rows[ready:]:
-            self.waiting.put(rows[ready:])
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if state is None and before is not None:
-            self.state.clear()
-        elif state is not before:
-            self.state.update(state)
-        times = [r[0] for r in rows[ready : ready + 1]] + [t for t in [self.due(state)] if t is not None]
-        wake = min(times, default=None)
+        yield from self._advance({}, timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, new: dict, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """New rows, and the keys whose time has come."""
+        states = self.held()
+        new |= {k: [] for k, (_, _, wake) in states.items() if wake is not None and wake <= watermark_ms * 1000 and k not in new}
+        results = self._folded(states, new, watermark_ms)
+        if new:
+            self.hold(states)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        wake = min((w for _, _, w in states.values() if w is not None), default=None)
         if wake is not None:
             self.handle.registerTimer(max(-(-wake // 1000), watermark_ms + 1))
-        if found:
-            yield pd.DataFrame([(*key, *r) for r in found], columns=[*self.keys, *self.out])
-
-    def close(self) -> None:
-        pass
+        if results:
+            yield self.frame(results)
 
 
 def timed(rows: DataFrame, delay: str, id_column: str = "event_id") -> DataFrame:
@@ -90,8 +76,9 @@ def timed(rows: DataFrame, delay: str, id_column: str = "event_id") -> DataFrame
 
 
 def in_order(rows: DataFrame, fold: InOrder, ddl: str, delay: str, id_column: str = "event_id") -> DataFrame:
-    """``fold`` over a stream with ``at`` and ``id_column``, per key."""
-    return timed(rows, delay, id_column).groupBy(*fold.keys).transformWithStateInPandas(fold, ddl, "Append", "EventTime")
+    """``fold`` over a stream with ``at`` and ``id_column``, per account."""
+    marked = timed(rows, delay, id_column)
+    return bucketed(marked.select("account", "at", *fold.columns), "account", fold, ddl, "EventTime")
 
 
 class ListeningTime(InOrder):
@@ -100,8 +87,7 @@ class ListeningTime(InOrder):
     State is the last tick. A tick without ``playing`` is a heartbeat: it moves the watermark and counts for nothing.
     """
 
-    rows_ddl = "at_us long, id long, playing boolean"
-    state_ddl = "at_us long, playing boolean"
+    columns = ["at_us", "id", "playing"]
     out = ["until_us", "milliseconds", "intervals"]
 
     def __init__(self, cap_seconds: float = 1.0) -> None:
@@ -122,7 +108,7 @@ def listening_increments(ticks: DataFrame, cap_seconds: float = 1.0, delay: str
 
     An account's first tick gives a row of zeros, so that an account without an interval has its total too.
     """
-    return in_order(ticks, ListeningTime(cap_seconds), "account long, until_us long, milliseconds long, intervals long", delay)
+    return in_order(ticks, ListeningTime(cap_seconds), "until_us long, milliseconds long, intervals long", delay)
 
 
 class PlaySessions(InOrder):
@@ -132,8 +118,7 @@ class PlaySessions(InOrder):
     timeout. Null signals are heartbeats.
     """
 
-    rows_ddl = "at_us long, id long, signal string"
-    state_ddl = "number long, began_us long"
+    columns = ["at_us", "id", "signal"]
     out = ["session", "began_us", "ended_us", "cause"]
 
     def __init__(self, idle_us: int) -> None:
@@ -160,7 +145,7 @@ class PlaySessions(InOrder):
 
 def session_records(signals: DataFrame, idle_us: int = DAY_US, delay: str = "1 day") -> DataFrame:
     """``account, session, began_us, ended_us, cause`` of a stream of signals (account, at, event_id, signal), once a play has ended."""
-    return in_order(signals, PlaySessions(idle_us), "account long, session long, began_us long, ended_us long, cause string", delay)
+    return in_order(signals, PlaySessions(idle_us), "session long, began_us long, ended_us long, cause string", delay)
 
 
 class Forgetting(InOrder):
@@ -169,8 +154,7 @@ class Forgetting(InOrder):
     Yields how many are kept and the oldest of them whenever that changes, zero and null when the account is forgotten.
     """
 
-    rows_ddl = "at_us long, id long, play string"
-    state_ddl = "events array<struct<at_us:long,id:long,play:string>>"
+    columns = ["at_us", "id", "play"]
     out = ["as_of_us", "kept", "oldest_us"]
 
     def __init__(self, days: int = 90, most: int = 5000) -> None:
@@ -179,7 +163,7 @@ class Forgetting(InOrder):
     def step(self, state, row, found):
         if row[2] is None:
             return state
-        events = [tuple(e) for e in state[0]] if state else []
+        events = state[0] if state else []
         kept = [e for e in [*events, row] if e[0] >= row[0] - self.span_us][-self.most :]
         found[:] = [(row[0], len(kept), kept[0][0])]
         return (kept,)
@@ -196,4 +180,4 @@ class Forgetting(InOrder):
 
 def remembered(events: DataFrame, days: int = 90, most: int = 5000, delay: str = "1 day") -> DataFrame:
     """``account, as_of_us, kept, oldest_us`` of a stream of events (account, at, event_id, play); the last row of an account tells what its state holds."""
-    return in_order(events, Forgetting(days, most), "account long, as_of_us long, kept int, oldest_us long", delay)
+    return in_order(events, Forgetting(days, most), "as_of_us long, kept int, oldest_us long", delay)
