@@ -17,7 +17,25 @@ from tessitura.operators.library import first_of, ordered_distinct
 from tessitura.sources.shared import shared_path
 
 
-def queue_build(ids: DataFrame, loaded: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, count: int, *keys: str, per_task: int = 250_000) -> DataFrame:
+    """``rows``, about ``count`` of them, dealt by ``keys`` over more tasks than the session's where those would get more than ``per_task`` each."""
+    tasks = -(-count // per_task)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def _with_known(rows: DataFrame, known: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` (seq_id, id, ...) with the columns of ``known`` (__id, ...), null where it lacks the id.
+
+    A few ids may stand in most rows, so rows are not dealt by id: ``known`` is reduced to the ids ``wanted`` and
+    broadcast. Above ``broadcast_rows`` both are dealt by id, which adaptive execution may split, and then by sequence.
+    """
+    held = known.join(wanted.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi")
+    if held.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(held), F.col("id") == F.col("__id"), "left")
+    return rows.join(held, F.col("id") == F.col("__id"), "left").repartition("seq_id")
+
+
+def queue_build(ids: DataFrame, loaded: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """A queue of all distinct full ids in order (seq_id, pos, full_id), with loaded rows (id, title, available, kind).
 
     Only tracks count; ids that are not loaded are placeholders. ``base_pos`` is the canonical place
@@ -26,10 +44,10 @@ def queue_build(ids: DataFrame, loaded: DataFrame) -> DataFrame:
     first = ordered_distinct(ids, ["seq_id"], "full_id", "pos")
     order = Window.partitionBy("seq_id").orderBy("pos")
     queue = first.select("seq_id", (F.row_number().over(order) - 1).alias("pos"), "full_id", base_id("full_id").alias("id"))
+    queue = queue.withColumn("base_pos", F.max("pos").over(Window.partitionBy("seq_id", "id")))
     known = loaded.where("kind = 'track'").select(F.col("id").alias("__id"), "title", "available")
-    rows = queue.join(known, F.col("id") == F.col("__id"), "left")
-    canonical = F.max("pos").over(Window.partitionBy("seq_id", "id"))
-    return rows.select("seq_id", "pos", "full_id", "id", F.coalesce("title", F.concat(F.lit("TRACK "), F.col("id"))).alias("title"), F.coalesce("available", F.lit(True)).alias("available"), canonical.alias("base_pos"))
+    rows = _with_known(queue, known, ids.select(base_id("full_id").alias("id")), broadcast_rows)
+    return rows.select("seq_id", "pos", "full_id", "id", F.coalesce("title", F.concat(F.lit("TRACK "), F.col("id"))).alias("title"), F.coalesce("available", F.lit(True)).alias("available"), "base_pos")
 
 
 def queue_rows(queue: DataFrame, current: DataFrame) -> DataFrame:
@@ -105,10 +123,10 @@ def look_ahead(queue: DataFrame, current: DataFrame, n: int = 10) -> DataFrame:
     return rows.where((F.col("pos") > F.col("cur")) & (F.col("pos") <= F.col("cur") + n) & (F.coalesce("duration", F.lit(0.0)) == 0)).select("seq_id", "pos", "id")
 
 
-def refresh(queue: DataFrame, fresh: DataFrame) -> DataFrame:
+def refresh(queue: DataFrame, fresh: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """Rows replaced by fresh metadata (id, title, available) where there is any."""
     new = fresh.select(F.col("id").alias("__id"), F.col("title").alias("__title"), F.col("available").alias("__available"))
-    return queue.join(new, F.col("id") == F.col("__id"), "left").select("seq_id", "pos", "id", F.coalesce("__title", "title").alias("title"), F.coalesce("__available", "available").alias("available"))
+    return _with_known(queue, new, queue, broadcast_rows).select("seq_id", "pos", "id", F.coalesce("__title", "title").alias("title"), F.coalesce("__available", "available").alias("available"))
 
 
 def extend(queue: DataFrame, rows: DataFrame) -> DataFrame:
