@@ -12,12 +12,15 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "station string, n int, batch string, pos int, track string, available boolean, error string"
 
+CONTROL = pa.schema([("station", pa.string()), ("turn", pa.int64()), ("previous", pa.string()), ("attempt", pa.int32()), ("part", pa.string())])
+
 
 def at(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, or of a local path."""
@@ -50,7 +53,8 @@ class RadioReader(DataSourceStreamReader):
             return {}
         with fs.open_input_stream(f"{root}/_versions/{names[-1]}") as f:
             folder = json.loads(f.read())["data"]
-        rows = ds.dataset(f"{root}/{folder}/control", filesystem=fs, format="parquet").to_table(columns=["station", "turn", "previous", "attempt"]).to_pylist()
+        held = ds.dataset(f"{root}/{folder}", schema=CONTROL, filesystem=fs, format="parquet", partitioning=ds.partitioning(pa.schema([("part", pa.string())]), flavor="hive"))
+        rows = held.to_table(columns=["station", "turn", "previous", "attempt"], filter=ds.field("part") == "control").to_pylist()
         return {r["station"]: [r["turn"], r["previous"], r["attempt"]] for r in sorted(rows, key=lambda r: r["station"])}
 
     def partitions(self, start: dict, end: dict) -> list[Request]:

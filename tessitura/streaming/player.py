@@ -2,7 +2,8 @@
 
 Its state is a small table per version (:mod:`tessitura.sources.versions`): the queue with the last tracks played, and
 a control row per station, which the source reads as its offset. A micro-batch that is run again finds its number in
-the version and changes nothing.
+the version and changes nothing. A station asks again only after it has played, so there are many micro-batches: each
+is one pass over the stations, grouped, and writes its state once.
 """
 
 from __future__ import annotations
@@ -10,15 +11,48 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.operators.library import first_of
 from tessitura.sources import versions
 from tessitura.sources.radio_source import RadioSource
 
 QUEUE = "station string, seq long, batch string, track string, played boolean"
 CONTROL = "station string, turn long, previous string, attempt int, halted boolean"
+#: One table holds both, and the tracks that a micro-batch accepts (part "out").
+HELD = "station string, seq long, batch string, track string, played boolean, turn long, previous string, attempt int, halted boolean, part string"
+ARROW = pa.schema([("station", pa.string()), ("seq", pa.int64()), ("batch", pa.string()), ("track", pa.string()), ("played", pa.bool_()), ("turn", pa.int64()), ("previous", pa.string()), ("attempt", pa.int32()), ("halted", pa.bool_()), ("part", pa.string())])
+
+
+def _played(low_water: int, memory: int) -> Callable[[pa.Table], pa.Table]:
+    """A station's rows of all parts, and what arrived for it (part "new"), to its rows after the micro-batch."""
+
+    def step(rows: pa.Table) -> pa.Table:
+        of: dict[str, list[dict]] = {"queue": [], "control": [], "new": []}
+        for row in rows.to_pylist():
+            of[row["part"]].append(row)
+        queue, arrived, known = of["queue"], of["new"], {r["track"] for r in of["queue"]}
+        top, out = max((r["seq"] for r in queue), default=0), []
+        for r in sorted((r for r in arrived if r["error"] is None and r["available"] and r["track"] is not None), key=lambda r: r["pos"]):
+            if r["track"] not in known:
+                known.add(r["track"])
+                out.append({"station": r["station"], "seq": top + len(out) + 1, "batch": r["batch"], "track": r["track"], "played": False})
+        failed = any(r["error"] is not None for r in arrived)
+        queue = sorted(queue + out, key=lambda r: r["seq"])
+        waiting = [r for r in queue if not r["played"]]
+        plays = {r["seq"] for r in waiting[: max(len(waiting) - low_water, 1)]} if arrived and not failed else set()
+        queue = [r | {"played": r["played"] or r["seq"] in plays} for r in queue]
+        played = [r for r in queue if r["played"]][-memory:]
+        last = played[-1]["track"] if played else None
+        control = []
+        for r in of["control"]:
+            onward = not failed and last != r["previous"]
+            control.append(r | {"turn": r["turn"] + onward, "previous": last if onward else r["previous"], "attempt": r["attempt"] + 1 if failed else 0 if onward else r["attempt"], "halted": r["halted"] or failed})
+        found = [r | {"part": "queue"} for r in played + [r for r in queue if not r["played"]]] + control + [r | {"part": "out"} for r in out]
+        return pa.Table.from_pylist([{c: r.get(c) for c in ARROW.names} for r in found], schema=ARROW)
+
+    return step
 
 
 class Player:
@@ -27,36 +61,41 @@ class Player:
     def __init__(self, spark: SparkSession, path: str, low_water: int = 2, memory: int = 100) -> None:
         self.spark, self.path, self.low_water, self.memory = spark, path.rstrip("/"), low_water, memory
 
-    def _table(self, name: str, schema: str, folder: str | None) -> DataFrame:
-        return self.spark.createDataFrame([], schema) if folder is None else self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}")
+    def _table(self, part: str, folder: str | None) -> DataFrame:
+        columns = self.spark.createDataFrame([], QUEUE if part == "queue" else CONTROL).columns
+        held = self.spark.createDataFrame([], HELD) if folder is None else self.spark.read.schema(HELD).parquet(f"{self.path}/{folder}")
+        return held.where(F.col("part") == part).select(*columns)
 
     def _state(self) -> tuple[int, dict]:
         return versions.pointer(self.spark, self.path) or (-1, {"data": None, "batch": -1})
 
-    def _commit(self, base: int, batch: int, queue: DataFrame, control: DataFrame) -> None:
+    def _write(self, rows: DataFrame) -> str:
         name = f"data-{uuid.uuid4().hex}"
-        queue.write.parquet(f"{self.path}/{name}/queue")
-        control.write.parquet(f"{self.path}/{name}/control")
-        versions.commit(self.spark, self.path, {"data": name, "batch": batch}, base)
+        rows.write.partitionBy("part").parquet(f"{self.path}/{name}")
+        return name
+
+    def _commit(self, base: int, batch: int, queue: DataFrame, control: DataFrame) -> None:
+        rows = queue.withColumn("part", F.lit("queue")).unionByName(control.withColumn("part", F.lit("control")), allowMissingColumns=True)
+        versions.commit(self.spark, self.path, {"data": self._write(rows), "batch": batch}, base)
 
     def start(self, stations: DataFrame) -> None:
         """Ask for the first batch of stations (station) that do not play yet."""
         base, state = self._state()
-        control = self._table("control", CONTROL, state["data"])
+        control = self._table("control", state["data"])
         new = stations.select("station").distinct().join(control, "station", "left_anti")
         fresh = new.select("station", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("attempt"), F.lit(False).alias("halted"))
-        self._commit(base, state["batch"], self._table("queue", QUEUE, state["data"]), control.unionByName(fresh))
+        self._commit(base, state["batch"], self._table("queue", state["data"]), control.unionByName(fresh))
 
     def halted(self) -> DataFrame:
         """Stations that an error has halted."""
-        return self._table("control", CONTROL, self._state()[1]["data"]).where("halted").select("station")
+        return self._table("control", self._state()[1]["data"]).where("halted").select("station")
 
     def retry(self) -> None:
         """Ask again for what the halted stations asked for."""
         base, state = self._state()
-        control = self._table("control", CONTROL, state["data"])
+        control = self._table("control", state["data"])
         again = control.withColumn("turn", F.col("turn") + F.col("halted").cast("long")).withColumn("halted", F.lit(False))
-        self._commit(base, state["batch"], self._table("queue", QUEUE, state["data"]), again)
+        self._commit(base, state["batch"], self._table("queue", state["data"]), again)
 
     def sink(self, out: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch`` over a radio source; accepted tracks go to ``out``."""
@@ -65,31 +104,12 @@ class Player:
             base, state = self._state()
             if batch_id <= state["batch"]:
                 return
-            queue, control = self._table("queue", QUEUE, state["data"]), self._table("control", CONTROL, state["data"])
-            offers = first_of(arrived.where("error IS NULL AND available AND track IS NOT NULL"), ["station", "track"], ["pos"])
-            new = offers.select("station", "batch", "pos", "track").join(queue.select("station", "track"), ["station", "track"], "left_anti")
-            top = queue.groupBy("station").agg(F.max("seq").alias("top"))
-            place = F.row_number().over(Window.partitionBy("station").orderBy("pos"))
-            accepted = new.join(top, "station", "left").select("station", (F.coalesce("top", F.lit(0).cast("long")) + place).alias("seq"), "batch", "track")
-            accepted.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
-            accepted = self.spark.read.schema(accepted.schema).parquet(f"{out}/micro_batch={batch_id}")
-
-            answered = arrived.groupBy("station").agg(F.max(F.col("error").isNotNull()).alias("failed"))
-            rows = queue.unionByName(accepted.withColumn("played", F.lit(False))).join(answered, "station", "left")
-            from_end = F.row_number().over(Window.partitionBy("station", "played").orderBy(F.desc("seq")))
-            from_start = F.row_number().over(Window.partitionBy("station", "played").orderBy("seq"))
-            plays = F.coalesce(~F.col("failed"), F.lit(False)) & ~F.col("played") & ((from_end > self.low_water) | (from_start == 1))
-            rows = rows.select("station", "seq", "batch", "track", (F.col("played") | plays).alias("played"))
-            age = F.row_number().over(Window.partitionBy("station", "played").orderBy(F.desc("seq")))
-            rows = rows.withColumn("age", age).where(~F.col("played") | (F.col("age") <= self.memory)).drop("age")
-            last = rows.where("played").groupBy("station").agg(F.max_by("track", "seq").alias("last"))
-            now = control.join(answered, "station", "left").join(last, "station", "left")
-            failed, onward = F.coalesce("failed", F.lit(False)), F.coalesce(~F.col("failed") & ~F.col("last").eqNullSafe(F.col("previous")), F.lit(False))
-            now = now.select(
-                "station", (F.col("turn") + onward.cast("long")).alias("turn"), F.when(onward, F.col("last")).otherwise(F.col("previous")).alias("previous"),
-                F.when(failed, F.col("attempt") + 1).when(onward, 0).otherwise(F.col("attempt")).alias("attempt"), (F.col("halted") | failed).alias("halted"),
-            )
-            self._commit(base, batch_id, rows, now)
+            held = self.spark.read.schema(HELD).parquet(f"{self.path}/{state['data']}").where("part <> 'out'")
+            rows = held.unionByName(arrived.drop("n").withColumn("part", F.lit("new")), allowMissingColumns=True)
+            name = self._write(rows.groupBy("station").applyInArrow(_played(self.low_water, self.memory), HELD))
+            accepted = self.spark.read.schema(HELD).parquet(f"{self.path}/{name}").where("part = 'out'")
+            accepted.select("station", "seq", "batch", "track").write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
+            versions.commit(self.spark, self.path, {"data": name, "batch": batch_id}, base)
 
         return play
 

@@ -82,3 +82,22 @@ def test_long_queues_are_dealt_over_more_tasks(spark):
     rows = spark.range(1000)
     assert sequence.dealt(rows, 1000, "id", per_task=100).rdd.getNumPartitions() == 10
     assert sequence.dealt(rows, 1000, "id") is rows
+
+
+def test_a_micro_batch_of_the_player_is_one_pass_over_a_station():
+    import pyarrow as pa
+
+    from tessitura.streaming.player import _played
+
+    names = ["station", "seq", "batch", "track", "played", "turn", "previous", "attempt", "halted", "pos", "available", "error", "part"]
+    row = lambda **r: {n: r.get(n) for n in names}
+    held = [row(part="queue", station="a", seq=k, batch="x", track=t, played=k == 1) for k, t in ((1, "p"), (2, "q"))]
+    held.append(row(part="control", station="a", turn=3, previous="p", attempt=1, halted=False))
+    new = [row(part="new", station="a", batch="y", track=t, pos=k, available=t != "s") for k, t in enumerate(("q", "r", "s", "t", "r", "u"))]
+    found = _played(2, 1)(pa.Table.from_pylist(held + new)).to_pylist()
+    of = lambda part: [r for r in found if r["part"] == part]
+    assert [(r["seq"], r["track"], r["batch"]) for r in of("out")] == [(3, "r", "y"), (4, "t", "y"), (5, "u", "y")]
+    assert [(r["seq"], r["played"]) for r in of("queue")] == [(3, True), (4, False), (5, False)]
+    assert [(r["turn"], r["previous"], r["attempt"], r["halted"]) for r in of("control")] == [(4, "r", 0, False)]
+    failed = _played(2, 1)(pa.Table.from_pylist([*held, row(part="new", station="a", batch="y", error="UNAVAILABLE")])).to_pylist()
+    assert [(r["turn"], r["previous"], r["attempt"], r["halted"]) for r in failed if r["part"] == "control"] == [(3, "p", 2, True)]
