@@ -15,9 +15,10 @@ verified on the bits of all words. What the first word connects is contracted to
 other words only emit links between different trees, so a large group is not linked anew by every
 variant.
 
-The pipeline's stage (:func:`drop_near_duplicates`) goes by the Jaccard similarity of the sets of
-word shingles itself: candidates are found by prefixes of the sets, so that no pair is missed, and
-every link is verified on the shingles.
+The pipeline's stage (:func:`drop_near_duplicates`) takes its candidates from the same variants, over
+fingerprints of two words, and verifies each on the sets of word shingles themselves: it links at a
+Jaccard similarity. Pairs that no variant finds are then looked for by prefixes of the sets, between
+the trees found so far, so that no link is missed.
 """
 
 from __future__ import annotations
@@ -126,6 +127,51 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links a-b make a lightest spanning forest: at each step every tree takes its lightest link to another."""
+    order = np.argsort(weight, kind="stable")
+    nodes, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root, left, taken = np.arange(len(nodes)), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(left := left[root[x[left]] != root[y[left]]]):
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, root[x[left]], left)
+        np.minimum.at(best, root[y[left]], left)
+        new = np.unique(best[best < len(a)])
+        taken.append(new)
+        low, high = np.minimum(root[x[new]], root[y[new]]), np.maximum(root[x[new]], root[y[new]])
+        tops, tree = forest(high, low)
+        move = np.arange(len(nodes))
+        move[tops] = tree
+        root = move[root]
+    return order[np.concatenate(taken)]
+
+
+def run_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int, tree: np.ndarray, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`run_links`, but every link is a pair that was compared, so it can be verified: of each run a lightest spanning forest."""
+    found, size = [], 0
+
+    def reduced() -> np.ndarray:
+        i, j, bits = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1)
+        return np.stack([i, j, bits])[:, spanning(i, j, bits)]  # rows, not nodes, so runs stay apart
+
+    at, step = np.arange(len(key)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at + step] == key[at]]
+        apart = at[tree[at] != tree[at + step]]
+        bits = np.bitwise_count(fp[apart] ^ fp[apart + step]).sum(axis=1, dtype=np.int64)
+        near = bits <= most
+        found.append(np.stack([apart[near], apart[near] + step, bits[near]]))
+        size += int(near.sum())
+        if size > held:
+            found = [reduced()]
+            size = 0
+    i, j, _ = reduced()
+    return node[i], node[j]
+
+
 def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of nodes within runs of equal keys whose fingerprints (rows of words) differ in at most ``most`` bits; with ``tree``, between trees only."""
     found_a, found_b = [], []
@@ -144,14 +190,14 @@ def run_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int, tree
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _link_sorted(most: int):
+def _link_sorted(most: int, of_run=run_links):
     """Rows (key, node, tree, words) sorted by key to links: a run that goes on in the next batch is carried over to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = None
 
         def links(part: np.ndarray) -> pa.RecordBatch:
-            a, b = run_links(part[:, 0], part[:, 1], part[:, 3:].view(np.uint64), most, part[:, 2])
+            a, b = of_run(part[:, 0], part[:, 1], part[:, 3:].view(np.uint64), most, part[:, 2])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=LINKS)
 
         for batch in batches:
@@ -167,6 +213,27 @@ def _link_sorted(most: int):
     return run
 
 
+def word_links(distinct: DataFrame, word: str, run, block: int = 2048, broadcast_rows: int = 100_000) -> DataFrame:
+    """``a, b``: what ``run`` finds in the sorted runs of equal variants of one word of ``distinct(node, tree, fp0 ...)``."""
+    words = distinct.columns[2:]
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(distinct, word)
+    hot = staged(index.groupBy("key").count().where(F.col("count") > block), "hot-variants")
+    n_hot = hot.count()
+    small = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+    usual = index.join(small, "key", "left_anti") if n_hot else index
+    links = usual.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    if n_hot:
+        # Block i of a hot variant meets every block: it goes to the pairs (i, j), each a key of its own.
+        many = index.join(small, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("long"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        dealt = many.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        paired = dealt.select(pair.alias("key"), "node", "tree", *words).repartition(n, "key").sortWithinPartitions("key")
+        links = links.unionByName(paired.mapInArrow(run, "a long, b long"))
+    return links
+
+
 def near_links(distinct: DataFrame, most: int = 4, block: int = 2048, broadcast_rows: int = 100_000) -> DataFrame:
     """``a, b``: links of ``distinct(node, fp0 ...)`` that connect its pairs of at most ``most`` differing bits.
 
@@ -176,23 +243,9 @@ def near_links(distinct: DataFrame, most: int = 4, block: int = 2048, broadcast_
     """
     words = distinct.columns[1:]
     distinct = distinct.select("node", F.col("node").alias("tree"), *words)
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = None
     for i, word in enumerate(words):
-        index = variants(distinct, word)
-        hot = staged(index.groupBy("key").count().where(F.col("count") > block), "hot-variants")
-        n_hot = hot.count()
-        small = F.broadcast(hot) if n_hot <= broadcast_rows else hot
-        usual = index.join(small, "key", "left_anti") if n_hot else index
-        links = usual.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted(most), "a long, b long")
-        if n_hot:
-            # Block i of a hot variant meets every block: it goes to the pairs (i, j), each a key of its own.
-            many = index.join(small, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("long"))
-            own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-            dealt = many.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-            paired = dealt.select(pair.alias("key"), "node", "tree", *words).repartition(n, "key").sortWithinPartitions("key")
-            links = links.unionByName(paired.mapInArrow(_link_sorted(most), "a long, b long"))
+        links = word_links(distinct, word, _link_sorted(most), block, broadcast_rows)
         if i == 0 and len(words) > 1:
             roots = staged(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "trees")
             links = roots.where("a <> b")
@@ -255,34 +308,31 @@ def common_shingles(rows: DataFrame, words: int, sample: int = 20_000, most: int
     return keys[order], np.array([x["count"] for x in found], np.int64)[order]
 
 
-def prefixes(rows: DataFrame, words: int, least: float) -> DataFrame:
-    """``key, node, n, fp0, fp1``: the shingles of each set's prefix, the set's size and a SimHash of 128 bits of the set.
+def shingle_sets(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """``node, n, fp0, fp1, keys``: the size of each set of shingles, its SimHash of two words, and the shingles of its prefix.
 
     Shingles have one order in all sets, common ones last. Two sets of a Jaccard similarity of ``least``
     or more share at least ``ceil(least * n)`` of either's ``n`` shingles, so each one's first
     ``n - ceil(least * n) + 1`` have a shingle in common. The order needs no exact counts.
     """
     common, counts = common_shingles(rows, words)
-    schema = pa.schema([(x, pa.int64()) for x in ("key", "node", "n", "fp0", "fp1")])
+    schema = pa.schema([*((x, pa.int64()) for x in ("node", "n", "fp0", "fp1")), ("keys", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            out = []
-            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                shingles = shingle_set(text, words)
-                digests = _digests(shingles)
-                keys, fp = _keys(digests), _ones(digests, len(shingles), 128).view(np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-                    keys = keys[np.argsort(np.where(common[at] == keys, counts[at], 0), kind="stable")]
-                keys = keys[: len(keys) - math.ceil(least * len(keys) - 1e-9) + 1]
-                rest = np.array([node, len(shingles), *fp], np.int64)
-                out.append(np.concatenate([keys[:, None], np.broadcast_to(rest, (len(keys), 4))], axis=1))
-            if out:
-                table = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)], schema=schema)
+    def each(part: pa.RecordBatch) -> dict:
+        sizes, prints, prefix = [], [], []
+        for text in part.column(1).to_pylist():
+            shingles = shingle_set(text, words)
+            digests = _digests(shingles)
+            keys = _keys(digests)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                keys = keys[np.argsort(np.where(common[at] == keys, counts[at], 0), kind="stable")]
+            sizes.append(len(shingles)), prints.append(_ones(digests, len(shingles), 128).view(np.int64))
+            prefix.append(keys[: len(keys) - math.ceil(least * len(keys) - 1e-9) + 1])
+        fp = np.array(prints, np.int64).reshape(-1, 2)
+        return {"node": part.column(0), "n": sizes, "fp0": np.ascontiguousarray(fp[:, 0]), "fp1": np.ascontiguousarray(fp[:, 1]), "keys": prefix}
 
-    return rows.mapInArrow(run, "key long, node long, n long, fp0 long, fp1 long")
+    return rows.select("node", "text").mapInArrow(arrow_map(schema, each, 256), "node long, n long, fp0 long, fp1 long, keys array<long>")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -305,13 +355,6 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Itera
         yield np.concatenate(held)
 
 
-def _alike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, least: float, most: int) -> np.ndarray:
-    """Which pairs of rows (key, node, n, fp0, fp1, ...) may reach the similarity ``least``, by their sizes and at most ``most`` differing bits."""
-    n, m = rows[i, 2], rows[j, 2]
-    bits = np.bitwise_count((rows[i, 3:5] ^ rows[j, 3:5]).view(np.uint64)).sum(axis=1)
-    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (bits <= most)
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)], schema=LINKS)
@@ -322,26 +365,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _whole_runs(batches):
         same = rows[1:, 0] == rows[:-1, 0]
         kept = rows[np.append(same, False) | np.append(False, same)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, i])) for i in range(5)], names=["key", "node", "n", "fp0", "fp1"])
-
-
-def _stars(least: float, most: int, rounds: int = 16):
-    """Per run, pairs of its first row and the rows like it in other trees, then the same for the rows left over."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
-            left = np.arange(len(rows))
-            for _ in range(rounds):
-                if not len(left):
-                    break
-                first = np.append(True, rows[left[1:], 0] != rows[left[:-1], 0])
-                leader, others = left[first][np.cumsum(first) - 1][~first], left[~first]
-                ok = _alike(rows, leader, others, least, most)
-                apart = ok & (rows[leader, 5] != rows[others, 5])
-                yield _pairs(rows[leader[apart], 1], rows[others[apart], 1])
-                left = others[~ok]
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, i])) for i in range(2)], names=["key", "node"])
 
 
 def bitmaps(rows: DataFrame, words: int, bits: int = 4096) -> DataFrame:
@@ -412,31 +436,44 @@ def jaccard_links(pairs: DataFrame, rows: DataFrame, words: int, least: float, b
     return links
 
 
-def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most: int = 44, leaders: int = 4, stars: int = 2) -> DataFrame:
+def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most: int = 28) -> DataFrame:
     """``node, root`` of the nodes of ``rows(node, text)`` that have a row of similarity ``least`` or more.
 
-    Of each run of an equal prefix shingle, first stars are verified, ``stars`` times: the runs of a group have up
-    to ``leaders`` centres, others each time, and only pairs of different trees with at most ``most`` of 128
-    differing bits count, so a large group of copies grows together after a few pairs a row. Then all pairs
-    between the trees that are left apart are verified, but for those that an exact bound rules out.
+    First come the pairs of SimHash: distinct fingerprints of two words enter the index of each word by their variants,
+    equal variants are joined, and of each run the lightest spanning forest of pairs with at most ``most`` of 128
+    differing bits is verified on the shingles; the second word only joins trees that the first left apart. ``most``
+    sets how much is found here, not what is linked: after it, all pairs between trees that share a shingle of
+    their prefixes are verified too, but for those that an exact bound rules out.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = prefixes(rows, words, least).repartition(n, "key").sortWithinPartitions("key")
-    shared = staged(index.mapInArrow(_shared, "key long, node long, n long, fp0 long, fp1 long"), "shared-prefixes")
-    of_trees = shared.withColumn("tree", F.col("node"))
+    sets = staged(shingle_sets(rows, words, least), "shingle-sets")
+    distinct = staged(sets.groupBy("fp0", "fp1").agg(F.min("node").alias("node")).select("node", "fp0", "fp1"), "distinct-fingerprints")
+    same = sets.join(distinct.withColumnRenamed("node", "first"), ["fp0", "fp1"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     links = done = trees = None
-    for turn in range(stars + 1):
-        if turn < stars:
-            centre = F.xxhash64("node", F.pmod("key", F.lit(leaders)), F.lit(turn))
-            dealt = of_trees.repartition(n, "key").sortWithinPartitions(F.col("key"), centre, F.col("node")).mapInArrow(_stars(least, most), "a long, b long")
+
+    def tree_of(table: DataFrame, *columns: str) -> DataFrame:
+        if trees is None:
+            return table.select("node", F.col("node").alias("tree"), *columns)
+        at = trees.select(F.col("node").alias("at"), "root")
+        return table.join(at, table.node == F.col("at"), "left").select("node", F.coalesce("root", "node").alias("tree"), *columns)
+
+    for step in ("fp0", "fp1", "prefixes"):
+        if step != "prefixes":
+            found = word_links(tree_of(distinct, "fp0", "fp1"), step, _link_sorted(most, run_pairs))
+            found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            found = found.unionByName(same) if step == "fp0" else found
         else:
+            index = sets.select(F.explode("keys").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key")
+            shared = staged(index.mapInArrow(_shared, "key long, node long"), "shared-prefixes")
+            of_trees = staged(tree_of(shared, "key"), "prefixes-of-trees")
             several = of_trees.groupBy("key").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high").select("key")
             left = staged(of_trees.join(several, "key", "left_semi").select("key", "node", "tree"), "keys-of-several-trees")
             some = left.select(F.col("node").alias("at")).distinct()
             maps = staged(bitmaps(rows.join(some, rows.node == F.col("at"), "left_semi"), words), "bitmaps")
             wide = left.join(maps, "node").select("key", "node", "n", "marked", "tree", "bitmap")
-            dealt = wide.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_between_trees(least), "a long, b long")
-        pairs = dealt.distinct() if done is None else dealt.distinct().join(done, ["a", "b"], "left_anti")
+            found = wide.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_between_trees(least), "a long, b long")
+            release(shared, of_trees)
+        pairs = found.distinct() if done is None else found.distinct().join(done, ["a", "b"], "left_anti")
         pairs = staged(pairs, "candidate-pairs")
         if pairs.isEmpty():
             continue
@@ -444,10 +481,7 @@ def jaccard_components(rows: DataFrame, words: int = 5, least: float = 0.8, most
         done = pairs if done is None else staged(done.unionByName(pairs), "verified-pairs")
         links = new if links is None else staged(links.unionByName(new), "links-so-far")
         trees = staged(components(links), "trees")
-        at = trees.select(F.col("node").alias("at"), "root")
-        if turn < stars:
-            of_trees = staged(shared.join(at, shared.node == F.col("at"), "left").select("key", "node", "n", "fp0", "fp1", F.coalesce("root", "node").alias("tree")), "prefixes-of-trees")
-    release(shared)
+    release(sets, distinct)
     return rows.select("node", F.col("node").alias("root")).limit(0) if trees is None else trees
 
 

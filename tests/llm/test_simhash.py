@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from tessitura.llm.graph import components
-from tessitura.llm.simhash import drop_near_duplicates, fingerprint, jaccard_components, near_links, run_links, simhash_components
+from tessitura.llm.simhash import drop_near_duplicates, fingerprint, forest, jaccard_components, near_links, run_links, run_pairs, simhash_components
 
 
 def plain_fingerprint(text, n=4):
@@ -192,3 +192,30 @@ def test_the_bound_on_bitmaps_leaves_no_similar_pair_out(size):
     alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(80) for j in range(i)}
     assert {p for p, x in alike.items() if x >= 0.8} <= found
     assert size != 40 or not [p for p in found if alike[p] < 0.65]
+
+
+def test_the_pipelines_candidates_are_those_of_the_variants(spark, monkeypatch):
+    from tessitura.llm import simhash
+
+    words, verified = [], []
+    own, jaccard = simhash.word_links, simhash.jaccard_links
+    monkeypatch.setattr(simhash, "word_links", lambda rows, word, *a, **k: words.append(word) or own(rows, word, *a, **k))
+    monkeypatch.setattr(simhash, "jaccard_links", lambda *a, **k: verified.append(jaccard(*a, **k)) or verified[-1])
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    simhash.jaccard_components(df)
+    root = jaccard_roots(texts)
+    assert words == ["fp0", "fp1"] and verified[0].count() > 0.5 * (len(root) - len(set(root)))
+
+
+def test_pairs_of_a_run_are_real_connect_it_and_grow_with_it():
+    rng = np.random.default_rng(1)
+    for size in (50, 500):
+        bits = np.uint64(1) << rng.integers(0, 64, (size, 2)).astype(np.uint64)
+        fp = np.stack([np.bitwise_xor.reduce(bits, axis=1), np.zeros(size, np.uint64)], axis=1)
+        key, node = np.repeat([1, 2], size), np.tile(np.arange(size), 2)
+        for held in (1 << 20, 100):
+            a, b = run_pairs(key, node, np.concatenate([fp, fp]), 4, node - size * key, held)
+            assert len(a) == 2 * (size - 1) and (np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1) <= 4).all()
+            assert len(forest(a, b)[0]) == size - 1
+    assert [len(x) for x in run_pairs(key, node, np.concatenate([fp, fp]), 4, key)] == [0, 0]
