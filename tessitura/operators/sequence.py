@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.expr import base_id
 from tessitura.operators.history import split_fold
-from tessitura.operators.library import first_of, ordered_distinct
+from tessitura.operators.library import ordered_distinct
 from tessitura.sources.shared import shared_path
 
 
 def dealt(rows: DataFrame, count: int, *keys: str, per_task: int = 250_000) -> DataFrame:
-    """``rows``, about ``count`` of them, dealt by ``keys`` over more tasks than the session's where those would get more than ``per_task`` each."""
+    """``rows``, about ``count`` of them, dealt by ``keys`` over tasks of about ``per_task`` rows, which adaptive execution does not put together again."""
     tasks = -(-count // per_task)
-    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
 
 
 def _with_known(rows: DataFrame, known: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -129,13 +129,20 @@ def refresh(queue: DataFrame, fresh: DataFrame, broadcast_rows: int = 100_000) -
     return _with_known(queue, new, queue, broadcast_rows).select("seq_id", "pos", "id", F.coalesce("__title", "title").alias("title"), F.coalesce("__available", "available").alias("available"))
 
 
-def extend(queue: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (seq_id, pos, id, available) that a queue lacks and that are available, after its last position."""
-    fresh = first_of(rows.where("available"), ["seq_id", "id"], ["pos"]).join(queue.select("seq_id", "id"), ["seq_id", "id"], "left_anti")
-    size = queue.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
-    order = Window.partitionBy("seq_id").orderBy("pos")
-    added = fresh.join(size, "seq_id", "left").select("seq_id", (F.coalesce("size", F.lit(0)) + F.row_number().over(order) - 1).cast("int").alias("pos"), "id")
-    return queue.select("seq_id", F.col("pos").cast("int").alias("pos"), "id").unionByName(added)
+def extend(queue: DataFrame, rows: DataFrame, count: int = 0) -> DataFrame:
+    """``rows`` (seq_id, pos, id, available) that a queue lacks and that are available, after its last position.
+
+    Both sides, together about ``count`` rows, are dealt by sequence once. An id or a sequence that is null is like no other.
+    """
+    old = queue.select("seq_id", F.col("pos").cast("int").alias("pos"), "id", F.lit(False).alias("new"))
+    both = dealt(old.unionByName(rows.where("available").select("seq_id", F.col("pos").cast("int").alias("pos"), "id", F.lit(True).alias("new"))), count, "seq_id")
+    alone = F.col("new") & (F.col("seq_id").isNull() | F.col("id").isNull())
+    place = F.row_number().over(Window.partitionBy("seq_id", "id", "alone").orderBy("new", "pos"))
+    first = both.withColumn("alone", alone).withColumn("place", place).where("NOT new OR place = 1")
+    size = F.max(F.when(~F.col("new") & F.col("seq_id").isNotNull(), F.col("pos") + 1)).over(Window.partitionBy("seq_id"))
+    after = F.row_number().over(Window.partitionBy("seq_id", "new").orderBy("pos", "id")) - 1
+    sized = first.withColumn("size", size).withColumn("after", after)
+    return sized.select("seq_id", F.when(F.col("new"), F.coalesce("size", F.lit(0)) + F.col("after")).otherwise(F.col("pos")).cast("int").alias("pos"), "id")
 
 
 def history_positions(history: DataFrame, queue: DataFrame) -> DataFrame:

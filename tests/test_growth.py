@@ -101,3 +101,17 @@ def test_a_micro_batch_of_the_player_is_one_pass_over_a_station():
     assert [(r["turn"], r["previous"], r["attempt"], r["halted"]) for r in of("control")] == [(4, "r", 0, False)]
     failed = _played(2, 1)(pa.Table.from_pylist([*held, row(part="new", station="a", batch="y", error="UNAVAILABLE")])).to_pylist()
     assert [(r["turn"], r["previous"], r["attempt"], r["halted"]) for r in failed if r["part"] == "control"] == [(3, "p", 2, True)]
+
+
+def test_queues_of_several_tasks_are_dealt_whatever_the_sessions_number(spark):
+    assert sequence.dealt(spark.range(1000), 1000, "id", per_task=500).rdd.getNumPartitions() == 2 < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_queue_is_extended_in_one_shuffle_by_sequence(spark):
+    queue = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 4, None), (None, 2, "a")], "seq_id long, pos int, id string")
+    rows = spark.createDataFrame([(1, 5, "c", True), (1, 2, "a", True), (1, 3, "d", False), (1, 4, "c", True), (1, 7, "e", True), (3, 0, None, True), (4, 9, "z", True), (None, 1, "a", True)], "seq_id long, pos int, id string, available boolean")
+    found = sequence.extend(queue, rows, 600_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(seq_id") == plan.count("Exchange hashpartitioning") == 1 and found.rdd.getNumPartitions() == 3
+    new = [(1, 2, "c"), (1, 3, "e"), (3, 5, None), (4, 0, "z"), (None, 0, "a")]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([*map(tuple, queue.collect()), *new], key=repr)
