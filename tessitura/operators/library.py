@@ -50,29 +50,37 @@ def valid_changes(changes: DataFrame) -> DataFrame:
     return changes.where(is_track_id("track_id") & ((album == "") | is_entity_id(album)))
 
 
-def merged_places(likes: DataFrame, changes: DataFrame) -> DataFrame:
+def merged_places(likes: DataFrame, changes: DataFrame, parts: dict[str, Column] | None = None) -> DataFrame:
     """Likes (account, place, full_id) after confirmed changes, in places that order them; no like that stays is given another.
 
     ``changes`` has (account, seq, track_id, album_id, liked, status). Only the last confirmed change
     of a base id counts, with one exception that order demands: a removal before an addition moves
     the like to the front. Adding what is there, or removing what is not, changes nothing. New
     likes stand before all others, the newest first, at ``-1 - seq``, under the given full id, else base:album,
-    else the base. Equal to applying the changes one by one.
+    else the base. Equal to applying the changes one by one. Likes and changes are shuffled once, together, by account
+    and base; with ``parts``, columns made of those two, by these, which then stand before the result's columns and in its order.
     """
-    known = valid_changes(changes).where("status = 'confirmed'").withColumn("base", base_id("track_id"))
-    last = Window.partitionBy("account", "base").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    # An addition takes effect when the base is absent then: at the start if it was no like, or after a removal.
-    state = known.withColumn("before", F.last("liked", ignorenulls=True).over(last))
-    there = likes.withColumn("base", base_id("full_id")).select("account", "base").distinct().withColumn("there", F.lit(True))
-    facts = state.join(there, ["account", "base"], "left").withColumn("present", F.coalesce("before", "there", F.lit(False)))
-    added = facts.where(F.col("liked") & ~F.col("present"))
+    known = valid_changes(changes).where("status = 'confirmed' AND account IS NOT NULL").withColumn("base", base_id("track_id"))
     own = F.when(F.contains("track_id", F.lit(":")), F.col("track_id")).when(F.coalesce("album_id", F.lit("")) != "", F.concat_ws(":", "base", "album_id")).otherwise(F.col("base"))
-    net = facts.groupBy("account", "base").agg(F.max_by("liked", "seq").alias("liked"), F.max(F.when(~F.col("liked"), 1).otherwise(0)).alias("removed"))
-    newest = added.groupBy("account", "base").agg(F.max("seq").alias("seq"), F.max_by(own, "seq").alias("full_id"))
-    front = newest.join(net.where("liked"), ["account", "base"]).select("account", (-1 - F.col("seq")).cast("long").alias("place"), "full_id")
+    new = known.select("account", "base", F.col("seq").cast("long").alias("seq"), "liked", own.alias("full_id"), F.lit(None).cast("long").alias("place"), F.lit(False).alias("there"))
+    old = likes.select("account", base_id("full_id").alias("base"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("liked"), "full_id", F.col("place").cast("long").alias("place"), F.lit(True).alias("there"))
+    rows, names = old.unionByName(new), list(parts or {})
+    if parts:
+        rows = rows.withColumns(parts).repartition(*names)
+    of_base = Window.partitionBy(*names, "account", "base").orderBy(F.desc("there"), "seq")
+    whole = of_base.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.last("liked", ignorenulls=True).over(of_base.rowsBetween(Window.unboundedPreceding, -1))
+    facts = rows.withColumns({
+        # An addition takes effect when the base is absent then: at the start if it was no like, or after a removal.
+        "added": ~F.col("there") & F.col("liked") & ~F.coalesce(before, F.first("there").over(whole)),
+        "removed": F.coalesce(F.max(~F.col("liked")).over(whole), F.lit(False)),
+        "wanted": F.last("liked").over(whole),
+        "number": F.row_number().over(of_base),
+    })
+    newest = facts.withColumn("newest", F.max(F.when(F.col("added"), F.col("number"))).over(whole))
     # What was there stays unless some change removed it; what came back is a new like.
-    stay = likes.withColumn("base", base_id("full_id")).join(net.where("removed = 1"), ["account", "base"], "left_anti").select("account", F.col("place").cast("long").alias("place"), "full_id")
-    return front.unionByName(stay)
+    kept = newest.where("there AND NOT removed OR added AND wanted AND number = newest")
+    return kept.select(*names, "account", F.coalesce("place", -1 - F.col("seq")).alias("place"), "full_id")
 
 
 def placed_likes(likes: DataFrame) -> DataFrame:

@@ -32,13 +32,14 @@ class LikeStore:
         return found
 
     def _bucket(self, count: int):
-        return F.pmod(F.xxhash64("account"), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64(F.col("account").cast("long")), F.lit(count)).cast("int")
 
     def _write(self, rows: DataFrame, count: int) -> dict[str, str]:
-        """Rows as a new folder; the folder of each bucket that has any. A bucket is dealt over four files, so a hot account is not one task."""
+        """Rows as a new folder; the folder of each bucket that has any. A bucket is dealt over four files, so a hot account is not one task; rows with a ``bucket`` are dealt already."""
         name = f"data-{uuid.uuid4().hex}"
-        keyed = rows.select("account", F.col("place").cast("long").alias("place"), "full_id", self._bucket(count).alias("bucket"))
-        keyed.repartition("bucket", F.pmod(F.xxhash64("full_id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        if "bucket" not in rows.columns:
+            rows = rows.withColumn("bucket", self._bucket(count)).repartition("bucket", F.pmod(F.xxhash64("full_id"), F.lit(4)))
+        rows.select("account", F.col("place").cast("long").alias("place"), "full_id", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         fs, folder = versions.hadoop_path(self.spark, f"{self.path}/{name}")
         found = [s.getPath().getName() for s in fs.listStatus(folder)]
         return {x.removeprefix("bucket="): f"{name}/{x}" for x in found if x.startswith("bucket=")}
@@ -68,19 +69,22 @@ class LikeStore:
         failed changes count for nothing; if no change counts, the last version stays.
         """
         known = valid_changes(changes).where("status = 'confirmed'")
-        low, high = known.agg(F.min("seq"), F.max("seq")).first()
         version, manifest = self._manifest()
-        if low is None:
-            return version
         count = manifest["count"]
-        touched = sorted(str(r[0]) for r in known.select(self._bucket(count)).distinct().collect())  # at most a row per bucket
+        of_bucket = known.groupBy(self._bucket(count).alias("bucket")).agg(F.min("seq").alias("low"), F.max("seq").alias("high")).collect()  # at most a row per bucket
+        seen = [r for r in of_bucket if r["low"] is not None]
+        if not seen:
+            return version
+        low, high = min(r["low"] for r in seen), max(r["high"] for r in seen)
+        touched = sorted(str(r["bucket"]) for r in of_bucket)
+        parts = {"bucket": self._bucket(count), "part": F.pmod(F.xxhash64("base"), F.lit(4)).cast("int")}
         folders: dict[str, str] | None = None
         while True:
             last_seq = max((manifest["last_seq"].get(b, -1) for b in touched), default=-1)
             if low <= last_seq:
                 raise StaleVersion(f"changes from {low} on come after {last_seq} was committed")
             if folders is None:
-                folders = self._write(merged_places(self._rows(manifest, touched), known), count)
+                folders = self._write(merged_places(self._rows(manifest, touched), known, parts), count)
             kept = {b: f for b, f in manifest["folders"].items() if b not in touched}
             try:
                 return versions.commit(self.spark, self.path, {"count": count, "last_seq": manifest["last_seq"] | dict.fromkeys(touched, int(high)), "folders": kept | folders, "changed": touched}, version)

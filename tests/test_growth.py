@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from tessitura.operators import sequence
+from tessitura.operators import library, sequence
 from tessitura.streaming import arrivals, ordered
 
 
@@ -103,6 +103,10 @@ def test_a_micro_batch_of_the_player_is_one_pass_over_a_station():
     assert [(r["turn"], r["previous"], r["attempt"], r["halted"]) for r in failed if r["part"] == "control"] == [(3, "p", 2, True)]
 
 
+def exchanges(found):
+    return found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_queues_of_several_tasks_are_dealt_whatever_the_sessions_number(spark):
     assert sequence.dealt(spark.range(1000), 1000, "id", per_task=500).rdd.getNumPartitions() == 2 < int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,3 +119,16 @@ def test_a_queue_is_extended_in_one_shuffle_by_sequence(spark):
     assert plan.count("Exchange hashpartitioning(seq_id") == plan.count("Exchange hashpartitioning") == 1 and found.rdd.getNumPartitions() == 3
     new = [(1, 2, "c"), (1, 3, "e"), (3, 5, None), (4, 0, "z"), (None, 0, "a")]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([*map(tuple, queue.collect()), *new], key=repr)
+
+
+def test_likes_and_changes_are_shuffled_once(spark):
+    likes = spark.range(40).selectExpr("id % 4 AS account", "id AS place", "concat(id, ':1') AS full_id")
+    changes = spark.range(100).selectExpr("id % 4 AS account", "id AS seq", "CAST(id % 50 AS STRING) AS track_id", "CAST(NULL AS STRING) AS album_id", "id % 3 <> 0 AS liked", "'confirmed' AS status")
+    assert exchanges(library.merged_places(likes, changes)) == 1
+    rows = {(r.account, r.full_id.split(":")[0]): (r.place, r.full_id) for r in likes.collect()}
+    for r in changes.orderBy("seq").collect():
+        if not r.liked:
+            rows.pop((r.account, r.track_id), None)
+        else:
+            rows.setdefault((r.account, r.track_id), (-1 - r.seq, r.track_id))
+    assert sorted(map(tuple, library.merged_places(likes, changes).collect())) == sorted((k[0], *v) for k, v in rows.items())
