@@ -14,8 +14,11 @@ a block up. The few actions before the first ``start`` travel as they are. So
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,50 @@ def folded(state: tuple[int, int, int], moves: list[int], ids: list[str | None])
     return entries, lowest
 
 
+def by_run(keys: list[str], each: Callable[..., dict], rows: int = 1 << 14):
+    """A function for ``mapInArrow`` over rows sorted by ``keys``: ``each(*key, rows)`` gives the columns of one run of equal keys.
+
+    Results of about ``rows`` rows go out together. A run that goes on in the next batch is held until it ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        out: dict[str, list] = {}
+        last = None
+
+        def ended() -> None:
+            table = pa.Table.from_batches(held)
+            for name, values in each(*last, table).items():
+                out.setdefault(name, []).extend(values)
+            held.clear()
+
+        def batch_of(schema: pa.Schema) -> pa.RecordBatch:
+            kinds = {"seq_id": schema.field("seq_id").type, "block": pa.int32(), "first": pa.list_(pa.int32()), "table": pa.list_(pa.int64()), "id": pa.string(), "cut": pa.bool_()}
+            found = pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()})
+            out.clear()
+            return found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            start = 0
+            for stop in [*(i for i in range(1, len(found)) if found[i] != found[i - 1]), len(found)]:
+                if held and found[start] != last:
+                    ended()
+                    if len(next(iter(out.values()))) >= rows:
+                        yield batch_of(batch.schema)
+                last = found[start]
+                held.append(batch.slice(start, stop - start))
+                start = stop
+        if held:
+            schema = held[0].schema
+            ended()
+            yield batch_of(schema)
+
+    return run
+
+
 def split_fold(actions: DataFrame, folder: str) -> DataFrame:
     """``seq_id, history array<string>, cursor`` of actions (seq_id, n, action, id), each session dealt over blocks.
 
@@ -114,35 +161,35 @@ def split_fold(actions: DataFrame, folder: str) -> DataFrame:
     dealt.write.parquet(f"{folder}/blocks")
     blocks = spark.read.schema(dealt.schema).parquet(f"{folder}/blocks")
 
-    def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
-        moves = rows.sort_values("order")["move"].to_numpy()
-        first, table = summary(moves[moves <= FORWARD])
-        return pd.DataFrame({"seq_id": rows["seq_id"].iloc[:1], "block": rows["block"].iloc[:1], "first": [first], "table": [table.ravel().tolist()]})
+    def sum_up(session, block, rows: pa.Table) -> dict:
+        first, table = summary(rows["move"].to_numpy()[rows["move"].to_numpy() <= FORWARD])
+        return {"seq_id": [session], "block": [block], "first": [first], "table": [table.ravel().tolist()]}
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+    def chain(session, rows: pa.Table) -> dict:
         states = [NOTHING]
-        for first, table in rows.sort_values("block")[["first", "table"]].itertuples(index=False):
-            states.append(after(states[-1], list(first), np.asarray(table, np.int64).reshape(-1, 3)))
-        found = pd.DataFrame(states, columns=["at", "left", "right"])
-        found.insert(0, "block", [*sorted(rows["block"]), -1])
-        found.insert(0, "seq_id", rows["seq_id"].iloc[0])
-        return found
-
-    sums = blocks.groupBy("seq_id", "block").applyInPandas(sum_up, f"seq_id {key}, block int, first array<int>, table array<long>")
-    states = sums.groupBy("seq_id").applyInPandas(chain, f"seq_id {key}, block int, at long, left long, right long")
-    states.write.parquet(f"{folder}/states")
-    states = spark.read.schema(states.schema).parquet(f"{folder}/states")
+        for first, table in zip(rows["first"].to_pylist(), rows["table"].to_pylist(), strict=True):
+            states.append(after(states[-1], first, np.asarray(table, np.int64).reshape(-1, 3)))
+        at, left, right = map(list, zip(*states, strict=True))
+        return {"seq_id": [session] * len(states), "block": [*rows["block"].to_pylist(), -1], "at": at, "left": left, "right": right}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["move"] <= FORWARD].sort_values("order")
+    def fold(session, block, rows: pa.Table) -> dict:
+        rows = rows.filter(pc.less_equal(rows["move"], FORWARD))
         if not len(rows):
-            return pd.DataFrame({"seq_id": [], "block": [], "place": [], "id": [], "cut": []})
-        state = tuple(int(rows[c].iloc[0]) for c in ("at", "left", "right"))
-        entries, lowest = folded(state, rows["move"].tolist(), rows["id"].tolist())
-        places, ids = [*entries, lowest], [*entries.values(), None]
-        return pd.DataFrame({"seq_id": rows["seq_id"].iloc[0], "block": rows["block"].iloc[0], "place": places, "id": ids, "cut": [False] * len(entries) + [True]})
+            return {"seq_id": [], "block": [], "place": [], "id": [], "cut": []}
+        state = tuple(rows[c][0].as_py() for c in ("at", "left", "right"))
+        entries, lowest = folded(state, rows["move"].to_pylist(), rows["id"].to_pylist())
+        n = len(entries) + 1
+        return {"seq_id": [session] * n, "block": [block] * n, "place": [*entries, lowest], "id": [*entries.values(), None], "cut": [False] * (n - 1) + [True]}
+
+    # A session is dealt by its blocks, which lie in order; runs of equal keys go through a task as a stream.
+    own = blocks.repartition("seq_id", "block").sortWithinPartitions("seq_id", "block", "order")
+    sums = own.mapInArrow(by_run(["seq_id", "block"], sum_up), f"seq_id {key}, block int, first array<int>, table array<long>")
+    states = sums.repartition("seq_id").sortWithinPartitions("seq_id", "block").mapInArrow(by_run(["seq_id"], chain), f"seq_id {key}, block int, at long, left long, right long")
+    states.write.parquet(f"{folder}/states")
+    states = spark.read.schema(states.schema).parquet(f"{folder}/states")
 
-    parts = blocks.join(states, ["seq_id", "block"]).groupBy("seq_id", "block").applyInPandas(fold, f"seq_id {key}, block int, place long, id string, cut boolean")
+    at = blocks.join(states, ["seq_id", "block"]).repartition("seq_id", "block").sortWithinPartitions("seq_id", "block", "order")
+    parts = at.mapInArrow(by_run(["seq_id", "block"], fold), f"seq_id {key}, block int, place long, id string, cut boolean")
     parts.write.parquet(f"{folder}/entries")
     parts = spark.read.schema(parts.schema).parquet(f"{folder}/entries")
     later = Window.partitionBy("seq_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)

@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from tessitura.operators import library, sequence
+from tessitura.operators import history, library, sequence
 from tessitura.streaming import arrivals, ordered
 
 
@@ -132,3 +132,13 @@ def test_likes_and_changes_are_shuffled_once(spark):
         else:
             rows.setdefault((r.account, r.track_id), (-1 - r.seq, r.track_id))
     assert sorted(map(tuple, library.merged_places(likes, changes).collect())) == sorted((k[0], *v) for k, v in rows.items())
+
+
+def test_runs_of_a_key_are_given_whole_and_go_out_together():
+    import pyarrow as pa
+
+    batch = lambda *keys: pa.RecordBatch.from_pydict({"seq_id": pa.array(keys, pa.int64()), "n": pa.array(range(len(keys)), pa.int64())})
+    each = lambda key, rows: {"seq_id": [key], "place": [len(rows)]}
+    found = list(history.by_run(["seq_id"], each)(iter([batch(1, 1, 2), batch(), batch(2), batch(2, 3)])))
+    assert [b.to_pydict() for b in found] == [{"seq_id": [1, 2, 3], "place": [2, 3, 1]}]
+    assert len(list(history.by_run(["seq_id"], each, 1)(iter([batch(1, 1, 2), batch(2, 3)])))) == 3
