@@ -1,65 +1,64 @@
 """The player behind a radio source: queues without repeats, plays, asks for more when few are left, halts at errors.
 
 Its state is a small table per version (:mod:`tessitura.sources.versions`): the queue with the last tracks played, and
-a control row per station, which the source reads as its offset. A micro-batch that is run again finds its number in
-the version and changes nothing. A station asks again only after it has played, so there are many micro-batches: each
-is one pass over the stations, grouped, and writes its state once.
+a control row per station, whose turn the source reads as its offset. A micro-batch that is run again finds its number in
+the version and changes nothing. The source brings a stretch of answers per station; a micro-batch is one pass over
+the stations, grouped, that takes them in by the rules (:mod:`tessitura.streaming.station`) and writes the state once.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.sources import versions
-from tessitura.sources.radio_source import RadioSource
+from tessitura.sources import radio_source, versions
+from tessitura.streaming.station import Rules, Station
 
 QUEUE = "station string, seq long, batch string, track string, played boolean"
 CONTROL = "station string, turn long, previous string, attempt int, halted boolean"
-#: One table holds both, and the tracks that a micro-batch accepts (part "out").
+#: One table holds both, and the tracks that a micro-batch accepts (part "out"); its Arrow schema is the source's.
 HELD = "station string, seq long, batch string, track string, played boolean, turn long, previous string, attempt int, halted boolean, part string"
-ARROW = pa.schema([("station", pa.string()), ("seq", pa.int64()), ("batch", pa.string()), ("track", pa.string()), ("played", pa.bool_()), ("turn", pa.int64()), ("previous", pa.string()), ("attempt", pa.int32()), ("halted", pa.bool_()), ("part", pa.string())])
 
 
-def _played(low_water: int, memory: int) -> Callable[[pa.Table], pa.Table]:
+def _played(rules: Rules) -> Callable[[pa.Table], pa.Table]:
     """A station's rows of all parts, and what arrived for it (part "new"), to its rows after the micro-batch."""
 
     def step(rows: pa.Table) -> pa.Table:
         of: dict[str, list[dict]] = {"queue": [], "control": [], "new": []}
         for row in rows.to_pylist():
             of[row["part"]].append(row)
-        queue, arrived, known = of["queue"], of["new"], {r["track"] for r in of["queue"]}
-        top, out = max((r["seq"] for r in queue), default=0), []
-        for r in sorted((r for r in arrived if r["error"] is None and r["available"] and r["track"] is not None), key=lambda r: r["pos"]):
-            if r["track"] not in known:
-                known.add(r["track"])
-                out.append({"station": r["station"], "seq": top + len(out) + 1, "batch": r["batch"], "track": r["track"], "played": False})
-        failed = any(r["error"] is not None for r in arrived)
-        queue = sorted(queue + out, key=lambda r: r["seq"])
-        waiting = [r for r in queue if not r["played"]]
-        plays = {r["seq"] for r in waiting[: max(len(waiting) - low_water, 1)]} if arrived and not failed else set()
-        queue = [r | {"played": r["played"] or r["seq"] in plays} for r in queue]
-        played = [r for r in queue if r["played"]][-memory:]
-        last = played[-1]["track"] if played else None
-        control = []
-        for r in of["control"]:
-            onward = not failed and last != r["previous"]
-            control.append(r | {"turn": r["turn"] + onward, "previous": last if onward else r["previous"], "attempt": r["attempt"] + 1 if failed else 0 if onward else r["attempt"], "halted": r["halted"] or failed})
-        found = [r | {"part": "queue"} for r in played + [r for r in queue if not r["played"]]] + control + [r | {"part": "out"} for r in out]
-        return pa.Table.from_pylist([{c: r.get(c) for c in ARROW.names} for r in found], schema=ARROW)
+        answers: dict[int, list[dict]] = {}
+        for row in of["new"]:
+            answers.setdefault(row["ask"], []).append(row)
+        control, going = of["control"][0], False
+        station = Station(rules, of["queue"], control)
+        for _, answer in sorted(answers.items()):
+            going = station.hear(answer)
+        # A stretch that did not end by itself ended by its rows, and the next one is asked for.
+        turn = control["turn"] + (going and len(of["new"]) >= rules.most)
+        found = [{"part": "control", "turn": turn, "previous": station.previous, "attempt": station.attempt, "halted": station.halted}]
+        for part, played, tracks in (("queue", True, station.played), ("queue", False, station.waiting), ("out", False, station.accepted)):
+            found += [{"part": part, "seq": seq, "batch": batch, "track": track, "played": played} for seq, batch, track in tracks]
+        names = radio_source.HELD.names
+        return pa.Table.from_pylist([{c: r.get(c) for c in names} | {"station": control["station"]} for r in found], schema=radio_source.HELD)
 
     return step
 
 
 class Player:
-    """A player of stations under ``path``: plays down to ``low_water`` queued tracks, at least one, then asks again; a track may return when ``memory`` others were played since."""
+    """A player of stations under ``path``: plays down to ``low_water`` queued tracks, at least one, then asks again; a track may return when ``memory`` others were played since.
 
-    def __init__(self, spark: SparkSession, path: str, low_water: int = 2, memory: int = 100) -> None:
-        self.spark, self.path, self.low_water, self.memory = spark, path.rstrip("/"), low_water, memory
+    An error halts a station. It is asked again ``again`` times for one cursor at once, and then by :meth:`retry`. In one
+    micro-batch a station asks until it has about ``most`` rows of answers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, low_water: int = 2, memory: int = 100, again: int = 0, most: int = 50_000) -> None:
+        self.spark, self.path, self.rules = spark, path.rstrip("/"), Rules(low_water, memory, again, most)
 
     def _table(self, part: str, folder: str | None) -> DataFrame:
         columns = self.spark.createDataFrame([], QUEUE if part == "queue" else CONTROL).columns
@@ -106,7 +105,7 @@ class Player:
                 return
             held = self.spark.read.schema(HELD).parquet(f"{self.path}/{state['data']}").where("part <> 'out'")
             rows = held.unionByName(arrived.drop("n").withColumn("part", F.lit("new")), allowMissingColumns=True)
-            name = self._write(rows.groupBy("station").applyInArrow(_played(self.low_water, self.memory), HELD))
+            name = self._write(rows.groupBy("station").applyInArrow(_played(self.rules), HELD))
             accepted = self.spark.read.schema(HELD).parquet(f"{self.path}/{name}").where("part = 'out'")
             accepted.select("station", "seq", "batch", "track").write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
             versions.commit(self.spark, self.path, {"data": name, "batch": batch_id}, base)
@@ -115,8 +114,8 @@ class Player:
 
     def run(self, service: str, out: str, checkpoint: str) -> None:
         """Play until no station asks for more: each has played what the service has, or is halted. Goes on from its checkpoint."""
-        self.spark.dataSource.register(RadioSource)
-        stream = self.spark.readStream.format("radio").option("service", service).option("player", self.path).load()
+        self.spark.dataSource.register(radio_source.RadioSource)
+        stream = self.spark.readStream.format("radio").options(service=service, player=self.path, **asdict(self.rules)).load()
         query = stream.writeStream.foreachBatch(self.sink(out)).option("checkpointLocation", checkpoint).start()
         try:
             query.processAllAvailable()

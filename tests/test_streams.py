@@ -1,10 +1,13 @@
 """Streams with state, their rows in several micro-batches and out of order."""
 
 import datetime
+import os
 import time
 
+import duckdb
 import pytest
 
+from tessitura.plans.sql import SQL
 from tessitura.sources import versions
 from tessitura.streaming import arrivals, ordered, radio
 from tessitura.streaming.player import Player
@@ -160,3 +163,34 @@ def test_radio_asks_once_halts_and_goes_on(spark, tmp_path):
     last = player._state()[0]
     player.sink(f"{folder}/out")(spark.createDataFrame([("a", 9, "x", 0, "new", True, None)], "station string, n int, batch string, pos int, track string, available boolean, error string"), 0)
     assert player._state()[0] == last and accepted() == sorted(want)  # a micro-batch that was run before
+
+
+def test_radio_station_asks_many_times_in_one_micro_batch(spark, tmp_path):
+    """Forty batches of a station, every third of which fails once or twice, and errors beyond that halt it."""
+    folder = f"file://{tmp_path}"
+    rows = [(s, n, f"{s}{n}", p, f"{s}-{3 * n + p}", True, {0: n % 2 + 1}.get(n % 3, 0) + 3 * (s == "b" and n == 20)) for s in ("a", "b", "c") for n in range(40) for p in range(4)]
+    spark.createDataFrame(rows, "station string, n int, batch string, pos int, track string, available boolean, fails int").write.partitionBy("station").parquet(f"{folder}/service")
+    want = sorted((s, k + 1, f"{s}-{k}", f"{s}{max(k - 1, 0) // 3}") for s in ("a", "b", "c") for k in range(121))
+    seen = lambda out: sorted((r.station, r.seq, r.track, r.batch) for r in spark.read.parquet(out).collect())
+    for name, most, micro_batches in (("whole", 50_000, 1), ("cut", 70, 3)):  # 160 rows of answers, 21 of errors
+        player = Player(spark, f"{folder}/{name}/player", again=2, most=most)
+        player.start(spark.createDataFrame([("a",), ("b",), ("c",)], "station string"))
+        player.run(f"{folder}/service", f"{folder}/{name}/out", f"{folder}/{name}/ck")
+        assert sorted(os.listdir(tmp_path / name / "out")) == [f"micro_batch={n}" for n in range(micro_batches)]
+        assert [r.station for r in player.halted().collect()] == ["b"]
+        assert seen(f"{folder}/{name}/out") == [x for x in want if x[0] != "b" or int(x[3][1:]) < 20]
+    player.retry()  # it has failed three times, and does not a fourth time
+    player.run(f"{folder}/service", f"{folder}/cut/out", f"{folder}/cut/ck")
+    assert seen(f"{folder}/cut/out") == want and player.halted().isEmpty()
+
+
+def test_radio_query_is_its_sql_with_long_conversations(spark, tmp_path):
+    """The first track of a conversation of 150 comes again when the player has forgotten it; 30 batches of a station."""
+    import __spark_entry__
+
+    rows = [(40 * k + s, t, "user", "x") for s in (0, 1) for k in range(30) for t in range(150 if k % 9 == 4 else 2 + k % 5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = __spark_entry__.queries()["radio_source_stream"](spark, f"file://{tmp_path}").select("station", "seq", "batch", "track")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(SQL["radio_source_stream"]).fetchall())
