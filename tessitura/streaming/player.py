@@ -25,8 +25,9 @@ CONTROL = "station string, turn long, previous string, attempt int, halted boole
 HELD = "station string, seq long, batch string, track string, played boolean, turn long, previous string, attempt int, halted boolean, part string"
 
 
-def _played(rules: Rules) -> Callable[[pa.Table], pa.Table]:
+def _played(low_water: int, memory: int, again: int = 0, most: int = 1) -> Callable[[pa.Table], pa.Table]:
     """A station's rows of all parts, and what arrived for it (part "new"), to its rows after the micro-batch."""
+    rules = Rules(low_water, memory, again, most)
 
     def step(rows: pa.Table) -> pa.Table:
         of: dict[str, list[dict]] = {"queue": [], "control": [], "new": []}
@@ -34,7 +35,7 @@ def _played(rules: Rules) -> Callable[[pa.Table], pa.Table]:
             of[row["part"]].append(row)
         answers: dict[int, list[dict]] = {}
         for row in of["new"]:
-            answers.setdefault(row["ask"], []).append(row)
+            answers.setdefault(row.get("ask", 0), []).append(row)
         control, going = of["control"][0], False
         station = Station(rules, of["queue"], control)
         for _, answer in sorted(answers.items()):
@@ -105,7 +106,7 @@ class Player:
                 return
             held = self.spark.read.schema(HELD).parquet(f"{self.path}/{state['data']}").where("part <> 'out'")
             rows = held.unionByName(arrived.drop("n").withColumn("part", F.lit("new")), allowMissingColumns=True)
-            name = self._write(rows.groupBy("station").applyInArrow(_played(self.rules), HELD))
+            name = self._write(rows.groupBy("station").applyInArrow(_played(**asdict(self.rules)), HELD))
             accepted = self.spark.read.schema(HELD).parquet(f"{self.path}/{name}").where("part = 'out'")
             accepted.select("station", "seq", "batch", "track").write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
             versions.commit(self.spark, self.path, {"data": name, "batch": batch_id}, base)

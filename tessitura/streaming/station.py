@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rules:
-    """``low_water`` and ``memory`` of the player; ``again``: how often a station that an error has halted asks again for one cursor without being told to; ``most``: a stretch ends with the answer that brings it to so many rows."""
+    """``low_water`` and ``memory`` of the player; ``again``: how often a station that an error has halted asks again for one cursor without being told to; ``most``: a stretch ends with the answer that brings it to so many rows, so at 1 it is one request."""
 
     low_water: int = 2
     memory: int = 100
     again: int = 0
-    most: int = 50_000
+    most: int = 1
 
 
 class Station:
